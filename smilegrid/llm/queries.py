@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, minhash, mixing, quality, secrets
+from . import chat, decontaminate, embeddings, licenses, minhash, mixing, pii, quality, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op2_embedding_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -23,11 +31,26 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_prob", 6).alias("prob"), F.round("mix_repeat", 6).alias("repeat"), F.col("mix_kept").alias("kept"))
 
 
+def op5_chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hostile = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.digest(chat.format_records(chat.records_of(turns)))
+
+
 def op6_prefix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark")))
 
 
+def op7_license_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op8_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
 
@@ -37,7 +60,10 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_votes, op4_mix_sources, op6_prefix_decontaminate, op9_minhash_bayes, op10_secret_ledger)}
+    return {f.__name__: f for f in (
+        op1_substring_automata, op2_embedding_pstable, op3_quality_votes, op4_mix_sources, op5_chat_fingerprints, op6_prefix_decontaminate,
+        op7_license_patience, op8_pii_boosted, op9_minhash_bayes, op10_secret_ledger,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,6 +7,7 @@ longest text and never the batch.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -137,3 +138,9 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path = shared_folder(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no frame needs any more, before a long job ends."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
