@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -142,5 +143,7 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
 def released(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that no frame needs any more, before a long job ends."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first may come before Spark's listeners have let go of the last plan
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
