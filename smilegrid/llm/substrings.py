@@ -125,7 +125,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     recurring = written(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "anchors")
     released(spark)
-    windows = _candidates(rows, recurring, window, anchor)
+    windows = written(_candidates(rows, recurring, window, anchor), "windows")
+    released(spark)
     owners = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi").select("window", "owner")
     confirmed = windows.join(owners, "window").where("owner < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("window", "owner")).alias("_found"))
     confirmed = written(confirmed, "passages")
