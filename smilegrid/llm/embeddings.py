@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .words import mix, signed, written
+from .words import mix, runs_of, signed, written
 
 COSINE, WIDTH, MISS, BLOCK, SEED = 0.9, 2.0, 0.005, 512, 11
 
@@ -114,21 +114,10 @@ def near_vectors(frame: DataFrame, *, id_column: str = "vec_id", vector_column:
             yield ids, ids[root], np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            g = batch.column("g").to_numpy()
-            last = int(np.searchsorted(g, g[-1])) if len(g) else 0
-            if last or (rest and rest[-1].column("g")[0].as_py() != g[0]):
-                yield from work(pa.Table.from_batches([*rest, batch.slice(0, last)]))
-                rest = []
-            rest.append(batch.slice(last))
-        if rest:
-            yield from work(pa.Table.from_batches(rest))
+        for table in runs_of(batches, "g"):
+            yield from work(table)
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
-        if not len(table):
-            return
         g, ids, side, t = (table.column(c).to_numpy() for c in ("g", "id", "side", "t"))
         out: list[tuple] = []
         for places, x in unit(table.column("v").chunk(0)).values():

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
-from .words import LOWER, WHITE_BREAKS, gram_hashes, mix, owner_of_words, signed, slices, text_bytes, word_hashes, word_spans, written
+from .words import LOWER, WHITE_BREAKS, gram_hashes, mix, runs_of, signed, slices, text_bytes, word_hashes, word_spans, written
 
 SHINGLE, SIMILARITY = 5, 80
-HASHES, ROWS, STEP, MISS = 128, 4, 16, 1e-4
+HASHES, ROWS, STEP, MISS, BLOCK = 128, 4, 16, 1e-4, 512
 BANDS = HASHES // ROWS
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -121,6 +121,53 @@ def _likely(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     return both.select("u", "v", "sa", "sb").mapInArrow(prune, "u long, v long")
 
 
+def _alive(a: np.ndarray, b: np.ndarray, different: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two blocks of signatures that no batch of minima prunes."""
+    i, j = [], []
+    for at in range(0, len(a), 32):  # a few rows at a time, so that memory stays small
+        left = a[at : at + 32]
+        hits = (left[:, None, :STEP] == b[None, :, :STEP]).sum(2)
+        x, y = np.nonzero((hits >= least[0]) & different[at : at + 32])
+        hits = hits[x, y]
+        for k in range(1, len(least)):
+            cut = slice(k * STEP, (k + 1) * STEP)
+            hits = hits + (left[x, cut] == b[y, cut]).sum(1)
+            on = hits >= least[k]
+            x, y, hits = x[on], y[on], hits[on]
+        i.append(x + at)
+        j.append(y)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _unmet(rows: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """Likely pairs (u, v) of one band and different components; pairs that are pruned never leave their task.
+
+    A band is cut into blocks of about BLOCK members and every pair of blocks is a group of its own."""
+    least = least_matches(similarity)
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "band").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select("id", "c", F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), side.cast("int").alias("side"))
+    dealt = dealt.join(reps.select("id", "signature"), "id").repartition("g").sortWithinPartitions("g").select("g", "id", "c", "side", "signature")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, "g"):
+            g, ids, comp, side = (group.column(c).to_numpy() for c in ("g", "id", "c", "side"))
+            sigs = np.array([np.frombuffer(x.as_py(), np.uint32) for x in group.column("signature")], dtype=np.uint32).reshape(-1, HASHES)
+            us, vs = [], []
+            for cut in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1):
+                first, second = cut[side[cut] != 2], cut[side[cut] != 1]
+                if len(first) and len(second):
+                    i, j = _alive(sigs[first], sigs[second], comp[first][:, None] != comp[second][None, :], least)
+                    us.append(ids[first[i]])
+                    vs.append(ids[second[j]])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return dealt.mapInArrow(compare, "u long, v long")
+
+
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, shingles) of the named documents, from their whole texts."""
 
@@ -169,13 +216,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = S
     several = bands.join(shared.where("n > 2").select("band"), "band").join(comps, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     several = written(several, "bands")
     open_bands = several.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    rows = several.join(open_bands, "band")
-    sizes = rows.groupBy("band", "c").count()
-    largest = sizes.groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
-    others = rows.join(largest, "band").where("c <> most").select("band", F.col("id").alias("x"), F.col("c").alias("cx"))
-    rest = rows.join(others, "band").where("c <> cx and id <> x").select(F.least("id", "x").alias("u"), F.greatest("id", "x").alias("v")).distinct()
-    rest = written(rest.join(pairs, ["u", "v"], "left_anti"), "candidates")
-    more = written(_confirmed(written(_likely(rest, reps, percent / 100), "likely"), docs, shingle, percent), "links")
+    rest = written(_unmet(several.join(open_bands, "band"), reps, percent / 100).distinct().join(pairs, ["u", "v"], "left_anti"), "likely")
+    more = written(_confirmed(rest, docs, shingle, percent), "links")
     member = prints.join(classes, "set_id", "left").select("doc_id", "n_shingles", F.col("id").alias("rep"))
     # repeated ids: every row's class belongs to that id's component
     ties = member.where("rep is not null and rep <> doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))

@@ -124,6 +124,25 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Batches sorted by a column, cut anew so that all rows of a value are in one table."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch.column(column).to_numpy()
+        if rest and rest[-1].column(column)[0].as_py() != values[0]:
+            yield pa.Table.from_batches(rest).combine_chunks()
+            rest = []
+        last = int(np.searchsorted(values, values[-1]))
+        if last:
+            yield pa.Table.from_batches([*rest, batch.slice(0, last)]).combine_chunks()
+            rest = []
+        rest.append(batch.slice(last))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir, set only where unset)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
