@@ -117,16 +117,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, s
     if not rows:
         return LatentVotes(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     rows.sort(key=lambda r: r.doc_id)
-    x = np.log1p(np.stack([np.frombuffer(r.terms, np.float32) for r in rows])) * idf
+    quality = np.array([float(r.quality) for r in rows])
+    x = np.empty((len(rows), TERMS), np.float32)
+    while rows:  # one matrix, filled and scaled in place: it is all that the driver holds
+        at = len(rows) - 1
+        x[at] = np.frombuffer(rows.pop().terms, np.float32)
+    np.log1p(x, out=x)
+    x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
+    values, left = np.linalg.eigh(x @ x.T)
     top = np.argsort(-values)[:RANK]
     top = top[values[top] > 1e-6]
-    basis = (x.T @ left[:, top] / np.sqrt(values[top])).astype(np.float32) if len(top) else np.zeros((TERMS, 1), np.float32)
-    quality = np.array([float(r.quality) for r in rows])
-    model = LatentVotes(idf, basis, np.zeros((0, basis.shape[1]), np.float32), quality, float(quality.mean()))
-    model.vectors = model.latent(np.stack([np.frombuffer(r.terms, np.float32) for r in rows])).astype(np.float32)
-    return model
+    basis = (x.T @ (left[:, top] / np.sqrt(values[top]))).astype(np.float32) if len(top) else np.zeros((TERMS, 1), np.float32)
+    vectors = x @ basis
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    return LatentVotes(idf, basis, vectors, quality, float(quality.mean()))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
