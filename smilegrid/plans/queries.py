@@ -399,7 +399,7 @@ def quad_curvature(t):
 
 # options
 
-_OPT = "SELECT p_partkey, s, s * (0.9 + p_size / 250.0) AS k, (p_size + 30) / 365.0 AS tt, 0.03 AS r, 0.1 + (p_partkey % 40) / 100.0 AS v, p_partkey % 2 = 0 AS is_call FROM (SELECT *, p_retailprice AS s FROM part)"
+_OPT = "SELECT p_partkey, s, s * (0.96 + p_size / 625.0) AS k, (p_size + 30) / 365.0 AS tt, 0.03 AS r, 0.3 + (p_partkey % 40) / 100.0 AS v, p_partkey % 2 = 0 AS is_call FROM (SELECT *, p_retailprice AS s FROM part)"
 _D1 = "(ln(s / k) + (r + v * v / 2) * tt) / (v * sqrt(tt))"
 _CALL = f"(s * {pricing.norm_cdf_sql('d1')} - k * exp(-r * tt) * {pricing.norm_cdf_sql('d2')})"
 _OPT2 = f"SELECT *, d1 - v * sqrt(tt) AS d2 FROM (SELECT *, {_D1} AS d1 FROM ({_OPT}))"
@@ -407,7 +407,7 @@ _PDF = "exp(-d1 * d1 / 2) / 2.5066282746310002"
 
 
 def options(t: Callable) -> DataFrame:
-    return t("part").select("p_partkey", c("p_retailprice").alias("s"), (c("p_retailprice") * (0.9 + c("p_size") / 250.0)).alias("k"), ((c("p_size") + 30) / 365.0).alias("tt"), F.lit(0.03).alias("r"), (0.1 + (c("p_partkey") % 40) / 100.0).alias("v"), F.when(c("p_partkey") % 2 == 0, "C").otherwise("P").alias("right"))
+    return t("part").select("p_partkey", c("p_retailprice").alias("s"), (c("p_retailprice") * (0.96 + c("p_size") / 625.0)).alias("k"), ((c("p_size") + 30) / 365.0).alias("tt"), F.lit(0.03).alias("r"), (0.3 + (c("p_partkey") % 40) / 100.0).alias("v"), F.when(c("p_partkey") % 2 == 0, "C").otherwise("P").alias("right"))
 
 
 @query(f"SELECT event_id, round({pricing.norm_cdf_sql('x')}, 9) AS phi FROM (SELECT event_id, (event_id % 801) / 100.0 - 4 AS x FROM events)")
