@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = S
     final = components(links.union(more).union(ties))
     out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     own: Column = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

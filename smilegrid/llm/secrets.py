@@ -102,9 +102,10 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(gap, F.lit(mark))).otherwise(F.lit(""))).alias("out")))
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     new = F.when(F.col("_spans").isNull(), text).otherwise(clean)
-    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": new}
+    rows = rows.withColumn("_new", new)
+    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.col("_new")}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long"))
+        columns["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast("long"))
     return rows.select(*[v.alias(k) for k, v in columns.items()])
