@@ -113,3 +113,23 @@ def _implied_vol(price: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r:
 def implied_vol(*columns: Column | str) -> Column:
     """Price, spot, strike, years, rate and right to the volatility; NULL where there is none."""
     return F.pandas_udf(_implied_vol, "double", 200)(*columns)
+
+
+def _solved(price: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, right: pd.Series) -> pd.DataFrame:
+    with np.errstate(all="ignore"):
+        p, s, k, t, r = (c.to_numpy(dtype=float, na_value=np.nan) for c in (price, s, k, t, r))
+        call = (right == "C").to_numpy()
+        v, t = solve_iv(p, s, k, t, r, call), np.maximum(t, 1e-10)
+        root = v * np.sqrt(t)
+        d1 = (np.log(s / k) + (r + v * v / 2) * t) / root
+        pdf, cash = np.exp(-d1 * d1 / 2) / _ROOT_2PI, r * k * np.exp(-r * t)
+        n1, n2 = _cdf(d1), _cdf(d1 - root)
+        out = {"iv": v, "delta": np.where(call, n1, n1 - 1), "gamma": pdf / (s * root), "vega": s * pdf * np.sqrt(t), "theta": -s * pdf * v / (2 * np.sqrt(t)) - cash * np.where(call, n2, n2 - 1)}
+        out = {n: np.where(np.isfinite(v), x, np.nan) for n, x in out.items()}
+    return pd.DataFrame({n: pd.Series(x).astype("Float64").mask(np.isnan(x)) for n, x in out.items()})
+
+
+def solved(*columns: Column | str) -> Column:
+    """struct(iv, delta, gamma, vega, theta) in one Arrow pass. Marked non-deterministic, so that Spark runs
+    the solver once a row and no filter on its result is copied below it."""
+    return F.pandas_udf(_solved, "iv double, delta double, gamma double, vega double, theta double", 200).asNondeterministic()(*columns)

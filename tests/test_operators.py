@@ -95,10 +95,11 @@ def test_surface_picks_one_quote_a_node(spark):
     q = spark.createDataFrame(quotes, "ts timestamp, option_symbol string, exp_date date, strike double, right string, bid double, ask double, volume int, open_interest int")
     bars = spark.createDataFrame([(ts - dt.timedelta(hours=1), 478.5), (ts, 479.0)], "ts timestamp, close double")
     rates = spark.createDataFrame([], "ts timestamp, value double")
-    got = surface.build_surface(q, bars, rates).collect()
+    nodes = surface.build_surface(q, bars, rates)
+    got = nodes.collect()
     assert {r.spot for r in got} == {479.0} and {r.rf_rate for r in got} == {0.05} and {r.tenor_days for r in got} == {30}
     assert len({r.delta_bucket for r in got}) == len(got)
-    assert surface.surface_features(spark.createDataFrame(got, surface.build_surface(q, bars, rates).schema)).where("delta_bucket = 'ATM' and atm_spread <> 0").count() == 0
+    assert surface.surface_features(spark.createDataFrame(got, nodes.schema)).where("delta_bucket = 'ATM' and atm_spread <> 0").count() == 0
 
 
 def test_flags_buckets_symbols(spark):
