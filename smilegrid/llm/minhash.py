@@ -13,7 +13,7 @@ from .components import components
 from .words import LOWER, WHITE_BREAKS, gram_hashes, mix, runs_of, signed, slices, text_bytes, word_hashes, word_spans, written
 
 SHINGLE, SIMILARITY = 5, 80
-HASHES, ROWS, STEP, MISS, BLOCK = 128, 4, 16, 1e-4, 512
+HASHES, ROWS, STEP, MISS, BLOCK = 128, 4, 16, 1e-4, 256
 BANDS = HASHES // ROWS
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -91,15 +91,15 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(band, id) of every class."""
+    """(band, its number k, id) of every class."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = np.array([np.frombuffer(x.as_py(), np.uint32) for x in batch.column("signature")], dtype=np.uint32).reshape(-1, HASHES)
             if len(sigs):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(band_keys(sigs).ravel())), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], ["band", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(band_keys(sigs).ravel())), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sigs))), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], ["band", "k", "id"])
 
-    return reps.select("id", "signature").mapInArrow(keys, "band long, id long")
+    return reps.select("id", "signature").mapInArrow(keys, "band long, k int, id long")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
@@ -121,51 +121,106 @@ def _likely(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     return both.select("u", "v", "sa", "sb").mapInArrow(prune, "u long, v long")
 
 
-def _alive(a: np.ndarray, b: np.ndarray, different: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of two blocks of signatures that no batch of minima prunes."""
-    i, j = [], []
-    for at in range(0, len(a), 32):  # a few rows at a time, so that memory stays small
-        left = a[at : at + 32]
-        hits = (left[:, None, :STEP] == b[None, :, :STEP]).sum(2)
-        x, y = np.nonzero((hits >= least[0]) & different[at : at + 32])
-        hits = hits[x, y]
-        for k in range(1, len(least)):
-            cut = slice(k * STEP, (k + 1) * STEP)
-            hits = hits + (left[x, cut] == b[y, cut]).sum(1)
-            on = hits >= least[k]
-            x, y, hits = x[on], y[on], hits[on]
-        i.append(x + at)
-        j.append(y)
-    return np.concatenate(i), np.concatenate(j)
-
-
-def _unmet(rows: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Likely pairs (u, v) of one band and different components; pairs that are pruned never leave their task.
-
-    A band is cut into blocks of about BLOCK members and every pair of blocks is a group of its own."""
-    least = least_matches(similarity)
-    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "band").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.select("id", "c", F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), side.cast("int").alias("side"))
-    dealt = dealt.join(reps.select("id", "signature"), "id").repartition("g").sortWithinPartitions("g").select("g", "id", "c", "side", "signature")
+def _dealt(several: DataFrame, reps: DataFrame) -> DataFrame:
+    """The members of bands that hold several components, dealt into groups g of bounded size.
+
+    Members outside a band's largest component (side 2) meet all its members: those of the largest
+    component (side 0) and, once, each other (side 1). Both are cut into blocks of about BLOCK rows and
+    every two blocks are a group."""
+    parts = several.groupBy("band", "c").agg(F.count("*").alias("n"))
+    bands = parts.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("big"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts"))
+    bands = bands.where("parts > 1").select("band", "big", *[F.ceil(n / BLOCK).cast("int").alias(c) for c, n in (("lefts", F.col("all") - F.col("most")), ("rights", F.col("all")))])
+    rows = several.join(bands, "band").withColumn("outer", F.col("c") != F.col("big"))
+
+    def block(own: str) -> Column:
+        return F.pmod(F.xxhash64("id"), own).cast("int")
+
+    right = rows.select("*", F.col("outer").cast("int").alias("side"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), block("rights").alias("j"))
+    left = rows.where("outer").select("*", F.lit(2).alias("side"), block("lefts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
+    dealt = right.unionByName(left).select(F.xxhash64("band", "i", "j").alias("g"), "k", "id", "c", "side")
+    return dealt.join(reps.select("id", "signature"), "id").select("g", "k", "id", "c", "side", "signature")
+
+
+def _alive(group: pa.Table, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of different components that no batch of minima prunes, group by group.
+
+    A pair counts only in the first band that it shares, so that other bands don't repeat it."""
+    g, k, ids, comp, side = (group.column(c).to_numpy() for c in ("g", "k", "id", "c", "side"))
+    sigs = np.array([np.frombuffer(x.as_py(), np.uint32) for x in group.column("signature")], dtype=np.uint32).reshape(-1, HASHES)
+    for cut in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1):
+        first, second = cut[side[cut] == 2], cut[side[cut] < 2]
+        if not len(first) or not len(second):
+            continue
+        for at in range(0, len(first), 32):  # a few rows at a time, so that memory stays small
+            rows = first[at : at + 32]
+            wanted = (comp[rows][:, None] != comp[second]) & ((side[second] == 0) | (ids[rows][:, None] < ids[second]))
+            x, y = np.nonzero(wanted)
+            x, y, hits = rows[x], second[y], 0
+            for n, fewest in enumerate(least):
+                part = slice(n * STEP, (n + 1) * STEP)
+                hits = hits + (sigs[x, part] == sigs[y, part]).sum(1)
+                on = hits >= fewest
+                x, y, hits = x[on], y[on], hits[on]
+            same = (sigs[x] == sigs[y]).reshape(-1, BANDS, ROWS).all(2)
+            on = same.any(1) & (same.argmax(1) == k[cut[0]])
+            yield x[on], y[on]
+
+
+def _by_group(rows: DataFrame) -> DataFrame:
+    return rows.repartition("g").sortWithinPartitions("g")
+
+
+def _unmet(several: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v), confirmed on full sets, that join components which share bands.
+
+    A first pass keeps the members of groups that have a pair which isn't pruned; a second one brings
+    their sets and confirms pairs. Pairs never leave their task, and those of components that a task has
+    already joined need no test, so links stay fewer than components."""
+    least = least_matches(percent / 100)
+    dealt = _dealt(several, reps)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, "g"):
+            seen = np.zeros(len(group), dtype=bool)
+            for x, y in _alive(group, least):
+                seen[x] = seen[y] = True
+            yield from group.filter(pa.array(seen)).to_batches()
+
+    likely = written(_by_group(dealt).mapInArrow(prune, dealt.schema), "likely")
+    sets = written(_sets(docs, likely.select("id").distinct(), size), "shingles")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs_of(batches, "g"):
-            g, ids, comp, side = (group.column(c).to_numpy() for c in ("g", "id", "c", "side"))
-            sigs = np.array([np.frombuffer(x.as_py(), np.uint32) for x in group.column("signature")], dtype=np.uint32).reshape(-1, HASHES)
+            ids, comp, lists = group.column("id").to_numpy(), group.column("c").to_numpy(), group.column("shingles").chunk(0)
+            values, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
             us, vs = [], []
-            for cut in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1):
-                first, second = cut[side[cut] != 2], cut[side[cut] != 1]
-                if len(first) and len(second):
-                    i, j = _alive(sigs[first], sigs[second], comp[first][:, None] != comp[second][None, :], least)
-                    us.append(ids[first[i]])
-                    vs.append(ids[second[j]])
+            for x, y in _alive(group, least):
+                for a, b in zip(x, y, strict=True):
+                    ca, cb = root(comp[a]), root(comp[b])
+                    if ca == cb:
+                        continue
+                    sa, sb = (values[ends[i - 1] if i else 0 : ends[i]] for i in (a, b))
+                    if len(sa) > len(sb):
+                        sa, sb = sb, sa
+                    if 100 * len(sa) < percent * len(sb):
+                        continue
+                    at = np.searchsorted(sb, sa)
+                    both = int((sb[np.minimum(at, len(sb) - 1)] == sa).sum())
+                    if 100 * both >= percent * (len(sa) + len(sb) - both):
+                        joined[max(ca, cb)] = min(ca, cb)
+                        us.append(min(ids[a], ids[b]))
+                        vs.append(max(ids[a], ids[b]))
             if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return dealt.mapInArrow(compare, "u long, v long")
+    return _by_group(likely.join(sets, "id").select(*likely.columns, "shingles")).mapInArrow(confirm, "u long, v long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -174,7 +229,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [signed(s) for s in shingle_sets(part.column("text"), size)]
+                sets = [np.sort(signed(s)) for s in shingle_sets(part.column("text"), size)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("shuffle_hash"), "id", "left_semi")
@@ -195,9 +250,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = S
 
     Documents whose sets of word shingles have a Jaccard index of ``percent``/100 or more are linked;
     component_id is the least doc_id reachable, kept marks that document. Equal sets form classes that
-    are compared once. Candidates share a band of minima. First each band's members meet its least
-    member; then, where a band still holds several components, members outside its largest component
-    meet all others, so that no candidate pair that could join two components stays untested.
+    are compared once. Candidates share a band of minima. First each class meets the least member of
+    all its bands; then, where a band still holds several components, members outside its largest
+    component meet all others, so that no candidate pair that could join two components stays untested.
 
     Null, empty and blank texts have no shingles and link with nothing (component_id is their own id);
     a row with a null id gets a null component and is not kept; repeated ids share a component.
@@ -208,16 +263,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = S
     # a doc_id may repeat with other texts: its rows are one vertex, so classes that share an id are linked below
     reps = written(some.join(classes, "set_id").where("doc_id = id").groupBy("id", "set_id").agg(F.first("signature").alias("signature")).drop("set_id"), "classes")
     bands = written(_bands(reps), "bands")
-    shared = bands.groupBy("band").agg(F.min("id").alias("u"), F.max("id").alias("top"), F.count("*").alias("n")).where("u < top")
-    pairs = written(bands.join(shared.select("band", "u", "n"), "band").where("u <> id").select("u", F.col("id").alias("v")).distinct(), "candidates")
+    shared = bands.groupBy("band").agg(F.min("id").alias("u"), F.max("id").alias("top")).where("u < top")
+    several = bands.join(shared.select("band", "u"), "band")
+    pairs = written(several.where("u <> id").groupBy(F.col("id").alias("v")).agg(F.min("u").alias("u")).select("u", "v"), "candidates")
     links = written(_confirmed(written(_likely(pairs, reps, percent / 100), "likely"), docs, shingle, percent), "links")
     comps = components(links)
 
-    several = bands.join(shared.where("n > 2").select("band"), "band").join(comps, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    several = written(several, "bands")
-    open_bands = several.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    rest = written(_unmet(several.join(open_bands, "band"), reps, percent / 100).distinct().join(pairs, ["u", "v"], "left_anti"), "likely")
-    more = written(_confirmed(rest, docs, shingle, percent), "links")
+    several = written(several.join(comps, "id", "left").select("band", "k", "id", F.coalesce("component", "id").alias("c")), "bands")
+    more = written(_unmet(several, reps, docs, shingle, percent), "links")
     member = prints.join(classes, "set_id", "left").select("doc_id", "n_shingles", F.col("id").alias("rep"))
     # repeated ids: every row's class belongs to that id's component
     ties = member.where("rep is not null and rep <> doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
