@@ -46,7 +46,9 @@ def clean_correlation(corr: np.ndarray, rows: int, *, cap: float = 100.0) -> np.
 
 
 def shrunk_covariance(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ledoit-Wolf shrinkage to a scaled identity (2004)."""
+    """Ledoit-Wolf shrinkage to a scaled identity (2004); without rows, an empty matrix."""
+    if not len(x):
+        return np.zeros((0, 0)), 0.0
     n, p = x.shape
     x = x - x.mean(0)
     s = x.T @ x / n
