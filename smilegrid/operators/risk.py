@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import MULTIPLIER, clip, ratio
 
@@ -81,19 +86,210 @@ def run_metrics(history: DataFrame, run: str, order: str, equity: str, days: int
     )
 
 
+def trade_metrics(ledger: DataFrame, capital: float, days: int = 252) -> DataFrame:
+    """The 30 metrics of each run of a backtest's ledger; without trades or losses a ratio is 0 (profit factor: infinity)."""
+    spec = Window.partitionBy("run").orderBy("date")
+    upto = spec.rowsBetween(Window.unboundedPreceding, 0)
+    x, top = F.col("daily_pnl"), F.max("equity").over(upto)
+    snaps = ledger.where("kind = 'SNAPSHOT'")
+    var = snaps.groupBy("run").agg(F.percentile("daily_pnl", F.lit(0.05)).alias("var_95"))  # one value a day of a run
+    snaps = snaps.join(var, "run").withColumn("_dd", (F.col("equity") - top) / F.when(top == 0, 1e-10).otherwise(top) * 100)
+    snaps = snaps.withColumn("_spell", F.sum(F.when(F.col("_dd") < 0, 0).otherwise(1)).over(upto))
+    snaps = snaps.withColumn("_length", F.count_if(F.col("_dd") < 0).over(Window.partitionBy("run", "_spell")))
+    base = snaps.groupBy("run").agg(
+        F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("_days"), F.max_by("equity", "date").alias("_final"),
+        F.abs(F.min("_dd")).alias("max_drawdown_pct"), F.max("_length").alias("max_drawdown_duration_days"), F.coalesce(F.abs(F.avg(F.when(F.col("_dd") < 0, F.col("_dd")))), F.lit(0.0)).alias("avg_drawdown_pct"),
+        F.max("open_positions").alias("max_concurrent_positions"), F.avg("open_positions").alias("avg_concurrent_positions"),
+        F.avg(x).alias("avg_daily_pnl"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("daily_pnl_std"), F.stddev_samp(F.when(x < 0, x)).alias("_down"), F.max(x).alias("max_daily_gain"), F.min(x).alias("max_daily_loss"),
+        F.first("var_95").alias("var_95"), F.avg(F.when(x <= F.col("var_95"), x)).alias("cvar_95"),
+    )
+    pnl, out = F.col("pnl"), F.col("kind") == "EXIT"
+    win, loss = out & (pnl > 0), out & (pnl < 0)
+    trades = ledger.where("kind IN ('ENTRY', 'EXIT')").groupBy("run").agg(
+        F.count_if(out).alias("total_trades"), F.count_if(win).alias("winning_trades"), F.count_if(loss).alias("losing_trades"),
+        F.avg(F.when(win, pnl)).alias("avg_win"), F.abs(F.avg(F.when(loss, pnl))).alias("avg_loss"), F.sum(F.when(win, pnl)).alias("_gain"), F.abs(F.sum(F.when(loss, pnl))).alias("_lost"),
+        F.avg(F.when(out, pnl)).alias("avg_trade_pnl"), F.max(F.when(out, pnl)).alias("max_win"), F.min(F.when(out, pnl)).alias("max_loss"), F.sum("fees").alias("total_fees"), F.sum("slippage").alias("total_slippage"),
+    )
+    rows = base.join(trades, "run", "left").fillna(0, [c for c in trades.columns if c != "run"])
+    n, final, zero = F.col("total_trades"), F.col("_final"), F.lit(0.0)
+    part = lambda a, b: F.coalesce(F.when(b > 0, a / b), zero)
+    rows = rows.withColumn("total_return_pct", (final / capital - 1) * 100)
+    rows = rows.withColumn("annualized_return_pct", F.when(F.col("_days") * 12 >= days, (F.pow(final / capital, days / F.col("_days")) - 1) * 100).otherwise(F.col("total_return_pct")))
+    cost = F.col("total_fees") + F.col("total_slippage")
+    gross = final - capital + cost
+    rows = rows.withColumns({
+        "sharpe_ratio": part(F.col("avg_daily_pnl"), F.col("daily_pnl_std")) * days**0.5,
+        "sortino_ratio": part(F.col("avg_daily_pnl"), F.col("_down")) * days**0.5,
+        "calmar_ratio": part(F.col("annualized_return_pct"), F.col("max_drawdown_pct")),
+        "win_rate": part(F.col("winning_trades"), n) * 100,
+        "profit_factor": F.when(n == 0, zero).when(F.col("_lost") > 0, F.col("_gain") / F.col("_lost")).otherwise(float("inf")),
+        "avg_holding_period_days": part(F.col("_days"), n),
+        "total_commission_pct": F.when(gross != 0, cost / F.abs(gross) * 100).otherwise(zero),
+    })
+    return rows.select("run", "start_date", "end_date", *METRICS)
+
+
+METRICS = (
+    "total_return_pct", "annualized_return_pct", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "max_drawdown_pct", "max_drawdown_duration_days", "avg_drawdown_pct",
+    "total_trades", "winning_trades", "losing_trades", "win_rate", "avg_win", "avg_loss", "profit_factor", "avg_trade_pnl", "max_win", "max_loss", "avg_holding_period_days",
+    "max_concurrent_positions", "avg_concurrent_positions", "avg_daily_pnl", "daily_pnl_std", "max_daily_gain", "max_daily_loss", "var_95", "cvar_95", "total_fees", "total_slippage", "total_commission_pct",
+)
+
+
+def compare_runs(metrics: DataFrame) -> DataFrame:
+    """One row a run with the twelve columns of the comparison report."""
+    return metrics.select(F.col("run").alias("run_id"), "start_date", "end_date", "total_return_pct", "sharpe_ratio", "sortino_ratio", "max_drawdown_pct", "total_trades", "win_rate", "profit_factor", "avg_trade_pnl", "total_fees")
+
+
+def in_order(frame: DataFrame, run: str, order: list[str], start: Callable, schema: str) -> DataFrame:
+    """``start(run)`` makes a run's state, whose feed(row) gives the rows out for each row in order, and end() the last ones.
+
+    Runs come sorted and in batches: a task holds a batch and one run's state, however long the run."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, names = None, [f.name for f in kinds]
+        rows = lambda out: pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], kinds)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if state is None or state.run != r[run]:
+                    out += state.end() if state else []
+                    state = start(r[run])
+                out += state.feed(r)
+            if out:
+                yield rows(out)
+        if state and (out := state.end()):
+            yield rows(out)
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return frame.repartition(run).sortWithinPartitions(run, *order).mapInArrow(scan, schema)
+
+
+class Acceptance:
+    def __init__(self, run: object, names: list[str], cash: float, most_delta: float):
+        self.run, self.names, self.cash, self.most_delta, self.delta = run, names, cash, most_delta, 0.0
+
+    def feed(self, r: dict) -> list[tuple]:
+        ok = r["cost"] <= self.cash and abs(self.delta + r["delta"]) <= self.most_delta
+        if ok:
+            self.cash, self.delta = self.cash - r["cost"], self.delta + r["delta"]
+        return [(*[r[c] for c in self.names], ok, self.cash, self.delta)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def replay(orders: DataFrame, run: str, order: list[str], *, cash: float, most_delta: float) -> DataFrame:
-    """Accept each run's orders one after the other while cash and the delta cap allow. Runs are independent
-    groups (scenarios), each a bounded list of orders; within one the decisions depend on all before."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        have, delta, out = cash, 0.0, []
-        for cost, d in zip(pdf["cost"], pdf["delta"], strict=True):
-            ok = cost <= have and abs(delta + d) <= most_delta
-            have, delta = (have - cost, delta + d) if ok else (have, delta)
-            out.append((ok, have, delta))
-        pdf[["accepted", "cash", "net_delta"]] = out
-        return pdf[[run, *order, "accepted", "cash", "net_delta"]]
-
-    kinds = ", ".join(f"{c} {orders.schema[c].dataType.simpleString()}" for c in (run, *order))
-    return orders.groupBy(run).applyInPandas(one, f"{kinds}, accepted boolean, cash double, net_delta double")
+    """Accept each run's orders one after the other while cash and the delta cap allow; nothing is held of a run but its state."""
+    names = [run, *order]
+    kinds = ", ".join(f"{c} {orders.schema[c].dataType.simpleString()}" for c in names)
+    return in_order(orders.select(*names, "cost", "delta"), run, order, lambda r: Acceptance(r, names, cash, most_delta), f"{kinds}, accepted boolean, cash double, net_delta double")
+
+
+class Book:
+    """One run's cash and open positions; of a position: net entry price, fees, slippage, delta, entry edge, expiry, and today's price and edge."""
+
+    def __init__(self, run: object, cash: float, most_delta: float, most_loss: float):
+        self.run, self.cash, self.most_delta, self.most_loss = run, cash, most_delta, most_loss
+        self.open: dict = {}
+        self.date, self.seq, self.realized, self.daily, self.exited, self.killed = None, 0, 0.0, 0.0, False, False
+
+    def row(self, kind: str, key: object = None, net: float = 0.0, pnl: float = 0.0, fees: float = 0.0, slippage: float = 0.0, reason: str | None = None) -> tuple:
+        self.seq += 1
+        value = math.fsum(p["price"] for p in self.open.values()) if kind == "SNAPSHOT" else None
+        unrealized = math.fsum(p["price"] - p["entry"] for p in self.open.values()) if kind == "SNAPSHOT" else None
+        equity = self.cash + value if kind == "SNAPSHOT" else None
+        return (self.run, self.date, self.seq, kind, key, net, pnl, fees, slippage, reason, self.cash, value, equity, unrealized, self.realized, self.daily, self.delta(), len(self.open))
+
+    def delta(self) -> float:
+        return math.fsum(p["delta"] for p in self.open.values())
+
+    def feed(self, r: dict) -> list[tuple]:
+        out = []
+        if r["date"] != self.date:
+            out += self.end()
+            if not self.killed:
+                out += self.begin(r["date"])
+        if self.killed:
+            return out
+        if r["_kind"] == 1 and r["key"] in self.open:
+            p = self.open[r["key"]]
+            p["price"], p["edge"] = (p["entry"] if r["price"] is None else r["price"]), r["edge"]
+        elif r["_kind"] == 2:
+            out += self.exits() + self.enter(r)
+        return out
+
+    def begin(self, date: object) -> list[tuple]:
+        """The counters start anew, positions expire on the day after their expiry, the others lose yesterday's price."""
+        self.date, self.daily, self.exited, out = date, 0.0, False, []
+        for key, p in list(self.open.items()):
+            if p["expiry"] < date:
+                del self.open[key]
+                self.realized -= p["entry"]
+                out.append(self.row("EXPIRE", key, pnl=-p["entry"]))
+            else:
+                p["price"], p["edge"] = p["entry"], None
+        return out
+
+    def exits(self) -> list[tuple]:
+        out = []
+        if not self.exited:
+            self.exited = True
+            for key, p in list(self.open.items()):
+                if reason := exit_reason(p["price"] - p["entry"], p["entry"], p["edge"], p["entry_edge"], (p["expiry"] - self.date).days):
+                    net = p["fees"] + p["slippage"] - p["price"]
+                    pnl = -net - p["entry"]
+                    del self.open[key]
+                    self.cash, self.daily, self.realized = self.cash - net, self.daily + pnl, self.realized + pnl
+                    out.append(self.row("EXIT", key, net, pnl, p["fees"], p["slippage"], reason))
+        return out
+
+    def enter(self, r: dict) -> list[tuple]:
+        net = r["price"] + r["fees"] + r["slippage"]
+        if abs(self.delta() + r["delta"]) > self.most_delta:
+            return [self.row("REJECT", r["key"], net, reason="DELTA")]
+        if net > 0 and net > self.cash:
+            return [self.row("REJECT", r["key"], net, reason="CASH")]
+        self.cash -= net
+        self.open[r["key"]] = {"entry": net, "price": r["price"], "fees": r["fees"], "slippage": r["slippage"], "delta": r["delta"], "edge": r["edge"], "entry_edge": r["edge"], "expiry": r["expiry"]}
+        return [self.row("ENTRY", r["key"], net, 0.0, r["fees"], r["slippage"])]
+
+    def end(self) -> list[tuple]:
+        """A day ends with its exits, if no order came, a snapshot and the kill switch, after which the run stops."""
+        if self.date is None or self.killed:
+            return []
+        out = [*self.exits(), self.row("SNAPSHOT")]
+        if self.daily < -self.most_loss:
+            self.killed = True
+            out.append(self.row("KILL", reason="DAILY_LOSS"))
+        return out
+
+
+def exit_reason(pnl: float, premium: float, edge: float | None, entry_edge: float | None, dte: int) -> str | None:
+    """exit_signal for one position; without an edge its tests do not hold."""
+    known = edge is not None and entry_edge is not None
+    if pnl <= -0.8 * abs(premium):
+        return "STOP_LOSS"
+    if known and edge * entry_edge < 0 and abs(edge) >= 0.5 * abs(entry_edge):
+        return "REVERSAL"
+    if known and abs(edge) < 0.3 * abs(entry_edge):
+        return "EDGE_DECAY"
+    if pnl >= 0.5 * abs(premium):
+        return "TAKE_PROFIT"
+    return "TIME" if dte <= 3 else None
+
+
+def backtest(orders: DataFrame, quotes: DataFrame, *, cash: float, most_delta: float, most_loss: float) -> DataFrame:
+    """The ledger of each run, day by day: expire, mark, exits, entries, snapshot, kill; cash -= net.
+
+    ``orders``: run, date, key, price, fees, slippage, delta, edge, expiry. ``quotes``: date, key, price, edge; without one a
+    position counts at its entry price. Every run has every day of both sides. A run is one task, as each
+    decision depends on all before, but the task holds only a batch and the run's open positions."""
+    days = orders.select("date").unionByName(quotes.select("date")).distinct()
+    runs = orders.select("run").distinct()
+    calendar = runs.crossJoin(days).withColumn("_kind", F.lit(0))
+    marks = quotes.join(orders.select("key", "run"), "key").withColumn("_kind", F.lit(1))
+    rows = calendar.unionByName(marks, allowMissingColumns=True).unionByName(orders.withColumn("_kind", F.lit(2)), allowMissingColumns=True)
+    kinds = {c: orders.schema[c].dataType.simpleString() for c in ("run", "date", "key")}
+    schema = f"run {kinds['run']}, date {kinds['date']}, seq long, kind string, key {kinds['key']}, net double, pnl double, fees double, slippage double, reason string, cash double, positions_value double, equity double, unrealized double, realized double, daily_pnl double, net_delta double, open_positions long"
+    return in_order(rows, "run", ["date", "_kind", "key"], lambda r: Book(r, cash, most_delta, most_loss), schema)

@@ -263,10 +263,30 @@ def pnl_by_structure(t):
     return t("orders").groupBy(c("o_orderpriority").alias("structure")).agg(F.count("*").alias("trades"), F.round(F.sum(pnl), 2).alias("pnl"), F.count_if(pnl > 0).alias("wins"))
 
 
+def ledger(t) -> DataFrame:
+    """Orders bought at their total and marked, on the ship date of a line, at a share of it that the line's discount sets."""
+    total, key = c("o_totalprice"), c("o_orderkey")
+    day = F.to_date("o_orderdate")
+    orders = t("orders").select(c("o_orderpriority").alias("run"), day.alias("date"), key.alias("key"), total.alias("price"), F.lit(1.0).alias("fees"), (total * 5e-4).alias("slippage"), ((key % 21 - 10) / 10.0).alias("delta"), ((key % 7 - 3) / 100.0).alias("edge"), F.date_add(day, (key % 120).cast("int")).alias("expiry"))
+    lines = t("lineitem").select(c("l_orderkey").alias("key"), F.to_date("l_shipdate").alias("date"), "l_linenumber", "l_discount", (c("l_tax") - 0.04).alias("edge"))
+    marks = frames.first_rows(lines, ["key", "date"], ["l_linenumber", "l_discount", "edge"]).join(orders.select("key", c("price").alias("total")), "key")
+    marks = marks.select("date", "key", (c("total") * (0.1 + c("l_discount") * 20)).alias("price"), "edge")
+    return risk.backtest(orders, marks, cash=3e6, most_delta=2.0, most_loss=1e6)
+
+
 @query()
 def backtest_run(t):
-    rows = t("orders").select(c("o_orderpriority").alias("run"), "o_orderdate", "o_orderkey", c("o_totalprice").alias("cost"), ((c("o_orderkey") % 21 - 10) / 10.0).alias("delta"))
-    return risk.replay(rows, "run", ["o_orderdate", "o_orderkey"], cash=3e6, most_delta=2.0)
+    return ledger(t)
+
+
+@query()
+def backtest_report(t):
+    return risk.trade_metrics(ledger(t), 3e6)
+
+
+@query()
+def run_comparison(t):
+    return risk.compare_runs(risk.trade_metrics(ledger(t), 3e6))
 
 
 _NODES = "SELECT i, j, i * 7 + j AS node FROM (SELECT unnest(range(6)) AS i) CROSS JOIN (SELECT unnest(range(7)) AS j)"

@@ -129,6 +129,42 @@ def test_upsert_and_replay(spark):
     assert [r.accepted for r in risk.replay(orders, "run", ["n"], cash=100.0, most_delta=2.0).orderBy("n").collect()] == [True, False, True]
 
 
+def test_backtest_expires_marks_exits_enters_and_stops(spark):
+    day = lambda n: dt.date(2024, 1, n)
+    orders = [
+        ("a", day(1), 1, 60.0, 1.0, 0.5, 1.0, 0.10, day(2)), ("a", day(1), 2, 60.0, 1.0, 0.5, 0.0, 0.10, day(30)),
+        ("a", day(2), 3, 30.0, 1.0, 0.5, 0.5, 0.10, day(30)), ("a", day(3), 4, 20.0, 1.0, 0.5, 0.5, 0.10, day(30)),
+        ("b", day(1), 5, 80.0, 1.0, 0.5, 0.5, 0.10, day(30)), ("b", day(3), 6, 1.0, 1.0, 0.5, 0.5, 0.10, day(30)),
+    ]
+    quotes = [(day(2), 3, 99.0, 0.1), (day(2), 1, 70.0, 0.1), (day(4), 4, 60.0, 0.1), (day(2), 5, 5.0, 0.1)]
+    orders = spark.createDataFrame(orders, "run string, date date, key long, price double, fees double, slippage double, delta double, edge double, expiry date")
+    quotes = spark.createDataFrame(quotes, "date date, key long, price double, edge double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    ledger = risk.backtest(orders, quotes, cash=100.0, most_delta=2.0, most_loss=50.0).cache()
+    got = [(r.run, r.date.day, r.kind, r.key, r.reason) for r in ledger.orderBy("run", "seq").collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [
+        ("a", 1, "ENTRY", 1, None), ("a", 1, "REJECT", 2, "CASH"), ("a", 1, "SNAPSHOT", None, None),
+        ("a", 2, "EXIT", 1, "TIME"), ("a", 2, "ENTRY", 3, None), ("a", 2, "SNAPSHOT", None, None),
+        ("a", 3, "ENTRY", 4, None), ("a", 3, "SNAPSHOT", None, None), ("a", 4, "EXIT", 4, "TAKE_PROFIT"), ("a", 4, "SNAPSHOT", None, None),
+        ("b", 1, "ENTRY", 5, None), ("b", 1, "SNAPSHOT", None, None), ("b", 2, "EXIT", 5, "STOP_LOSS"), ("b", 2, "SNAPSHOT", None, None), ("b", 2, "KILL", None, "DAILY_LOSS"),
+    ]
+    m = {r.run: r for r in risk.trade_metrics(ledger, 100.0).collect()}
+    assert len(m["a"]) == 33 and (m["a"].total_trades, m["a"].winning_trades, m["a"].profit_factor) == (2, 2, math.inf)
+    # 70 - 1.5 - 61.5 and 60 - 1.5 - 21.5; order 3 counts at its entry price, 31.5, at the end
+    assert m["a"].avg_win == pytest.approx((7.0 + 37.0) / 2) and m["a"].total_return_pct == pytest.approx(44.0)
+    assert m["b"].max_daily_loss == pytest.approx(5.0 - 1.5 - 81.5) and m["b"].max_drawdown_duration_days == 1 and m["b"].total_fees == 2.0
+    assert len(risk.compare_runs(risk.trade_metrics(ledger, 100.0)).columns) == 12
+
+
+def test_backtest_lets_positions_expire(spark):
+    day = lambda n: dt.date(2024, 1, n)
+    orders = spark.createDataFrame([("a", day(1), 1, 60.0, 0.0, 0.0, 1.0, 0.1, day(20)), ("a", day(21), 2, 60.0, 0.0, 0.0, 1.5, 0.1, day(30))], "run string, date date, key long, price double, fees double, slippage double, delta double, edge double, expiry date")
+    quotes = spark.createDataFrame([], "date date, key long, price double, edge double")
+    got = [(r.kind, r.key, r.cash, r.realized) for r in risk.backtest(orders, quotes, cash=100.0, most_delta=2.0, most_loss=50.0).orderBy("seq").collect()]
+    assert got == [("ENTRY", 1, 40.0, 0.0), ("SNAPSHOT", None, 40.0, 0.0), ("EXPIRE", 1, 40.0, -60.0), ("REJECT", 2, 40.0, -60.0), ("SNAPSHOT", None, 40.0, -60.0)]
+
+
 @pytest.mark.parametrize("form", ["tumbling", "latest"])
 def test_streams_agree_with_batches(spark, tmp_path, form):
     source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(200).withColumn("ts", F.col("ts").cast("timestamp"))
