@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.scalars import clip, ratio
 
+DAY = 1 << 30
+
 
 def node(by: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
@@ -87,6 +89,37 @@ def steps_per_day(frame: DataFrame, ts: str, by: list[str]) -> DataFrame:
     return daily.groupBy(*by).agg(F.greatest(F.floor(F.percentile("_n", F.lit(0.5))), F.lit(1)).cast("long").alias("steps"))
 
 
+def by_days(frame: DataFrame, ts: str, by: list[str], order: list[str]) -> DataFrame:
+    """``frame`` with steps, its node's median rows a day, and _at: the row's place in its node, in days of ``steps`` rows, times DAY.
+
+    A shift by a whole number of days moves _at by exactly that many DAYs, so one range frame covers n days' rows of
+    every node, whatever its steps; no distinct steps have to be known. Exact while a node has under DAY rows a day."""
+    steps = steps_per_day(frame, ts, by).withColumnsRenamed({k: f"_{k}" for k in by})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
+    rows = frame.join(steps, same).drop(*[f"_{k}" for k in by])
+    return rows.withColumn("_at", F.floor(F.row_number().over(node(by, order)).cast("decimal(20,0)") * DAY / F.col("steps").cast("decimal(20,0)")).cast("long"))
+
+
+def prior_days(by: list[str], n: int) -> WindowSpec:
+    """The n days' rows before the current one, of a frame from ``by_days``."""
+    return node(by, ["_at"]).rangeBetween(-n * DAY, -1)
+
+
+def last_days(by: list[str], n: int) -> WindowSpec:
+    """The last n days' rows, the current one included."""
+    return node(by, ["_at"]).rangeBetween(1 - n * DAY, 0)
+
+
+def days_ago(x: Column, by: list[str], n: int) -> Column:
+    """The value n days' rows before."""
+    return F.first(x).over(node(by, ["_at"]).rangeBetween(-n * DAY, -n * DAY))
+
+
+def full(x: Column, agg: Column, spec: WindowSpec, n: int) -> Column:
+    """An aggregate over a frame of n days, NULL unless each of its rows has a value."""
+    return F.when(F.count(x).over(spec) >= n * F.col("steps"), agg.over(spec))
+
+
 def average_rank(x: str, by: list[str]) -> Column:
     """Rank with ties at their mean."""
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2

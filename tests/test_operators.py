@@ -157,6 +157,20 @@ def test_backtest_expires_marks_exits_enters_and_stops(spark):
     assert len(risk.compare_runs(risk.trade_metrics(ledger, 100.0)).columns) == 12
 
 
+def test_windows_of_days_follow_each_nodes_rows_a_day(spark):
+    data = [(k, dt.datetime(2024, 1, 1 + i // n, i % n), float(i * i % 17)) for k, n in ((None, 2), ("daily", 1), ("hourly", 7), ("uneven", 3)) for i in range(6 * n)]
+    f = spark.createDataFrame([*data, ("uneven", dt.datetime(2024, 1, 6, 20), 3.0)], "k string, ts timestamp, x double")
+    by = ["k"]
+    got = frames.by_days(f, "ts", by, ["ts"]).withColumns({"ago": frames.days_ago(F.col("x"), by, 2), "m": frames.full(F.col("x"), F.avg("x"), frames.prior_days(by, 2), 2), "top": F.max("x").over(frames.last_days(by, 2))}).fillna("none", "k").toPandas().sort_values(["k", "ts"])
+    assert len(got) == f.count()
+    for k, g in got.groupby("k"):
+        n = {"none": 2, "daily": 1, "hourly": 7, "uneven": 3}[k]
+        assert set(g.steps) == {n}
+        pd.testing.assert_series_equal(g.ago, g.x.shift(2 * n), check_names=False)
+        pd.testing.assert_series_equal(g.m, g.x.shift(1).rolling(2 * n).mean(), check_names=False)
+        pd.testing.assert_series_equal(g.top, g.x.rolling(2 * n, min_periods=1).max(), check_names=False)
+
+
 def test_backtest_lets_positions_expire(spark):
     day = lambda n: dt.date(2024, 1, n)
     orders = spark.createDataFrame([("a", day(1), 1, 60.0, 0.0, 0.0, 1.0, 0.1, day(20)), ("a", day(21), 2, 60.0, 0.0, 0.0, 1.5, 0.1, day(30))], "run string, date date, key long, price double, fees double, slippage double, delta double, edge double, expiry date")
