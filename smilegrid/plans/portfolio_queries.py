@@ -83,6 +83,15 @@ def dense_grid(t):
     return labels.dense_grid(have, e.select("day").distinct(), nodes, ["day", "event_type"]).select("day", "event_type", "v", c("v").isNull().alias("is_missing"))
 
 
+@query("SELECT day, n.event_type, v, v IS NULL AS is_missing FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) d CROSS JOIN (SELECT unnest(['view', 'click', 'signup', 'error', 'purchase', 'refund']) AS event_type) n LEFT JOIN (SELECT CAST(ts AS DATE) AS day, event_type, max(value) AS v FROM events GROUP BY 1, 2) f USING (day, event_type)")
+def dense_grid_all(t):
+    """Over the events of all users; no event is a refund, so its cells are missing."""
+    e = t("events").withColumn("day", F.to_date("ts"))
+    nodes = e.sparkSession.createDataFrame([(k,) for k in ("view", "click", "signup", "error", "purchase", "refund")], "event_type string")
+    have = e.groupBy("day", "event_type").agg(F.max("value").alias("v"))
+    return labels.dense_grid(have, e.select("day").distinct(), nodes, ["day", "event_type"]).select("day", "event_type", "v", c("v").isNull().alias("is_missing"))
+
+
 @query("SELECT end_ts, start_ts FROM (SELECT day AS end_ts, lag(day, 5) OVER (ORDER BY day) AS start_ts FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)) WHERE start_ts IS NOT NULL")
 def sample_windows(t):
     return frames.sample_windows(t("events").select(F.to_date("ts").alias("day")), "day", 5)

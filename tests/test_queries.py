@@ -43,3 +43,13 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_dense_grid_reads_every_user(spark):
+    grid = {(r.day, r.event_type): r for r in queries.QUERIES["dense_grid_all"](spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/events.parquet").selectExpr("to_date(ts) AS day", "event_type", "value").collect()
+    best = {}
+    for r in rows:
+        best[r.day, r.event_type] = max(r.value, best.get((r.day, r.event_type), r.value))
+    assert {k: r.v for k, r in grid.items() if not r.is_missing} == best
+    assert all(grid[day, "refund"].is_missing for day, _ in best)
