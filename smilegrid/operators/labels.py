@@ -35,11 +35,49 @@ def hedged_labels(panel: DataFrame, bars: DataFrame, horizons: tuple[int, ...],
     return rows
 
 
+def exact_percentiles(frame: DataFrame, column: str, shares: tuple[float, ...], few: int = 10_000) -> list[float | None]:
+    """Interpolated percentiles of the whole column, NULLs left out and NaN greatest; of none, None.
+
+    Values and their counts are dealt by value. Cut points narrow them to the interval around each rank, with exact
+    counts below, until it has at most ``few`` distinct values; only those are read, so no task holds the column."""
+    values = frame.select(F.col(column).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")).persist()
+    try:
+        known = values.where(~F.isnan("v"))
+        total, rows, kinds = values.agg(F.sum("n"), F.sum(F.when(~F.isnan("v"), F.col("n"))), F.count_if(~F.isnan("v"))).first()
+        return [_at_rank(known, share * (total - 1), rows or 0, kinds, few) if total else None for share in shares]
+    finally:
+        values.unpersist()
+
+
+def _at_rank(part: DataFrame, place: float, rows: int, kinds: int, few: int) -> float:
+    first, below = int(place), 0
+    last = min(first + (place > first), rows - 1)
+    if first + (place > first) >= rows:  # a NaN is part of it
+        return float("nan")
+    while kinds > few:
+        cuts = sorted(set(part.agg(F.percentile_approx("v", [i / 200 for i in range(1, 200)], F.lit(10_000))).first()[0]))
+        part = part.withColumn("_b", F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col("v"))))
+        counts, upto, own = sorted(part.groupBy("_b").agg(F.sum("n"), F.count("*")).collect()), below, []
+        for b, n, k in counts:  # at most 200
+            if upto <= last and upto + n > first:
+                own.append((b, upto, k))
+            upto += n
+        if sum(k for _, _, k in own) >= kinds:
+            raise RuntimeError("the cut points of a percentile do not part its values")
+        below, kinds = own[0][1], sum(k for _, _, k in own)
+        part = part.where(F.col("_b").between(own[0][0], own[-1][0])).drop("_b")
+    found = []
+    for v, n in sorted(part.select("v", "n").collect()):  # at most ``few``
+        found += [v] * sum(below <= r < below + n for r in range(first, last + 1))
+        below += n
+    return (first + 1 - place) * found[0] + (place - first) * found[-1]
+
+
 def winsorize(frame: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Clip to exact percentiles of the whole column."""
-    ends = frame.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_p"))
     x = F.col(column)
-    return frame.crossJoin(F.broadcast(ends)).withColumn(column, F.when(x < F.col("_p")[0], F.col("_p")[0]).when(x > F.col("_p")[1], F.col("_p")[1]).otherwise(x)).drop("_p")  # one row
+    lo, hi = (F.lit(v).cast("double") for v in exact_percentiles(frame, column, (low, high)))
+    return frame.withColumn(column, F.when(x < lo, lo).when(x > hi, hi).otherwise(x))
 
 
 def null_past(label: str, day_no: Column, horizon: int, boundary: Column) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smilegrid.functions import pricing, scalars
-from smilegrid.operators import asof, frames, linalg, risk, tables
+from smilegrid.operators import asof, frames, labels, linalg, risk, tables
 from smilegrid.plans import surface
 from smilegrid.sources import store
 from smilegrid.streaming import live
@@ -171,6 +171,20 @@ def test_windows_of_days_follow_each_nodes_rows_a_day(spark):
         pd.testing.assert_series_equal(g.top, g.x.rolling(2 * n, min_periods=1).max(), check_names=False)
 
 
+def test_winsorize_holds_no_column_in_a_task(spark):
+    x = np.random.default_rng(4).standard_normal(30_000) ** 3
+    x[:9_000] = x[0]
+    f = spark.createDataFrame(pd.DataFrame({"i": range(30_000), "x": x})).withColumn("x", F.when(F.col("i") != 29_999, F.col("x")))
+    for share in (0.0, 0.01, 0.5, 0.99, 1.0):
+        assert labels.exact_percentiles(f, "x", (share,), few=50) == pytest.approx([np.quantile(x[:-1], share)], rel=1e-12)
+    out = labels.winsorize(f, "x")
+    assert "percentile" not in out._jdf.queryExecution().toString()
+    lo, hi = np.quantile(x[:-1], [0.01, 0.99])
+    got = out.orderBy("i").toPandas().x.to_numpy()
+    assert np.isnan(got[-1]) and np.allclose(got[:-1], np.clip(x[:-1], lo, hi), rtol=1e-12)
+    assert labels.exact_percentiles(f.where("i < 0"), "x", (0.5,)) == [None]
+
+
 def test_backtest_lets_positions_expire(spark):
     day = lambda n: dt.date(2024, 1, n)
     orders = spark.createDataFrame([("a", day(1), 1, 60.0, 0.0, 0.0, 1.0, 0.1, day(20)), ("a", day(21), 2, 60.0, 0.0, 0.0, 1.5, 0.1, day(30))], "run string, date date, key long, price double, fees double, slippage double, delta double, edge double, expiry date")
