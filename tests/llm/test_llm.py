@@ -185,6 +185,27 @@ def test_op8(spark, texts):
         assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest() and set(spans) <= set(r.spans.split(",")) | {""}
 
 
+def test_op8_finds_and_redacts_forms_that_the_base_detectors_miss(spark):
+    rng = np.random.default_rng(6)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    card = lambda: next(d for d in iter(lambda: "4" + digits(15), None) if pii.luhn(d))
+    word = lambda: "".join(rng.choice(list("abdeghiklmnorstuvw"), int(rng.integers(3, 8))))
+    docs = []
+    for i in range(600):
+        docs += [f"please mail {word()}.{word()}@{word()}.{('com', 'org', 'net')[i % 3]} today", f"pay by card {card()} now", f"call +44 20 {digits(4)} {digits(4)} soon", f"we meet at the.Next door at {i}.Then go", f"order 1{digits(15)} shipped", f"part 10-{digits(4)}-{digits(5)} in stock"]
+    hidden = {-3: ("call 44 20 7946 0958 soon", "call [PHONE] soon")}
+    for i in range(40):
+        number = card()
+        hidden |= {-3 * i - 1: (f"please mail {word()}.{word()} (at) {word()} (dot) org today", "please mail [EMAIL] today"), -3 * i - 2: (f"pay by card {number[:4]}.{number[4:8]}.{number[8:12]}.{number[12:]} now", "pay by card [CARD] now")}
+    rows = [*enumerate(docs), *[(i, t) for i, (t, _) in hidden.items()], (-1000, None), (-1001, "mail a@b.com")]
+    out = {r.doc_id: r.text for r in pii.redact_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == len(rows) and out[-1000] is None and out[-1001] == "mail [EMAIL]"
+    assert out[-3] == hidden[-3][1]
+    for k in (1, 2):
+        assert sum(out[i] == t for i, (_, t) in hidden.items() if -i % 3 == k) >= 32, k
+    assert all(out[i] == t for i, t in enumerate(docs) if "meet at" in t)
+
+
 def test_op9(spark, texts):
     sets = {}
     for i, t in texts.items():
