@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
     return key
 
 
-def least_matches(similarity: float, miss: float = MISS) -> list[int]:
+def posterior_cuts(similarity: float, miss: float) -> list[int]:
     """For 16, 32, ... compared minima: the fewest matches at which the posterior chance of at least
     ``similarity`` (Beta, from a uniform prior) is still ``miss`` or more; with fewer a pair is pruned."""
     grid = (np.arange(20_000) + 0.5) / 20_000
@@ -71,6 +72,25 @@ def least_matches(similarity: float, miss: float = MISS) -> list[int]:
     return out
 
 
+def lost(cuts: list[int], similarity: float) -> float:
+    """The chance that a pair at ``similarity`` is pruned at any look, its minima being independent."""
+    step = np.array([math.comb(STEP, i) * similarity**i * (1 - similarity) ** (STEP - i) for i in range(STEP + 1)])
+    alive, gone = np.ones(1), 0.0
+    for cut in cuts:
+        alive = np.convolve(alive, step)
+        gone += alive[:cut].sum()
+        alive[:cut] = 0
+    return float(gone)
+
+
+def least_matches(similarity: float, miss: float = MISS) -> list[int]:
+    """The tightest posterior cuts with which a pair at the threshold is lost with a chance of at most ``miss`` over all looks."""
+    level = miss
+    while lost(cuts := posterior_cuts(similarity, level), similarity) > miss:
+        level *= 0.8
+    return cuts
+
+
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set_id (a digest of the set) and signature of every document."""
     schema = "doc_id long, n_shingles long, set_id binary, signature binary"

@@ -206,6 +206,16 @@ def test_op8_finds_and_redacts_forms_that_the_base_detectors_miss(spark):
     assert all(out[i] == t for i, t in enumerate(docs) if "meet at" in t)
 
 
+def test_op9_cuts_meet_their_chance_over_all_looks():
+    for similarity in (0.7, 0.8, 0.9):
+        cuts, rng = minhash.least_matches(similarity), np.random.default_rng(1)
+        assert 0 < minhash.lost(cuts, similarity) <= minhash.MISS
+    seen = np.cumsum(rng.random((200_000, minhash.HASHES)) < 0.8, axis=1)[:, minhash.STEP - 1 :: minhash.STEP]
+    loose = [c + 4 for c in minhash.least_matches(0.8)]
+    assert (seen < loose).any(axis=1).mean() == pytest.approx(minhash.lost(loose, 0.8), rel=0.1)
+    assert minhash.lost([7, 17, 28, 39, 50, 62, 73, 85], 0.8) == pytest.approx(7.6e-4, rel=0.02)
+
+
 def test_op9(spark, texts):
     sets = {}
     for i, t in texts.items():
