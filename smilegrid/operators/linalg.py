@@ -21,8 +21,11 @@ def covariance_pairs(panel: DataFrame, ts: str, node: str, value: str) -> DataFr
 
 
 def matrix(pairs: DataFrame, value: str) -> tuple[list, np.ndarray]:
-    """The symmetric matrix of at most MOST_NODES nodes; the grid of nodes is fixed, so its size is bounded."""
-    rows = pairs.select("a", "b", value).limit(MOST_NODES * (MOST_NODES + 1) // 2).collect()
+    """The symmetric matrix of at most MOST_NODES nodes; more raise an error before any pair is read."""
+    nodes = pairs.select("a").union(pairs.select("b")).distinct().limit(MOST_NODES + 1).count()
+    if nodes > MOST_NODES:
+        raise ValueError(f"a matrix of more than {MOST_NODES} nodes does not fit the driver")
+    rows = pairs.select("a", "b", value).collect()
     names = sorted({r.a for r in rows} | {r.b for r in rows})
     at, m = {n: i for i, n in enumerate(names)}, np.zeros((len(names), len(names)))
     for r in rows:

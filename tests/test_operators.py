@@ -185,6 +185,14 @@ def test_winsorize_holds_no_column_in_a_task(spark):
     assert labels.exact_percentiles(f.where("i < 0"), "x", (0.5,)) == [None]
 
 
+def test_matrix_refuses_what_it_cannot_hold(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "MOST_NODES", 3)
+    pairs = lambda n: spark.createDataFrame([(a, b, float(a * b)) for a in range(n) for b in range(a, n)], "a long, b long, corr double")
+    assert linalg.matrix(pairs(3), "corr")[1][2, 2] == 4.0
+    with pytest.raises(ValueError, match="more than 3 nodes"):
+        linalg.matrix(pairs(4), "corr")
+
+
 def test_backtest_lets_positions_expire(spark):
     day = lambda n: dt.date(2024, 1, n)
     orders = spark.createDataFrame([("a", day(1), 1, 60.0, 0.0, 0.0, 1.0, 0.1, day(20)), ("a", day(21), 2, 60.0, 0.0, 0.0, 1.5, 0.1, day(30))], "run string, date date, key long, price double, fees double, slippage double, delta double, edge double, expiry date")
