@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
-from .words import LOWER, WHITE_BREAKS, gram_hashes, mix, runs_of, signed, slices, text_bytes, word_hashes, word_spans, written
+from .words import LOWER, WHITE_BREAKS, gram_hashes, join_back, mix, runs_of, signed, slices, text_bytes, word_hashes, word_spans, written
 
 SHINGLE, SIMILARITY = 5, 80
 HASHES, ROWS, STEP, MISS, BLOCK = 128, 4, 16, 1e-4, 256
@@ -279,9 +279,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = S
     """
     prints = written(fingerprints(docs, shingle), "minhash")
     some = prints.where("set_id is not null and doc_id is not null")
-    classes = some.groupBy("set_id").agg(F.min("doc_id").alias("id"))
+    classes = written(some.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
     # a doc_id may repeat with other texts: its rows are one vertex, so classes that share an id are linked below
-    reps = written(some.join(classes, "set_id").where("doc_id = id").groupBy("id", "set_id").agg(F.first("signature").alias("signature")).drop("set_id"), "classes")
+    first = some.join(classes.select("set_id", F.col("id").alias("doc_id")), ["doc_id", "set_id"], "left_semi")  # dealt by both: no key is hot
+    reps = written(first.groupBy("doc_id", "set_id").agg(F.first("signature").alias("signature")).select(F.col("doc_id").alias("id"), "signature"), "classes")
     bands = written(_bands(reps), "bands")
     shared = bands.groupBy("band").agg(F.min("id").alias("u"), F.max("id").alias("top")).where("u < top")
     several = bands.join(shared.select("band", "u"), "band")
@@ -291,7 +292,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = S
 
     several = written(several.join(comps, "id", "left").select("band", "k", "id", F.coalesce("component", "id").alias("c")), "bands")
     more = written(_unmet(several, reps, docs, shingle, percent), "links")
-    member = prints.join(classes, "set_id", "left").select("doc_id", "n_shingles", F.col("id").alias("rep"))
+    member = join_back(prints.select("doc_id", "n_shingles", "set_id"), classes, "set_id").select("doc_id", "n_shingles", F.col("id").alias("rep"))
     # repeated ids: every row's class belongs to that id's component
     ties = member.where("rep is not null and rep <> doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     repeated = prints.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("v"))

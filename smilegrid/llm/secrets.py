@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .words import shared_folder
+from .words import join_back, shared_folder, written
 
 RULE_VERSION = "2"
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -21,6 +21,9 @@ RULES = [
 BASE = ("assign", "access", "hex")
 #: A plain piece of text that each remaining rule needs.
 NEEDLE = {"access": "AKIA", "github": "gh", "pem": "PRIVATE KEY-----", "jwt": "eyJ"}
+#: A hot blob with more spans isn't broadcast.
+MOST_HOT_SPANS = 1_000
+SPAN_BLOCK = 256
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -28,7 +31,10 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
     """Spans in code points of one rule's leftmost matches: what lies between them gives their places."""
     matches, counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     steps = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), F.transform(matches, lambda x: F.length(x)).alias("size"), F.transform(counted, lambda x: F.length(x)).alias("counted"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / SPAN_BLOCK).cast("int")), lambda b: F.slice(steps, b * SPAN_BLOCK + 1, SPAN_BLOCK))
+    lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x["gap"] + F.coalesce(x["size"], F.lit(0))))
+    none = F.array().cast("array<int>")
+    starts = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("all")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + x["gap"]
@@ -36,7 +42,11 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
         span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(x["counted"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    found = F.aggregate(steps, start, step, lambda acc: acc["spans"])
+    def spans_in(block: Column) -> Column:
+        return F.aggregate(block["steps"], F.struct(block["at"].alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda acc: acc["spans"])
+
+    # block by block, so that a text of very many matches doesn't copy its whole list for each
+    found = F.flatten(F.transform(F.arrays_zip(blocks.alias("steps"), starts.alias("at")), spans_in))
     test = text.contains(NEEDLE[kind]) & text.rlike(pattern) if kind in NEEDLE else text.rlike(first)
     return F.when(test, found).otherwise(F.array().cast(SPAN))
 
@@ -52,7 +62,8 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, *, rule_versio
     A blob is one distinct text (null counts as empty), named by its SHA-256. Only blobs that the
     ledger (a Parquet folder of blob_id, rule_version, spans) doesn't hold under this rule version
     are scanned; they are appended to it. With no ledger given a new one is made in the shared folder.
-    Rows repeat as given, null ids too; ties have one answer, as equal texts share their findings.
+    Rows repeat as given, null ids too; ties have one answer, as equal texts share their findings. Columns named
+    blob_id or spans are replaced. An empty table gives no rows and adds nothing to the ledger; texts of any length are scanned whole.
     """
     spark = versions.sparkSession
     path = ledger or shared_folder(spark, "secret-ledger")
@@ -70,7 +81,9 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, *, rule_versio
     found = spark.read.schema(schema).parquet(path).where(F.col("rule_version") == rule_version)
     found = found.groupBy("blob_id").agg(F.first("spans").alias("spans"))  # repeated rows may have been scanned twice
     paths = versions.drop("blob_id", "spans").withColumn("blob_id", F.sha2(body, 256)).drop("text")
-    return paths.join(found, "blob_id", "left")
+    # a blob may be a third of all versions
+    counts = paths.groupBy("blob_id").agg(F.count("*").alias("n"))
+    return join_back(paths, written(counts.join(found, "blob_id"), "secret-blobs"), "blob_id", narrow=F.size("spans") <= MOST_HOT_SPANS, blanks=False)
 
 
 def _exists(frame: DataFrame, path: str) -> bool:
@@ -92,10 +105,14 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every secret replaced by ``mark``; n_chars follows the new text, the rest stays."""
+    """The documents with every secret replaced by ``mark``; n_chars follows the new text, the rest stays.
+
+    Null and empty texts stay as they are; repeated rows repeat; overlapping spans become one mark; a table without rows gives none.
+    """
     scanned = scan_versions(docs.select("doc_id", "text"))
-    found = scanned.where(F.size("spans") > 0).select("blob_id", "spans").groupBy("blob_id").agg(F.first("spans").alias("_spans"))
-    rows = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found.hint("shuffle_hash").withColumnRenamed("blob_id", "_blob"), "_blob", "left")
+    found = scanned.where(F.size("spans") > 0).groupBy(F.col("blob_id").alias("_blob")).agg(F.first("spans").alias("_spans"), F.count("*").alias("n"))
+    found = written(found, "secrets-found")
+    rows = join_back(docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)), found, "_blob", narrow=F.size("_spans") <= MOST_HOT_SPANS, blanks=False)
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:  # overlapping spans make one mark

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import os
+import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SLICE_BYTES = 2_000_000
 _U = np.uint64
@@ -146,8 +147,10 @@ def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir, set only where unset)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/checkpoints"
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not root:  # one machine, as in tests
+        root = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
@@ -166,3 +169,27 @@ def released(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.7)
+
+
+#: A key with more than this share (one in so many) of all rows is hot; there are fewer of them than this.
+HOT_SHARE = 1_000
+
+
+def join_back(rows: DataFrame, found: DataFrame, key: str, *, narrow: Column | None = None, blanks: bool = True) -> DataFrame:
+    """``rows`` left-joined to what was ``found`` for each key, where one key may hold a third of all rows.
+
+    ``found`` has one row a key and the number ``n`` of rows that hold it. Keys with more than one in HOT_SHARE of
+    all rows, fewer than HOT_SHARE of them, are broadcast (``narrow`` must hold, where their columns have no fixed size)
+    and their rows stay where they are; all other rows are dealt by key. Rows without a key get NULLs (with
+    ``blanks`` False there are none).
+    """
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = F.coalesce((F.col("n") * HOT_SHARE > total) & (F.lit(True) if narrow is None else narrow), F.lit(False))
+    few, rest = found.where(hot).drop("n"), found.where(~hot).drop("n")
+    keyed = rows.where(F.col(key).isNotNull()) if blanks else rows
+    near = keyed.join(F.broadcast(few), key)
+    far = keyed.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key, "left")
+    if not blanks:
+        return near.unionByName(far)
+    none = rows.where(F.col(key).isNull()).withColumns({c: F.lit(None).cast(t) for c, t in rest.dtypes if c != key})
+    return near.unionByName(far).unionByName(none)
