@@ -9,13 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .words import slices, text_bytes
+from .words import ALNUM_BREAKS, LOWER, owner_of_words, slices, text_bytes, word_hashes, word_spans
 
 #: Most labelled rows that are fitted on; all statistics cover all documents.
 SAMPLE_ROWS = 2_000
-RANK, NEIGHBOURS, CUT = 48, 15, 0.7
+RANK, NEIGHBOURS, CUT, ROUNDS = 48, 15, 0.7, 12
+#: Most texts that are counted at once.
+ROWS = 256
 
-#: Terms are runs of three byte classes, then steps of four repetition shares.
+#: Terms are hashed words, runs of three byte classes, and steps of four repetition shares.
 _CLASSES = np.full(256, 15, dtype=np.uint16)
 _CLASSES[0x21:0x7F] = 14
 _CLASSES[0x61:0x7B], _CLASSES[0x41:0x5B], _CLASSES[0x30:0x3A] = 0, 1, 2
@@ -23,8 +25,8 @@ _CLASSES[[0x20, 0x09]] = 3
 _CLASSES[[0x0A, 0x0D]] = 4
 for _i, _c in enumerate(b".,!|#$%&*"):
     _CLASSES[_c] = 5 + _i
-_GRAMS, _STEPS = 16**3, 8
-TERMS = _GRAMS + 4 * _STEPS
+_GRAMS, _WORDS, _STEPS = 16**3, 4096, 8
+TERMS = _GRAMS + _WORDS + 4 * _STEPS
 
 
 def _shares(text: str) -> list[float]:
@@ -34,24 +36,59 @@ def _shares(text: str) -> list[float]:
     return [sum(map(str.__eq__, words, words[1:])) / n, 1 - len(set(words)) / n if words else 0.0, 1 - len(set(lines)) / m if lines else 0.0, sum(" " not in x for x in lines) / m]
 
 
-def term_counts(texts: pa.Array) -> np.ndarray:
-    """A row of term counts for every text; null and empty texts have none."""
+@dataclass
+class Counts:
+    """Term counts of a few texts, row by row: the terms and counts of row i lie between ends[i] and ends[i + 1]."""
+
+    ends: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def row(self, i: int) -> bytes:
+        part = slice(self.ends[i], self.ends[i + 1])
+        return self.terms[part].astype(np.uint16).tobytes() + self.counts[part].astype(np.float32).tobytes()
+
+    @staticmethod
+    def of_rows(rows: list[bytes]) -> Counts:
+        sizes = np.array([len(r) // 6 for r in rows], dtype=np.int64)
+        terms = [np.frombuffer(r, np.uint16, n) for r, n in zip(rows, sizes, strict=True)]
+        counts = [np.frombuffer(r, np.float32, n, 2 * n) for r, n in zip(rows, sizes, strict=True)]
+        return Counts(np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([*terms, np.zeros(0, np.uint16)]).astype(np.int64), np.concatenate([*counts, np.zeros(0, np.float32)]))
+
+
+def term_counts(texts: pa.Array) -> Counts:
+    """Term counts of at most ROWS texts; null and empty texts have none."""
     data, bounds = text_bytes(texts)
     n = len(bounds) - 1
-    out = np.zeros((n, TERMS), dtype=np.float32)
+    table = np.zeros((n, TERMS), dtype=np.float32)
     if len(data) > 2:
-        c = _CLASSES[data].astype(np.int64)
-        owner = np.repeat(np.arange(n), np.diff(bounds))
-        code = owner[:-2] * _GRAMS + c[:-2] * 256 + c[1:-1] * 16 + c[2:]
-        out[:, :_GRAMS] = np.bincount(code[owner[:-2] == owner[2:]], minlength=n * _GRAMS).reshape(n, _GRAMS)
+        c = _CLASSES[data].astype(np.int32)
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
+        code = owner[:-2] * np.int32(_GRAMS) + c[:-2] * 256 + c[1:-1] * 16 + c[2:]
+        table[:, :_GRAMS] = np.bincount(code[owner[:-2] == owner[2:]], minlength=n * _GRAMS).reshape(n, _GRAMS)
+    data = LOWER[data]
+    starts, ends, words = word_spans(data, bounds, ALNUM_BREAKS)
+    code = owner_of_words(words) * _WORDS + (word_hashes(data, starts, ends) % np.uint64(_WORDS)).astype(np.int64)
+    table[:, _GRAMS : _GRAMS + _WORDS] = np.bincount(code, minlength=n * _WORDS).reshape(n, _WORDS)
     for i, text in enumerate(texts):
         if text := text.as_py():
             scale = 1 + len(text) / 10
             for k, share in enumerate(_shares(text)):
                 at = share * _STEPS
                 for s in range(_STEPS):
-                    out[i, _GRAMS + k * _STEPS + s] = scale * min(1.0, max(0.0, at - s))
-    return out
+                    table[i, _GRAMS + _WORDS + k * _STEPS + s] = scale * min(1.0, max(0.0, at - s))
+    row, term = np.nonzero(table)
+    return Counts(np.searchsorted(row, np.arange(n + 1)), term, table[row, term])
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of bounded bytes and of bounded rows."""
+    for part in slices(batch, "text"):
+        for at in range(0, len(part), ROWS):
+            yield part.slice(at, ROWS)
 
 
 @dataclass
@@ -64,17 +101,19 @@ class LatentVotes:
     labels: np.ndarray
     prior: float
 
-    def latent(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        x = x @ self.basis
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    def latent(self, x: Counts) -> np.ndarray:
+        """Unit rows of the latent space; a text without terms is the zero row."""
+        weight, out = _weights(x, self.idf), np.zeros((len(x), self.basis.shape[1]), np.float32)
+        some = np.flatnonzero(np.diff(x.ends))
+        if len(some):
+            out[some] = np.add.reduceat(weight[:, None] * self.basis[x.terms], x.ends[some], axis=0)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
-    def score(self, counts: np.ndarray) -> np.ndarray:
+    def score(self, x: Counts) -> np.ndarray:
         """Exact cosine products with every labelled vector, then a vote weighted by similarity."""
         if not len(self.labels):
-            return np.full(len(counts), self.prior)
-        cos = self.latent(counts) @ self.vectors.T
+            return np.full(len(x), self.prior)
+        cos = self.latent(x) @ self.vectors.T
         k = min(NEIGHBOURS, cos.shape[1])
         near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(np.float64) ** 8
@@ -82,12 +121,40 @@ class LatentVotes:
         return np.clip(votes / (weight.sum(1) + 1e-3), 0, 1)
 
 
+def _weights(x: Counts, idf: np.ndarray) -> np.ndarray:
+    """log(1 + count) times inverse document frequency, each row of unit length."""
+    weight = (np.log1p(x.counts) * idf[x.terms]).astype(np.float32)
+    some = np.flatnonzero(np.diff(x.ends))
+    if len(some):
+        norms = np.sqrt(np.add.reduceat(weight * weight, x.ends[some]))
+        weight /= np.repeat(np.maximum(norms, 1e-9), np.diff(x.ends)[some])
+    return weight
+
+
+def _basis(x: Counts, weight: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors by subspace iteration over blocks of rows, so that no dense matrix is held."""
+    q = np.linalg.qr(np.random.default_rng(5).standard_normal((TERMS, min(rank + 8, max(1, len(x))))))[0].astype(np.float32)
+    for _ in range(ROUNDS):
+        z = np.zeros_like(q)
+        for at in range(0, len(x), ROWS):
+            ends = x.ends[at : at + ROWS + 1]
+            block = np.zeros((len(ends) - 1, TERMS), np.float32)
+            part = slice(ends[0], ends[-1])
+            block[np.repeat(np.arange(len(ends) - 1), np.diff(ends)), x.terms[part]] = weight[part]
+            z += block.T @ (block @ q)
+        values = np.linalg.norm(z, axis=0)
+        if not values.max() > 0:
+            return np.zeros((TERMS, 1), np.float32)
+        q = np.linalg.qr(z)[0].astype(np.float32)
+    return q[:, :rank]
+
+
 def _document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(TERMS + 1, dtype=np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
-                total[:TERMS] += (term_counts(part.column("text")) > 0).sum(0)
+            for part in _parts(batch):
+                total[:TERMS] += np.bincount(term_counts(part.column("text")).terms, minlength=TERMS)
                 total[TERMS] += len(part)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int32()), pa.array(total[total > 0])], ["term", "n"])
 
@@ -99,7 +166,8 @@ def _document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> LatentVotes:
-    """Fit on at most ``sample_rows`` labelled documents, chosen by a hash of their ids."""
+    """Fit on at most ``sample_rows`` labelled documents, chosen by a hash of their ids. Of rows that repeat an id
+    one counts, whichever their order."""
     df, n = _document_frequencies(docs)
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 0.1, 0).astype(np.float32)
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -108,30 +176,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, s
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                rows = [row.astype(np.float32).tobytes() for row in term_counts(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "terms"])
+            for part in _parts(batch):
+                x = term_counts(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([x.row(i) for i in range(len(x))], pa.binary())], ["doc_id", "quality", "terms"])
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id")
-    rows = sample.select("doc_id", "quality", "text").mapInArrow(vectors, schema).dropDuplicates(["doc_id"]).collect()  # at most sample_rows
+    rows = sample.select("doc_id", "quality", "text").mapInArrow(vectors, schema).groupBy("doc_id", "quality").agg(F.min("terms").alias("terms")).collect()  # at most sample_rows
     if not rows:
         return LatentVotes(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     rows.sort(key=lambda r: r.doc_id)
-    quality = np.array([float(r.quality) for r in rows])
-    x = np.empty((len(rows), TERMS), np.float32)
-    while rows:  # one matrix, filled and scaled in place: it is all that the driver holds
-        at = len(rows) - 1
-        x[at] = np.frombuffer(rows.pop().terms, np.float32)
-    np.log1p(x, out=x)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    values, left = np.linalg.eigh(x @ x.T)
-    top = np.argsort(-values)[:RANK]
-    top = top[values[top] > 1e-6]
-    basis = (x.T @ (left[:, top] / np.sqrt(values[top]))).astype(np.float32) if len(top) else np.zeros((TERMS, 1), np.float32)
-    vectors = x @ basis
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return LatentVotes(idf, basis, vectors, quality, float(quality.mean()))
+    quality, x = np.array([float(r.quality) for r in rows]), Counts.of_rows([bytes(r.terms) for r in rows])
+    del rows
+    basis = _basis(x, _weights(x, idf), RANK)
+    model = LatentVotes(idf, basis, np.zeros((0, 1), np.float32), quality, float(quality.mean()))
+    model.vectors = model.latent(x)
+    return model
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -139,7 +198,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, sampl
 
     Labels are learnt only from ids whose crc32 (of the id as text) mod 4 is not 2; the score sees
     nothing but the text. Null and empty texts get the labelled share of quality 1, all rows 0.5 where
-    no label can be learnt; repeated rows get equal scores, a null id is not held out.
+    no label can be learnt; repeated rows get equal scores, a null id is not held out. Texts of any length are
+    counted whole. Columns named held_out, score or predicted are replaced; a table without rows gives none.
     """
     part = F.crc32(F.col("doc_id").cast("string")) % 4
     model = fit(docs, labels.where(part != 2), sample_rows=sample_rows)
@@ -148,7 +208,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, sampl
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in _parts(batch):
                 scores = model.score(term_counts(rows.column("text")))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores.astype(np.float64))], [*rows.schema.names, "score"])
 
@@ -157,5 +217,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, sampl
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their own columns."""
+    """The documents that the classifier doesn't reject, with their own columns.
+
+    Texts that are null or empty follow the labelled share, as in ``score_quality``; repeated rows go or stay
+    together; the table without rows stays so."""
     return score_quality(docs, labels).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
