@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat, decontaminate, embeddings, licenses, minhash, mixing, pii, quality, secrets, substrings
+from .oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,7 @@ def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_sources(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_prob", 6).alias("prob"), F.round("mix_repeat", 6).alias("repeat"), F.col("mix_kept").alias("kept"))
+    return rows.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_prob", 6).alias("prob"), F.round("mix_repeat", 6).alias("repeat"), F.round("mix_residual", 6).alias("residual"), F.col("mix_kept").alias("kept"))
 
 
 def op5_chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -2,9 +2,12 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +91,29 @@ def test_op2(spark):
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(900, 906)) and not got[None].kept
 
 
+def test_op2_odd(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert embeddings.near_vectors(none).count() == 0
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(700)] + [(5, [1.0, 2.0, 3.0]), (1000, [0.0, 0.0, 0.0]), (1001, [0.0, 0.0, 0.0])]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert len(got) == 703 and all((r.n_links, r.component_id) == ((699, 0) if r.vec_id < 1000 else (0, r.vec_id)) for r in got)
+
+
+def test_op2_recall_on_the_table(spark):
+    """The share of pairs at 0.9 or more that the tables bring together, on vectors close to the threshold."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((150, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    both = np.concatenate([x, 0.905 * x + np.sqrt(1 - 0.905**2) * y])
+    got = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")).collect()
+    u = both / np.linalg.norm(both, axis=1, keepdims=True)
+    links = ((u @ u.T >= 0.9) & ~np.eye(300, dtype=bool)).sum()
+    assert 0.97 * links <= sum(r.n_links for r in got) <= links
+
+
 def test_op3(spark, docs):
     got = {r.doc_id: r for r in entry.queries()["op3_quality_votes"](spark, "/root/testdata/sf0.01").collect()}
     truth = [(got[r.doc_id], r.quality) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()]
@@ -96,6 +122,28 @@ def test_op3(spark, docs):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_op3_scores_are_votes_of_the_nearest(spark, docs):
+    """Each score against a plain dense version of terms, cosines and votes."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs.select("doc_id", "text"), labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    got = {r.doc_id: r.score for r in entry.queries()["op3_quality_votes"](spark, SF).collect()}
+    for r in docs.collect():
+        x = quality.term_counts(pa.array([r.text], pa.string()))
+        dense = np.zeros(quality.TERMS)
+        dense[x.terms] = np.log1p(x.counts) * model.idf[x.terms]
+        dense = dense / (np.linalg.norm(dense) or 1) @ model.basis
+        cos = dense / (np.linalg.norm(dense) or 1) @ model.vectors.T
+        near = np.argsort(-cos, kind="stable")[: quality.NEIGHBOURS]
+        weight = np.maximum(cos[near], 0) ** 8
+        assert got[r.doc_id] == pytest.approx((weight @ model.labels[near] + 1e-3 * model.prior) / (weight.sum() + 1e-3), abs=2e-3)
+
+
+def test_op3_counts_bounded_rows(spark):
+    rows = spark.createDataFrame([(i, "two words") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    one = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert len({r.score for r in quality.score_quality(rows, one).collect()}) == 1
+
+
 def test_op3_odd(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.score_quality(odd, none).collect()} == {0.5}
@@ -114,6 +162,55 @@ def test_op4_meets_marginals(spark, docs):
     assert all(abs(r.mix_weight * rows[0].mix_prob * rows[0].mix_repeat / rows[0].mix_weight - r.mix_prob * r.mix_repeat) < 1e-6 for r in rows)
 
 
+def raked(cells, targets, rounds=60):
+    """Token weights of cells {(categories): tokens} fitted to shares, in NumPy."""
+    keys, total = sorted(cells), sum(cells.values())
+    w = np.array([float(cells[k]) for k in keys])
+    goals = []
+    for n, wanted in enumerate(targets.values()):
+        have = Counter()
+        for k in keys:
+            have[k[n]] += cells[k]
+        spare = have.get(mixing.OTHER, 0) / total
+        known = sum(v for k, v in wanted.items() if have.get(k, 0) > 0)
+        goals.append({k: have[k] if k == mixing.OTHER else wanted[k] / known * (1 - spare) * total for k in have})
+    for _ in range(rounds):
+        for n, goal in enumerate(goals):
+            now = Counter()
+            for k, x in zip(keys, w, strict=True):
+                now[k[n]] += x
+            w = np.array([x * goal[k[n]] / now[k[n]] if now[k[n]] else 0 for k, x in zip(keys, w, strict=True)])
+    return dict(zip(keys, w, strict=True))
+
+
+def test_op4_query_equals_a_numpy_rake(spark, texts):
+    rows = entry.queries()["op4_mix_sources"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and all(r.n_tokens == len(words(texts[r.doc_id])) for r in rows)
+    cells = Counter()
+    key = lambda r: tuple(v if v in t else mixing.OTHER for v, t in zip((r.source, r.lang, r.topic), mixing.TARGETS.values(), strict=True))
+    for r in rows:
+        cells[key(r)] += r.n_tokens
+    fitted = raked(cells, mixing.TARGETS)
+    weight = {k: fitted[k] / n if n else 0.0 for k, n in cells.items()}
+    total, factor = sum(cells.values()), 0.5
+    for _ in range(100):
+        factor *= 0.5 * total / sum(n * min(1, factor * weight[k]) for k, n in cells.items())
+    for r in rows:
+        wanted = factor * weight[key(r)]
+        assert (r.weight, r.prob, r.repeat) == pytest.approx((weight[key(r)], min(1, wanted), max(1, wanted)), abs=2e-5)
+        draw = int(hashlib.sha256(f"{r.doc_id}:mix".encode()).hexdigest()[:12], 16) / 16**12
+        assert r.kept == (draw < r.prob) or abs(draw - r.prob) < 2e-6
+
+
+def test_op4_tells_targets_that_cannot_be_met(spark):
+    rows = spark.createDataFrame([(1, "a b", "x", "p"), (2, "c d", "y", "q")], "doc_id long, text string, source string, lang string")
+    dims = {"source": F.col("source"), "lang": F.col("lang")}
+    got = mixing.mix_sources(rows, {"source": {"x": 0.9, "y": 0.1}, "lang": {"p": 0.1, "q": 0.9}}, dims=dims).collect()
+    assert got[0].mix_residual > 0.5
+    with pytest.raises(ValueError):
+        mixing.mix_sources(rows, {"source": {str(i): 1 for i in range(200)}, "lang": {str(i): 1 for i in range(200)}}, dims=dims)
+
+
 def test_op4_tokens_and_odd(odd):
     by = {r.doc_id: r for r in mixing.mix_sources(odd).collect()}
     assert by[1].mix_tokens == 0 and by[4].mix_tokens == 40_000 and by[1].mix_source == mixing.OTHER and by[5].mix_kept == by[5].mix_kept
@@ -142,9 +239,62 @@ def test_op5_layouts_and_escapes(spark):
     records = ['{"prompt": "p", "completion": "c", "id": 3}', '{"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}', '{"instruction": "i", "input": "n", "output": "o"}', '{"x": 1}', "{broken", None, '{"messages": []}', '{"messages": [{"role": "user", "content": null}]}']
     got = chat.format_records(spark.createDataFrame([(i, r, "z") for i, r in enumerate(records)], "id int, record string, layout string")).orderBy("id").collect()
     assert [r.layout for r in got] == ["prompt_completion", "conversations", "instruction", None, None, None, "messages", "messages"]
+    assert [r.rest for r in got[:4]] == ['{"id": 3}', None, None, '{"x": 1}']
     assert [tuple(t) for t in got[1].turns] == [("user", "h"), ("assistant", "g")] and [tuple(t) for t in got[2].turns] == [("user", "i\n\nn"), ("assistant", "o")]
 
 
+def test_op5_keeps_every_text_of_a_list():
+    for record, turns, rest in (
+        ('{"messages": ["hello", "there"]}', [("user", "hello"), ("assistant", "there")], None),
+        ('{"messages": [{"role": "user", "content": "x", "name": "n"}, "plain"]}', [("user", "x"), ("assistant", "plain")], '{"messages[0].name": "n"}'),
+        ('{"dialog": ["a", "b", "c"]}', [("user", "a"), ("assistant", "b"), ("user", "c")], None),
+        ('{"prompt": {"x": [1, 2]}, "completion": "c"}', [("user", '{"x": [1, 2]}'), ("assistant", "c")], None),
+    ):
+        name, _, left, got = chat.canonical(record)
+        assert name and got == turns and left == rest
+
+
+def test_op5_query_meets_several_layouts(spark):
+    turns = spark.createDataFrame([(i, j, r, f"t{i}") for i in range(60) for j, r in enumerate(("user", "assistant") if i % 2 else ("human", "assistant", "user"))], "conv_id long, turn long, role string, text string")
+    rows = chat.format_records(chat.records_of(turns)).collect()
+    assert len({r.layout for r in rows}) >= 5
+    assert all([t.role for t in r.turns] == (["user", "assistant"] if r.conv_id % 2 else ["human", "assistant", "user"]) for r in rows)
+    assert chat.format_records(chat.records_of(turns.limit(0))).count() == 0
+
+
+def test_op5_long_texts_of_escapes():
+    turns = [("user", "</turn>\\" * 50_000)]
+    assert chat.parse(chat.render(turns)[0]) == turns
+
+
+def test_op6_query_equals_brute_force(spark, docs):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    held = {}
+    for r in items.collect():
+        w = decontaminate.words_of(r.text)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            held.setdefault(tuple(w[i : i + 10]), set()).add(str(r.item_id))
+    sizes = {len(k) for k in held}
+    plain = entry.queries()["op6_prefix_decontaminate"](spark, SF).collect()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    blocks = {r.doc_id: tuple(r) for r in decontaminate.digest(decontaminate.decontaminate(docs, items, block_bytes=5_000)).collect()}
+    for r in plain:
+        w, mask, ids = decontaminate.words_of(text[r.doc_id]), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in held:
+                    mask |= set(range(i, i + n))
+                    ids |= held[tuple(w[i : i + n])]
+        assert tuple(r)[1:] == (len(w), len(mask), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(mask)) and blocks[r.doc_id] == tuple(r)
+
+
+def test_op6_cuts_long_items_into_pieces(spark):
+    long = " ".join(f"w{i}" for i in range(3 * decontaminate.PIECE))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 12))) for i in range(decontaminate.PIECE - 14, decontaminate.PIECE + 4)], "doc_id long, text string")
+    got = decontaminate.digest(decontaminate.decontaminate(docs, spark.createDataFrame([("x", long)], "item_id string, text string"))).collect()
+    assert all(r.n_hit == 12 and r.n_items == 1 for r in got)
+
+
 def test_op6_small_items_and_blocks(spark, odd):
     items = spark.createDataFrame([("b", "Two THREE"), ("a", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), ("c", ""), (None, "fourteen"), ("d", None), ("b", "two three")], "item_id string, text string")
     for size in (32_000_000, 10):
@@ -162,6 +312,51 @@ def test_op7_alignment():
     assert [f[0] for f in found] == ["MIT-notice", "all-rights-reserved", "MIT"]
 
 
+def naive_align(a, b):
+    """Patience by definition, recursively: common ends, then the longest increasing chain of words unique to both sides."""
+    if not a or not b:
+        return []
+    if a[0][1] == b[0][1]:
+        return [(a[0][0], b[0][0]), *naive_align(a[1:], b[1:])]
+    if a[-1][1] == b[-1][1]:
+        return [*naive_align(a[:-1], b[:-1]), (a[-1][0], b[-1][0])]
+    once = lambda x: {w for w, n in Counter(w for _, w in x).items() if n == 1}
+    both = once(a) & once(b)
+    where = {w: j for j, w in b if w in both}
+    pairs = [(i, where[w]) for i, w in a if w in both]
+    best, longest = [], lambda c: (len(c), -c[-1][1])  # of equally long chains the one that ends first
+    for i, (x, y) in enumerate(pairs):
+        best.append(max((best[k] for k in range(i) if pairs[k][1] < y), key=longest, default=[]) + [(x, y)])
+    chain = max(best, key=longest, default=[])
+    if not chain:
+        return []
+    out, last = [], (a[0][0] - 1, b[0][0] - 1)
+    for x, y in [*chain, (a[-1][0] + 1, b[-1][0] + 1)]:
+        out += naive_align([p for p in a if last[0] < p[0] < x], [p for p in b if last[1] < p[0] < y])
+        if (x, y) in chain:
+            out.append((x, y))
+        last = (x, y)
+    return out
+
+
+def test_op7_alignment_has_the_length_of_a_naive_one():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = ([f"w{i}" for i in rng.integers(0, 25, n)] for n in rng.integers(0, 30, 2))
+        got = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in got) and got == sorted(got) and len({j for _, j in got}) == len(got) == len(naive_align(list(enumerate(a)), list(enumerate(b))))
+
+
+def test_op7_odd_and_full_texts(spark, odd):
+    got = licenses.digest(licenses.scan_licenses(odd)).collect()
+    assert len(got) == 10 and all(r.n_notices == 0 for r in got)
+    assert licenses.scan_licenses(odd.limit(0)).count() == 0 and licenses.scan_licenses(odd, {}).where(F.size("licenses") > 0).count() == 0
+    found = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    for name, body in licenses.TEMPLATES.items():
+        assert name in [x[0] for x in found.find(licenses.words_of(f"int main() {{}} {body} more"))]
+    assert [x[0] for x in found.find(licenses.words_of(licenses.TEMPLATES["LGPL-2.1-or-later"]))] == ["LGPL-2.1-or-later"]
+
+
 def test_op7_finds_every_notice(spark, texts):
     got = {r.doc_id: r.notices for r in entry.queries()["op7_license_patience"](spark, SF).collect()}
     for name in list(licenses.TEMPLATES)[:5]:
@@ -185,6 +380,19 @@ def test_op8(spark, texts):
         assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest() and set(spans) <= set(r.spans.split(",")) | {""}
 
 
+def test_op8_odd_and_long(spark, odd):
+    got = pii.digest(pii.find_personal_data(odd)).collect()
+    assert len(got) == 10 and all(r.spans == "" for r in got)
+    assert pii.find_personal_data(odd.limit(0)).count() == 0
+    clean = spark.createDataFrame([(1, "nothing here"), (2, None)], "doc_id long, text string")
+    assert [r.pii for r in pii.find_personal_data(clean).collect()] == [[], []]
+    for text in ("a" * 100_000, "1" * 100_000, "1.1." * 25_000, "@" * 100_000, "a at b " * 14_000, "1" + "-" * 100_000, "1.2.3." + "0" * 5_000 + "1"):
+        began = time.process_time()
+        pii.base_spans(text), pii.outside(text)
+        assert time.process_time() - began < 5
+    assert pii.base_spans("1.2.3." + "0" * 5_000 + "1") == [(0, 1, 5_007)]
+
+
 def test_op8_finds_and_redacts_forms_that_the_base_detectors_miss(spark):
     rng = np.random.default_rng(6)
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
@@ -273,3 +481,15 @@ def test_redaction_and_pipeline(spark, docs):
     assert got[1].text == "é [SECRET] end" and got[1].n_chars == 14 and got[2].text == "plain"
     out = entry.queries()["pipeline"](spark, SF)
     assert out.count() >= 20 and {"doc_id", "text", "lang", "source", "n_chars", "weight"} <= set(out.columns)
+
+
+@pytest.mark.parametrize("name", sorted(entry.llm_queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    cursor = con.execute(entry.oracle_sql()[name])
+    names = sorted(d[0] for d in cursor.description)
+    want = sorted(tuple(dict(zip([d[0] for d in cursor.description], r, strict=True))[c] for c in names) for r in cursor.fetchall())
+    frame = entry.queries()[name](spark, SF)
+    assert sorted(frame.columns) == names and sorted(tuple(r[c] for c in names) for r in frame.collect()) == want
