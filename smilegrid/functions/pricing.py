@@ -64,17 +64,32 @@ def bs_price(s: Column, k: Column, t: Column, r: Column, v: Column, right: Colum
 
 def greeks(s: Column, k: Column, t: Column, r: Column, v: Column, right: Column, q: Column | None = None) -> dict[str, Column]:
     """delta, gamma, vega (a unit of volatility) and theta (a year); NULL without a positive volatility."""
+    x = greeks_struct(s, k, t, r, v, right, q)
+    return {n: x[n] for n in ("delta", "gamma", "vega", "theta")}
+
+
+def greeks_struct(s: Column, k: Column, t: Column, r: Column, v: Column, right: Column, q: Column | None = None) -> Column:
+    """All Greeks as one struct. Lists of one bind d1 and the distribution's values once, which keeps the generated code small."""
     q = F.lit(0.0) if q is None else q
     d1, d2, t, vol = _d(s, k, t, r, v, q)
-    eq, er, call = F.exp(-q * t), F.exp(-r * t), right == "C"
-    decay = -s * eq * norm_pdf(d1) * vol / (2 * F.sqrt(t))
-    out = {
-        "delta": F.when(call, eq * norm_cdf(d1)).otherwise(eq * (norm_cdf(d1) - 1)),
-        "gamma": eq * norm_pdf(d1) / (s * vol * F.sqrt(t)),
-        "vega": s * eq * norm_pdf(d1) * F.sqrt(t),
-        "theta": F.when(call, decay - r * k * er * norm_cdf(d2) + q * s * eq * norm_cdf(d1)).otherwise(decay + r * k * er * norm_cdf(-d2) - q * s * eq * norm_cdf(-d1)),
-    }
-    return {n: F.when(v > 0, c) for n, c in out.items()}
+    parts = F.array(F.struct(d1.alias("d1"), d2.alias("d2"), F.sqrt(t).alias("root"), vol.alias("vol"), F.exp(-q * t).alias("eq"), F.exp(-r * t).alias("er"), s.alias("s"), k.alias("k"), r.alias("r"), q.alias("q"), (right == "C").alias("call"), (v > 0).alias("ok")))
+
+    def values(x: Column) -> Column:
+        return F.struct(x.alias("x"), norm_cdf(x["d1"]).alias("n1"), norm_cdf(x["d2"]).alias("n2"), norm_pdf(x["d1"]).alias("pdf"))
+
+    def all_greeks(y: Column) -> Column:
+        x, n1, n2, pdf = y["x"], y["n1"], y["n2"], y["pdf"]
+        decay = -x["s"] * x["eq"] * pdf * x["vol"] / (2 * x["root"])
+        cash, carry = x["r"] * x["k"] * x["er"], x["q"] * x["s"] * x["eq"]
+        out = {
+            "delta": F.when(x["call"], x["eq"] * n1).otherwise(x["eq"] * (n1 - 1)),
+            "gamma": x["eq"] * pdf / (x["s"] * x["vol"] * x["root"]),
+            "vega": x["s"] * x["eq"] * pdf * x["root"],
+            "theta": F.when(x["call"], decay - cash * n2 + carry * n1).otherwise(decay + cash * (1 - n2) - carry * (1 - n1)),
+        }
+        return F.struct(*[F.when(x["ok"], c).alias(n) for n, c in out.items()])
+
+    return F.transform(F.transform(parts, values), all_greeks)[0]
 
 
 def _cdf(x: np.ndarray) -> np.ndarray:
@@ -85,21 +100,25 @@ def _cdf(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, 1 - tail, tail)
 
 
-def solve_iv(price: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, r: np.ndarray, call: np.ndarray, *, steps: int = 100, tolerance: float = 1e-6) -> np.ndarray:
-    """Newton's method for all rows at once; a row stops when it is within tolerance. NaN unless 0 < iv < 10."""
+def solve_iv(price: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, r: np.ndarray, call: np.ndarray | None = None, *, q: np.ndarray | float = 0.0, steps: int = 100, tolerance: float = 1e-6) -> np.ndarray:
+    """Newton's method for all rows at once; a row stops when it is within tolerance. NaN unless 0 < iv < 10, and where any
+    argument is missing. Without ``call`` an option is a call where the spot is above the strike."""
     t = np.maximum(t, 1e-10)
+    call = s > k if call is None else call
+    fs, fk = s * np.exp(-q * t), k * np.exp(-r * t)
     guess = np.clip(np.sqrt(2 * np.pi / t) * price / s, 0.05, 3.0)
     v = np.where((s / k > 0.8) & (s / k < 1.2), guess, 0.25)
-    live = np.isfinite(price) & np.isfinite(s) & np.isfinite(k)
+    live = np.isfinite(price) & np.isfinite(s) & np.isfinite(k) & np.isfinite(t) & np.isfinite(r) & np.isfinite(q)
+    v = np.where(live, v, np.nan)
     for _ in range(steps):
         root = np.maximum(v, 1e-10) * np.sqrt(t)
-        d1 = (np.log(s / k) + (r + v * v / 2) * t) / root
-        c = s * _cdf(d1) - k * np.exp(-r * t) * _cdf(d1 - root)
-        gap = np.where(call, c, c - s + k * np.exp(-r * t)) - price
+        d1 = (np.log(s / k) + (r - q + v * v / 2) * t) / root
+        c = fs * _cdf(d1) - fk * _cdf(d1 - root)
+        gap = np.where(call, c, c - fs + fk) - price
         live = live & (np.abs(gap) >= tolerance)
         if not live.any():
             break
-        vega = s * np.exp(-d1 * d1 / 2) / _ROOT_2PI * np.sqrt(t)
+        vega = fs * np.exp(-d1 * d1 / 2) / _ROOT_2PI * np.sqrt(t)
         v = np.where(live, v - gap / np.maximum(vega, 1e-10), v)
     return np.where(np.isfinite(v) & (v > 0) & (v < 10), v, np.nan)
 

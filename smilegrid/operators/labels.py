@@ -124,3 +124,46 @@ def losses(x: Column, y: Column, delta: float = 1.0, q: float = 0.5) -> dict[str
 
 def weighted_loss(error: Column, weight: Column) -> Column:
     return ratio(F.sum(error * weight), F.sum(weight))
+
+
+def splits(panel: DataFrame, ts: str, train_start: Column, val_start: Column, test_start: Column, test_end: Column) -> DataFrame:
+    """A row for each split that a panel row belongs to (each keeps the history before it), and whether a sample may end there."""
+    t = F.col(ts)
+    ends = (("train", val_start, train_start), ("val", test_start, val_start), ("test", test_end, test_start))
+    own = F.filter(F.array(*[F.when(t < end, F.struct(F.lit(n).alias("split"), (t >= first).alias("target"))) for n, end, first in ends]), lambda x: x.isNotNull())
+    return panel.withColumn("_s", F.explode(own)).select(*panel.columns, "_s.split", "_s.target")
+
+
+def split_issues(split_rows: DataFrame, label: str) -> DataFrame:
+    """rows and labels (of rows that a sample may end at) of each split, and whether it can be used: at least one label."""
+    counts = split_rows.groupBy("split").agg(F.count_if("target").alias("rows"), F.count_if(F.col("target") & F.col(label).isNotNull()).alias("labels"))
+    return counts.withColumn("usable", F.col("labels") > 0)
+
+
+def node_stats(frame: DataFrame, column: str, by: list[str], masked: str | None = None) -> DataFrame:
+    """mean and deviation of each node over unmasked values: (value, 1) where there is one, (0, 1) where there is none."""
+    ok = F.lit(True) if masked is None else ~F.coalesce(F.col(masked), F.lit(False))
+    x = F.when(ok, F.col(column))
+    return frame.groupBy(*by).agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.when(F.stddev_samp(x) >= 1e-10, F.stddev_samp(x)).otherwise(1.0).alias("std"))
+
+
+def global_stats(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """mean and deviation of each label over the whole frame: (0, 1) under two values."""
+    parts = [F.struct(F.lit(c).alias("label"), F.when(F.count(c) > 1, F.avg(c)).otherwise(0.0).alias("mean"), F.when((F.count(c) > 1) & (F.stddev_samp(c) >= 1e-10), F.stddev_samp(c)).otherwise(1.0).alias("std")) for c in columns]
+    return frame.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def normalise_with(frame: DataFrame, column: str, stats: DataFrame, by: list[str]) -> DataFrame:
+    """z by statistics of another frame (train's); unknown is 0, and a node without statistics counts as (0, 1)."""
+    rows = frame.join(stats, by, "left")
+    return rows.withColumn("z", F.coalesce((F.col(column) - F.coalesce("mean", F.lit(0.0))) / F.coalesce("std", F.lit(1.0)), F.lit(0.0))).drop("mean", "std")
+
+
+def denormalised(value: Column, mean: Column, std: Column) -> Column:
+    return value * std + mean
+
+
+def unfolded(values: Column, length: int, stride: int) -> Column:
+    """Overlapping windows of a list: ``length`` long, ``stride`` apart; a list that is too short has none."""
+    n = F.floor((F.size(values) - length) / stride).cast("int")
+    return F.when(F.size(values) >= length, F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(values, i * stride + 1, length))).otherwise(F.array().cast("array<array<double>>"))

@@ -33,21 +33,44 @@ def matrix(pairs: DataFrame, value: str) -> tuple[list, np.ndarray]:
     return names, m
 
 
-def clean_correlation(corr: np.ndarray, rows: int, *, cap: float = 100.0) -> np.ndarray:
-    """Eigenvalues inside the Marchenko-Pastur noise band become their mean; unit diagonal, bounded condition."""
+def clean_correlation(corr: np.ndarray, rows: int, *, cap: float = 100.0, method: str = "clip_to_mean") -> np.ndarray | None:
+    """Eigenvalues inside the Marchenko-Pastur band (both edges) become their mean, zero, or half way to one; then a floor, a ridge
+    of the largest over ``cap`` where the condition exceeds it, and a unit diagonal. None where all are noise: shrink instead."""
     values, vectors = np.linalg.eigh(corr)
-    edge = (1 + np.sqrt(len(corr) / rows)) ** 2
-    noise = values <= edge
+    gamma = len(corr) / rows
+    noise = (values >= (1 - np.sqrt(gamma)) ** 2) & (values <= (1 + np.sqrt(gamma)) ** 2)
+    if noise.all():
+        return None
     if noise.any():
-        values = np.where(noise, values[noise].mean(), values)
+        mean = values[noise].mean()
+        values = np.where(noise, {"clip_to_mean": mean, "clip_to_zero": 0.0, "shrink_toward_identity": 0.5 + 0.5 * mean}[method], values)
     values = np.maximum(values, 1e-10)
-    if values.max() / values.min() > cap:
-        values = values + (values.max() - cap * values.min()) / (cap - 1)
     out = vectors @ np.diag(values) @ vectors.T
-    scale = np.sqrt(np.diag(out))
+    if values.max() / values.min() > cap:
+        out = out + values.max() / cap * np.eye(len(out))
+    scale = np.maximum(np.sqrt(np.diag(out)), 1e-12)
     return out / np.outer(scale, scale)
 
 
+def shrunk_correlation(cov: np.ndarray) -> np.ndarray:
+    scale = np.maximum(np.sqrt(np.diag(cov)), 1e-12)
+    return cov / np.outer(scale, scale)
+
+
+def portfolio_variance(cov: DataFrame, weights: DataFrame) -> DataFrame:
+    """w' S w from covariance pairs (a <= b) and weights (node, w): one row."""
+    rows = cov.join(F.broadcast(weights.select(F.col("node").alias("a"), F.col("w").alias("wa"))), "a").join(F.broadcast(weights.select(F.col("node").alias("b"), F.col("w").alias("wb"))), "b")  # at most MOST_NODES
+    return rows.agg(F.sum(F.col("cov") * F.col("wa") * F.col("wb") * F.when(F.col("a") == F.col("b"), 1).otherwise(2)).alias("variance"))
+
+
+def marginal_risk(cov: DataFrame, weights: DataFrame) -> DataFrame:
+    """S w over the portfolio's deviation, for each node; 0 under a deviation of 1e-12."""
+    both = cov.select("a", "b", "cov").union(cov.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
+    rows = both.join(F.broadcast(weights.select(F.col("node").alias("b"), F.col("w").alias("wb"))), "b").groupBy(F.col("a").alias("node")).agg(F.sum(F.col("cov") * F.col("wb")).alias("sw"))
+    sigma = F.broadcast(portfolio_variance(cov, weights).select(F.sqrt("variance").alias("s")))  # one row
+    return rows.crossJoin(sigma).select("node", F.when(F.col("s") < 1e-12, 0.0).otherwise(F.col("sw") / F.col("s")).alias("marginal"))
+
+
 def shrunk_covariance(x: np.ndarray) -> tuple[np.ndarray, float]:
     """Ledoit-Wolf shrinkage to a scaled identity (2004); without rows, an empty matrix."""
     if not len(x):

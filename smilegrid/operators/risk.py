@@ -45,11 +45,81 @@ def fills(orders: DataFrame, *, slippage_bps: float = 5.0, fee: float = 0.65, le
 
 
 def stress(portfolio: DataFrame, key: str) -> DataFrame:
-    """The worst of all spot and volatility shocks together, and its scenario."""
-    cells = [(s, v) for s in (0.0, *SPOT_SHOCKS) for v in (0.0, *VOL_SHOCKS)]
+    """The worst scenario: a spot shock (by delta and gamma), a volatility shock (by vega), or the worst fall and rise together."""
+    spots = [(s, 0.0) for s in SPOT_SHOCKS]
+    vols = [(0.0, v) for v in VOL_SHOCKS]
     move = lambda s: F.col("spot") * s
+    cells = [*spots, *vols, (min(SPOT_SHOCKS), max(VOL_SHOCKS))]
     grid = F.array(*[F.struct((F.col("delta") * move(s) + F.col("gamma") * move(s) * move(s) / 2 + F.col("vega") * v / 100).alias("pnl"), F.lit(s).alias("spot_shock"), F.lit(v).alias("vol_shock")) for s, v in cells])
-    return portfolio.select(key, F.array_min(grid).alias("w")).select(key, F.col("w.pnl").alias("worst_pnl"), F.col("w.spot_shock"), F.col("w.vol_shock"))
+    return portfolio.select(key, F.array_min(grid).alias("w")).select(key, F.col("w.pnl").alias("worst_pnl"), F.abs(F.least("w.pnl", F.lit(0.0))).alias("worst_loss"), F.col("w.spot_shock"), F.col("w.vol_shock"))
+
+
+def trade_issues(rows: DataFrame, *, most_loss: float, most_contracts: int, caps: dict[str, float], most_stress: float) -> DataFrame:
+    """Adds issues and approved: what a trade breaks. A row holds max_loss and contracts of the trade, the Greeks of the
+    portfolio with it (``with_delta`` and so on), and its worst_loss under stress."""
+    tests = {"max_loss": F.col("max_loss") > most_loss, "contracts": F.col("contracts") > most_contracts}
+    tests |= {g: F.abs(f"with_{g}") > cap for g, cap in caps.items()} | {"stress": F.col("worst_loss") > most_stress}
+    issues = F.filter(F.array(*[F.when(test, name) for name, test in tests.items()]), lambda x: x.isNotNull())
+    return rows.withColumn("issues", issues).withColumn("approved", F.size("issues") == 0)
+
+
+def exit_issues(closing: DataFrame, positions: DataFrame) -> DataFrame:
+    """approved for each position id of closing legs (position, symbol, qty, exit_type): stops and manual exits of known positions
+    always, others if every leg is the inverse of a leg held (positions: position, symbol, qty)."""
+    held = positions.select("position", "symbol", F.col("qty").alias("_held"))
+    known = positions.select("position").distinct().withColumn("_known", F.lit(True))
+    rows = closing.join(held, ["position", "symbol"], "left").join(known, "position", "left")
+    bad = F.coalesce(F.col("qty") != -F.col("_held"), F.lit(True))
+    urgent = F.bool_or(F.coalesce(F.col("exit_type").isin("STOP_LOSS", "MANUAL"), F.lit(False)))
+    return rows.groupBy("position").agg(F.count_if(bad).alias("wrong_legs"), (F.coalesce(F.bool_or("_known"), F.lit(False)) & (urgent | (F.count_if(bad) == 0))).alias("approved"))
+
+
+def kill_reason(daily_pnl: Column, stress_loss: Column, acceptable: Column, spread: Column, *, most_loss: float, most_spread: float = 0.10) -> Column:
+    """The first trigger that holds: daily loss, stress breach, liquidity collapse."""
+    return F.when(daily_pnl < -most_loss, "DAILY_LOSS").when(stress_loss > acceptable, "STRESS_BREACH").when(spread > most_spread, "LIQUIDITY_COLLAPSE")
+
+
+def latched(frame: DataFrame, reason: Column, by: list[str], order: list[str]) -> DataFrame:
+    """kill_reason: the first reason that was given, from its row on."""
+    spec = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return frame.withColumn("_reason", reason).withColumn("kill_reason", F.first("_reason", ignorenulls=True).over(spec)).drop("_reason")
+
+
+def rebalance(positions: DataFrame, by: list[str], bands: dict[str, tuple[float, float]], *, most: int = 3, least_gain: float = 0.1) -> DataFrame:
+    """Positions to close: for each Greek outside its band (target, drift allowed), worst first, those that push it further, the
+    greatest first, if closing saves a tenth of the drift; a position once, ``most`` in all."""
+    sums = Window.partitionBy(*by)
+    rows = positions.withColumns({f"_sum_{g}": F.sum(g).over(sums) for g in bands})
+    parts = []
+    for i, (g, (target, allowed)) in enumerate(bands.items()):
+        off = F.col(f"_sum_{g}") - target
+        push = F.col(g) * F.when(off > 0, 1).otherwise(-1)
+        parts.append(F.struct(F.when((F.abs(off) > allowed) & (push > 0) & (push >= least_gain * F.abs(off)), F.lit(True)).alias("on"), (F.abs(off) / allowed).alias("severity"), F.lit(i).alias("i"), F.lit(g).alias("greek"), push.alias("push")))
+    rows = rows.select(*by, "position", F.explode(F.array(*parts)).alias("x")).where("x.on").select(*by, "position", "x.*")
+    order = [F.desc("severity"), "i", F.desc("push"), "position"]
+    own = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "position").orderBy(*order))).where("_n = 1")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most).select(*by, "position", "greek", "place")
+
+
+def base_size(method: str, *, max_loss: Column, most_loss: float, base: int, edge: Column | None = None, conf: Column | None = None, kelly: float = 0.25) -> Column:
+    """Contracts before scaling: fixed, by risk parity (loss limit over loss), or a fraction of Kelly (confidence times edge)."""
+    if method == "fixed":
+        return F.lit(base)
+    if method == "risk_parity":
+        return F.when(max_loss <= 0, base).otherwise(F.greatest(F.lit(1), F.floor(most_loss / max_loss)))
+    stake = conf * F.abs(edge) * kelly * most_loss * 10
+    return F.when((F.abs(edge) <= 0) | (max_loss <= 0), base).otherwise(F.greatest(F.lit(1), F.floor(stake / max_loss)))
+
+
+def risk_factor(max_loss: Column, most_loss: float) -> Column:
+    return F.when(max_loss > most_loss, most_loss / max_loss).otherwise(1.0)
+
+
+def cost_estimate(legs: DataFrame, by: list[str], *, slippage_bps: float = 5.0, fee: float = 0.65, least_fee: float = 1.0) -> DataFrame:
+    """slippage (of legs with a quote), fees and their total, without executing."""
+    side = F.when(F.col("qty") > 0, F.col("ask")).otherwise(F.col("bid"))
+    rows = legs.groupBy(*by).agg(F.coalesce(F.sum(side * (slippage_bps / 1e4) * F.abs("qty") * MULTIPLIER), F.lit(0.0)).alias("slippage"), F.greatest(F.sum(F.abs("qty")) * fee, F.lit(least_fee)).cast("double").alias("fees"))
+    return rows.withColumn("total", F.col("slippage") + F.col("fees"))
 
 
 def latch(frame: DataFrame, condition: Column, by: list[str], order: list[str]) -> DataFrame:

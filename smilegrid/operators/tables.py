@@ -53,3 +53,56 @@ def bad_bars() -> Column:
     """Whether a complete bar breaks an inequality of open, high, low and close."""
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
     return (h < low) | (h < o) | (h < c) | (low > o) | (low > c)
+
+
+def missing_columns(frame: DataFrame, required: list[str]) -> DataFrame:
+    """An ERROR row for each required column that the frame lacks."""
+    lacks = [(f"missing_{c}", "ERROR", 0) for c in required if c not in frame.columns]
+    return frame.sparkSession.createDataFrame(lacks, "check string, severity string, rows long")
+
+
+def quote_issues(quotes: DataFrame) -> DataFrame:
+    """check, severity and rows: crossed quotes warn, negative prices are errors; nothing where there are none."""
+    counts = quotes.agg(F.count_if(F.col("bid") > F.col("ask")).alias("crossed"), F.count_if((F.col("bid") < 0) | (F.col("ask") < 0)).alias("negative"))
+    parts = F.array(*[F.struct(F.lit(k).alias("check"), F.lit(v).alias("severity"), F.col(k).alias("rows")) for k, v in (("crossed", "WARNING"), ("negative", "ERROR"))])
+    return counts.select(F.explode(parts).alias("x")).select("x.*").where("rows > 0")
+
+
+def null_issues(frame: DataFrame, columns: list[str], most: float = 0.0) -> DataFrame:
+    return null_report(frame, columns, most).select(F.concat(F.lit("null_"), "column_name").alias("check"), "severity", F.col("nulls").alias("rows"))
+
+
+def validate(frames: dict[str, tuple[DataFrame, list[DataFrame]]]) -> DataFrame:
+    """Every table's issues: data, check, severity, rows."""
+    parts = [issues.select(F.lit(name).alias("data"), "check", "severity", "rows") for name, (_, checks) in frames.items() for issues in checks]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def rollup(issues: DataFrame, totals: DataFrame) -> DataFrame:
+    """passed (no ERROR), issues and total_rows of each table; totals: data, total_rows."""
+    own = issues.groupBy("data").agg(F.count("*").alias("issues"), F.bool_and(F.col("severity") != "ERROR").alias("passed"))
+    rows = totals.groupBy("data").agg(F.sum("total_rows").alias("total_rows")).join(own, "data", "left")
+    return rows.select("data", F.coalesce("passed", F.lit(True)).alias("passed"), F.coalesce("issues", F.lit(0)).alias("issues"), "total_rows")
+
+
+def statistics_rows(frame: DataFrame, kinds: list[int]) -> DataFrame:
+    """Statistics of the wanted types, their time coalesced from ts_event, the last of each (symbol, time, type) by place."""
+    rows = frame.where(F.col("stat_type").isin(kinds)).withColumn("ts_ref", F.coalesce("ts_ref", "ts_event"))
+    return first_rows(rows, ["symbol", "ts_ref", "stat_type"], [F.desc("place")])
+
+
+def chain_filter(symbols: DataFrame, spot: Column, as_of: Column, *, dte: tuple[int, int], moneyness: tuple[float, float], most: int) -> DataFrame:
+    """Options (symbol, expiry, right, strike) within days to expiry and moneyness, both ends included, and of each expiry and
+    right the ``most`` nearest the spot; ties by symbol."""
+    rows = symbols.where(F.date_diff("expiry", as_of).between(*dte) & (F.col("strike") / spot).between(*moneyness))
+    return first_rows(rows, ["expiry", "right"], [F.abs(F.col("strike") - spot), "symbol"], most)
+
+
+def latest_snapshot(frame: DataFrame, ts: str, upto: Column | None = None) -> DataFrame:
+    """The rows of the latest time (at or before ``upto``)."""
+    rows = frame if upto is None else frame.where(F.col(ts) <= upto)
+    last = rows.agg(F.max(ts).alias(ts))  # one row
+    return rows.join(F.broadcast(last), ts, "left_semi")

@@ -16,9 +16,9 @@ _G = "SELECT CAST(ts AS DATE) AS day, max(ts) AS ts, count(*) AS n FROM events W
 _M = "SELECT CAST(ts AS DATE) AS day, arg_max(value, ts) AS macro FROM events WHERE event_type = 'error' GROUP BY 1"
 
 
-@query("SELECT l.event_id, g.value AS spot, m.value AS macro FROM (SELECT * FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05') l ASOF LEFT JOIN (SELECT ts, value FROM events WHERE event_type = 'view') g ON l.ts >= g.ts ASOF LEFT JOIN (SELECT ts + INTERVAL 2 DAY AS ts, value FROM events WHERE event_type = 'error') m ON l.ts >= m.ts")
+@query("SELECT l.event_id, g.value AS spot, m.value AS macro FROM (SELECT * FROM events WHERE event_type = 'click') l ASOF LEFT JOIN (SELECT ts, value FROM events WHERE event_type = 'view') g ON l.ts >= g.ts ASOF LEFT JOIN (SELECT ts + INTERVAL 2 DAY AS ts, value FROM events WHERE event_type = 'error') m ON l.ts >= m.ts")
 def panel_merge(t):
-    rows = kind(t, "click").where(c("ts") >= F.lit("2024-01-05").cast("timestamp_ntz")).select("event_id", "ts")
+    rows = kind(t, "click").select("event_id", "ts")
     rows = asof.asof_join(rows, kind(t, "view").select("ts", "value"), prefix="g_")
     macro = kind(t, "error").select((c("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), "value")  # known two days later
     return asof.asof_join(rows, macro, prefix="m_").select("event_id", c("g_value").alias("spot"), c("m_value").alias("macro"))
@@ -75,11 +75,11 @@ def node_zscore(t):
     return labels.node_normalise(t("events"), "value", ["user_id"]).select("event_id", F.round("z", 5).alias("z"))
 
 
-@query("SELECT day, n.event_type, v, v IS NULL AS is_missing FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) d CROSS JOIN (SELECT unnest(['view', 'click', 'signup', 'error', 'purchase']) AS event_type) n LEFT JOIN (SELECT CAST(ts AS DATE) AS day, event_type, max(value) AS v FROM events WHERE user_id % 5 = 0 GROUP BY 1, 2) f USING (day, event_type)")
+@query("SELECT day, n.event_type, v, v IS NULL AS is_missing FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) d CROSS JOIN (SELECT unnest(['view', 'click', 'signup', 'error', 'purchase']) AS event_type) n LEFT JOIN (SELECT CAST(ts AS DATE) AS day, event_type, max(value) AS v FROM events GROUP BY 1, 2) f USING (day, event_type)")
 def dense_grid(t):
     e = t("events").withColumn("day", F.to_date("ts"))
     nodes = e.sparkSession.createDataFrame([(k,) for k in ("view", "click", "signup", "error", "purchase")], "event_type string")
-    have = e.where("user_id % 5 = 0").groupBy("day", "event_type").agg(F.max("value").alias("v"))
+    have = e.groupBy("day", "event_type").agg(F.max("value").alias("v"))
     return labels.dense_grid(have, e.select("day").distinct(), nodes, ["day", "event_type"]).select("day", "event_type", "v", c("v").isNull().alias("is_missing"))
 
 
@@ -148,12 +148,15 @@ def mp_clean(t):
     names, corr = linalg.matrix(pairs_, "corr")
     rows = pairs_.agg(F.min("n")).first()[0]
     clean = linalg.clean_correlation(corr, rows)
+    if clean is None:  # all noise
+        cov = linalg.matrix(pairs_, "cov")[1]
+        clean = linalg.shrunk_correlation(cov)
     return pairs_.sparkSession.createDataFrame([(a, b, float(clean[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j], "a string, b string, corr double")
 
 
 @query()
 def ledoit_wolf(t):
-    wide = linalg.wide(daily(t).withColumn("p", F.concat(F.lit("p"), F.substring("series", 1, 1))), "ts", "p", "value", ["p1", "p2", "p3", "p4", "p5"])
+    wide = linalg.wide(daily(t).withColumn("p", F.concat(F.lit("p"), F.substring("series", 1, 1))), "ts", "p", "value", ["p1", "p2", "p3"])
     x = np.array([list(r)[1:] for r in wide.orderBy(F.desc("ts")).limit(252).collect()])  # the last 252 days of a fixed grid
     cov, a = linalg.shrunk_covariance(x)
     return wide.sparkSession.createDataFrame([(i, j, float(cov[i, j]), float(a)) for i in range(len(cov)) for j in range(i, len(cov))], "i int, j int, cov double, shrinkage double")
@@ -211,13 +214,14 @@ def sizing(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", risk.contracts(F.lit(4), c("l_discount") * 10, c("l_quantity"), 32, F.lit(0.75), 10).alias("size"))
 
 
-_GRID = "SELECT s.s, v.v FROM (SELECT unnest([0.0, -0.2, -0.1, -0.05, 0.05, 0.1, 0.2]) AS s) s CROSS JOIN (SELECT unnest([0.0, -10.0, -5.0, 5.0, 10.0, 20.0]) AS v) v"
+#: The reference's scenarios: six spot shocks, five volatility shocks, and the deepest fall with the highest rise.
+_SCENARIOS = "SELECT unnest([-0.2, -0.1, -0.05, 0.05, 0.1, 0.2, 0.0, 0.0, 0.0, 0.0, 0.0, -0.2]) AS s, unnest([0.0, 0.0, 0.0, 0.0, 0.0, 0.0, -10.0, -5.0, 5.0, 10.0, 20.0, 20.0]) AS v"
 
 
-@query(f"SELECT l_orderkey, round(min(delta * 100 * s + gamma * 100 * s * 100 * s / 2 + vega * v / 100), 4) AS worst_pnl FROM (SELECT l_orderkey, sum(delta * qty * 100) AS delta, sum(gamma * qty * 100) AS gamma, sum(vega * qty * 100) AS vega FROM ({_LEGS}) GROUP BY 1) CROSS JOIN ({_GRID}) GROUP BY 1")
+@query(f"SELECT l_orderkey, round(min(pnl), 4) AS worst_pnl, round(abs(least(min(pnl), 0)), 4) AS worst_loss FROM (SELECT l_orderkey, delta * 100 * s + gamma * 100 * s * 100 * s / 2 + vega * v / 100 AS pnl FROM (SELECT l_orderkey, sum(delta * qty * 100) AS delta, sum(gamma * qty * 100) AS gamma, sum(vega * qty * 100) AS vega FROM ({_LEGS}) GROUP BY 1) CROSS JOIN ({_SCENARIOS})) GROUP BY 1")
 def stress_grid(t):
     rows = risk.position_greeks(legs(t), ["l_orderkey"], ("delta", "gamma", "vega")).withColumn("spot", F.lit(100.0))
-    return risk.stress(rows, "l_orderkey").select("l_orderkey", F.round("worst_pnl", 4).alias("worst_pnl"))
+    return risk.stress(rows, "l_orderkey").select("l_orderkey", F.round("worst_pnl", 4).alias("worst_pnl"), F.round("worst_loss", 4).alias("worst_loss"))
 
 
 @query("SELECT event_id, max(value > 99) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS killed FROM events")

@@ -182,10 +182,11 @@ def asof_whole_row(t):
     return asof.asof_join(kind(t, "click").select("event_id", "ts"), right, prefix="").select("event_id", "a", "b")
 
 
-@query(f"SELECT l.event_id, r.ts < l.ts AS safe FROM ({_CLICK}) l ASOF LEFT JOIN ({_VIEW}) r ON l.user_id = r.user_id AND l.ts > r.ts")
+@query(f"SELECT l.event_id, CAST(r.ts AS DATE) < CAST(l.ts AS DATE) AS safe FROM ({_CLICK}) l ASOF LEFT JOIN ({_VIEW}) r ON l.user_id = r.user_id AND l.ts >= r.ts")
 def leakage_check(t):
-    rows = asof.asof_join(kind(t, "click").select("event_id", "user_id", "ts"), kind(t, "view").select("user_id", "ts", "value"), by=("user_id",), strict=True)
-    return rows.select("event_id", (c("r_ts") < c("ts")).alias("safe"))
+    """Whether the matched view was made before the click's day; one of the same day leaks."""
+    rows = asof.asof_join(kind(t, "click").select("event_id", "user_id", "ts"), kind(t, "view").select("user_id", "ts", "value"), by=("user_id",))
+    return rows.select("event_id", (F.to_date("r_ts") < F.to_date("ts")).alias("safe"))
 
 
 @query("SELECT user_id, coalesce(arg_max(value, ts) FILTER (WHERE ts <= TIMESTAMP '2024-01-03 00:00:00'), arg_min(value, ts)) AS price FROM events GROUP BY 1")
@@ -293,9 +294,10 @@ def union_distinct(t):
     return part("A").union(part("R")).distinct().groupBy("l_shipmonth").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id FROM (SELECT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'error')")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def set_difference(t):
-    return kind(t, "view").select("user_id").exceptAll(kind(t, "error").select("user_id")).distinct().join(kind(t, "error").select("user_id"), "user_id", "left_anti")
+    old = t("orders").where("o_orderstatus = 'F'").select(c("o_custkey").alias("c_custkey"))
+    return t("customer").select("c_custkey").distinct().join(old, "c_custkey", "left_anti")
 
 
 # windows
@@ -498,7 +500,8 @@ def bs_price(t):
 
 @query(f"SELECT p_partkey, round(CASE WHEN is_call THEN {pricing.norm_cdf_sql('d1')} ELSE {pricing.norm_cdf_sql('d1')} - 1 END, 6) AS delta, round({_PDF} / (s * v * sqrt(tt)), 6) AS gamma, round(s * {_PDF} * sqrt(tt), 6) AS vega, round(CASE WHEN is_call THEN -s * {_PDF} * v / (2 * sqrt(tt)) - r * k * exp(-r * tt) * {pricing.norm_cdf_sql('d2')} ELSE -s * {_PDF} * v / (2 * sqrt(tt)) + r * k * exp(-r * tt) * {pricing.norm_cdf_sql('(-d2)')} END, 6) AS theta FROM ({_OPT2})")
 def greeks(t):
-    return options(t).select("p_partkey", *r6(**pricing.greeks(c("s"), c("k"), c("tt"), c("r"), c("v"), c("right"))))
+    rows = options(t).select("p_partkey", pricing.greeks_struct(c("s"), c("k"), c("tt"), c("r"), c("v"), c("right")).alias("x"))
+    return rows.select("p_partkey", *r6(**{n: c(f"x.{n}") for n in ("delta", "gamma", "vega", "theta")}))
 
 
 @query(f"SELECT p_partkey, round(v, 4) AS iv FROM ({_OPT})")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.frames import first_rows
 from ..operators.tables import insert_ignore, upsert
 
 
@@ -36,7 +37,7 @@ def count(spark: SparkSession, path: str, **scan_args: object) -> int:
 def append_new(frame: DataFrame, path: str, key: list[str], order: list, partition: str | None = None) -> None:
     """Append rows whose key the table lacks: existing rows win, a repeated write changes nothing."""
     spark = frame.sparkSession
-    new = insert_ignore(spark.read.parquet(path), frame, key, order) if exists(spark, path) else frame.dropDuplicates(key)
+    new = insert_ignore(spark.read.parquet(path), frame, key, order) if exists(spark, path) else first_rows(frame, key, order)
     writer = new.withColumn("ingested_at", F.current_timestamp()).write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
@@ -45,13 +46,22 @@ def replace_rows(frame: DataFrame, path: str, key: list[str], order: list, parti
     """Upsert: later rows replace those of their key. Only partitions that ``frame`` touches are rewritten, from a staged copy."""
     spark = frame.sparkSession
     if exists(spark, path):
-        touched = frame.select(partition).distinct()
-        frame = upsert(spark.read.parquet(path).join(F.broadcast(touched), partition, "left_semi").select(*frame.columns), frame, key, order)
+        touched = frame.select(partition).distinct()  # Spark broadcasts it if it is small
+        frame = upsert(spark.read.parquet(path).join(touched, partition, "left_semi").select(*frame.columns), frame, key, order)
     else:
         frame = upsert(frame.limit(0), frame, key, order)
     staged = f"{path}.staged-{uuid.uuid4().hex}"
     frame.write.parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    try:
+        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    finally:
+        remove(spark, staged)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table's folder; one that isn't there is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
@@ -60,3 +70,42 @@ def write_csv(frame: DataFrame, path: str) -> None:
 
 def write_json(frame: DataFrame, path: str) -> None:
     frame.write.mode("append").json(path)
+
+
+def overlapping(spark: SparkSession, path: str, start: str, end: str, **equal: object) -> DataFrame:
+    """Rows whose interval [min_ts, max_ts] meets [start, end), newest first."""
+    rows = spark.read.parquet(path).where((F.col("max_ts") >= F.lit(start).cast("timestamp")) & (F.col("min_ts") < F.lit(end).cast("timestamp")))
+    for c, v in equal.items():
+        rows = rows.where(F.col(c) == v)
+    return rows.orderBy(F.desc("min_ts"))
+
+
+def known_columns(frame: DataFrame, columns: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:
+    """Only the columns that a table has, in its order; a missing one gets its default, or NULL."""
+    have, defaults = set(frame.columns), defaults or {}
+    return frame.select(*[(F.coalesce(F.col(c), F.lit(defaults.get(c))) if c in have else F.lit(defaults.get(c))).cast(t).alias(c) for c, t in columns.items()])
+
+
+def append_log(spark: SparkSession, path: str, row: dict, schema: str) -> None:
+    spark.createDataFrame([row], schema).write.mode("append").parquet(path)
+
+
+def copy_table(spark: SparkSession, source: str, target: str) -> int:
+    """Replaces target by source; raises unless both then have as many rows."""
+    spark.read.parquet(source).write.mode("overwrite").parquet(target)
+    n, m = spark.read.parquet(source).count(), spark.read.parquet(target).count()
+    if n != m:
+        raise RuntimeError(f"{m} of {n} rows were copied to {target}")
+    return n
+
+
+def table_counts(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+    """Rows of each named table; 0 where it isn't there."""
+    return spark.createDataFrame([(k, count(spark, p)) for k, p in tables.items()], "name string, rows long")
+
+
+def find_results(results: DataFrame, tags: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Stored results, newest first, that have any of the tags."""
+    rows = results if tags is None else results.where(F.arrays_overlap("tags", F.array(*[F.lit(x) for x in tags])))
+    rows = rows.orderBy(F.desc("created_at"), "run_id")
+    return rows if limit is None else rows.limit(limit)

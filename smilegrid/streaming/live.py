@@ -27,19 +27,60 @@ def sessions(events: DataFrame, ts: str, gap: str, keys: list[str], late: str =
     return rows.groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), *keys, "n")
 
 
-def latest_by_key(events: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Emits a key's newest value (by event time, whatever the order of arrival) with each batch that changes it."""
+def latest_by_key(events: DataFrame, key: str, ts: str, value: str, keep_ms: int = 86_400_000) -> DataFrame:
+    """Emits a key's newest value (by event time, whatever the order of arrival) with each batch that changes it.
+
+    Values without a time are left out; a key that is silent for ``keep_ms`` is forgotten."""
     schema = f"{key} long, {ts} timestamp, {value} double"
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, v = state.get if state.exists else (None, None)
+        at, v = state.get if state.exists and not state.hasTimedOut else (None, None)
         for pdf in batches:
+            pdf = pdf.dropna(subset=[ts])
+            if pdf.empty:
+                continue
             row = pdf.loc[pdf[ts].idxmax()]
             micros = int(pd.Timestamp(row[ts]).value // 1000)
             if at is None or micros > at:
                 at, v = micros, float(row[value])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if at is None:
+            return
         state.update((at, v))
+        state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame({key: [k[0]], ts: [pd.Timestamp(at, unit="us")], value: [v]})
 
     rows = events.select(F.col(key).cast("long").alias(key), F.col(ts).cast("timestamp").alias(ts), F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).applyInPandasWithState(step, schema, "at long, v double", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(step, schema, "at long, v double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def fresh(quotes: DataFrame, ts: str, now: object, seconds: int = 60) -> DataFrame:
+    """Quotes at most so many seconds older than ``now`` (a column or an instant)."""
+    return quotes.where(F.col(ts).cast("timestamp") >= F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(seconds)))
+
+
+def alerts(portfolio: DataFrame, *, most_delta: float = 500.0, least_pnl: float = -1000.0) -> DataFrame:
+    """A row for each limit that a portfolio row breaks; works on streams and tables."""
+    tests = F.array(F.when(F.abs("delta") > most_delta, "delta"), F.when(F.col("pnl") < least_pnl, "pnl"))
+    rows = portfolio.withColumn("alert", F.explode(F.filter(tests, lambda x: x.isNotNull())))
+    return rows.withColumn("level", F.lit("WARNING"))
+
+
+def joined_streams(left: DataFrame, right: DataFrame, key: str, ts: str, within: str, late: str = "1 hour") -> DataFrame:
+    """Rows of two streams (or tables) with the same key whose times differ by at most ``within``; watermarks bound the state."""
+    a, b = (f.withColumn(ts, F.col(ts).cast("timestamp")) for f in (left, right))
+    a, b = ((f.withWatermark(ts, late) if f.isStreaming else f) for f in (a, b))
+    b = b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns])
+    gap = F.expr(f"INTERVAL {within}")
+    return a.join(b, (F.col(key) == F.col(f"r_{key}")) & F.col(f"r_{ts}").between(F.col(ts) - gap, F.col(ts) + gap))
+
+
+def each_batch(quotes: DataFrame, build, path: str, seconds: int = 5):  # noqa: ANN001, ANN201
+    """Runs a batch operator on what each trigger brings and appends its rows with version "live"; the checkpoint lets it resume."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        build(batch).withColumn("version", F.lit("live")).write.mode("append").parquet(path)
+
+    return quotes.writeStream.foreachBatch(write).trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", f"{path}/_checkpoint")
