@@ -27,10 +27,11 @@ def sessions(events: DataFrame, ts: str, gap: str, keys: list[str], late: str =
     return rows.groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), *keys, "n")
 
 
-def latest_by_key(events: DataFrame, key: str, ts: str, value: str, keep_ms: int = 86_400_000) -> DataFrame:
+def latest_by_key(events: DataFrame, key: str, ts: str, value: str, late: str | None = None, keep_ms: int = 86_400_000) -> DataFrame:
     """Emits a key's newest value (by event time, whatever the order of arrival) with each batch that changes it.
 
-    Values without a time are left out; a key that is silent for ``keep_ms`` is forgotten."""
+    Values without a time are left out. With ``late`` given, values further behind are left out too, and a key is forgotten once
+    the watermark is ``keep_ms`` past its newest value; without it every key is kept."""
     schema = f"{key} long, {ts} timestamp, {value} double"
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,11 +50,13 @@ def latest_by_key(events: DataFrame, key: str, ts: str, value: str, keep_ms: int
         if at is None:
             return
         state.update((at, v))
-        state.setTimeoutDuration(keep_ms)
+        if late:
+            state.setTimeoutTimestamp(max(at // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], ts: [pd.Timestamp(at, unit="us")], value: [v]})
 
     rows = events.select(F.col(key).cast("long").alias(key), F.col(ts).cast("timestamp").alias(ts), F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).applyInPandasWithState(step, schema, "at long, v double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = rows.withWatermark(ts, late) if late else rows
+    return rows.groupBy(key).applyInPandasWithState(step, schema, "at long, v double", "update", GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout)
 
 
 def fresh(quotes: DataFrame, ts: str, now: object, seconds: int = 60) -> DataFrame:
