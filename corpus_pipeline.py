@@ -42,7 +42,8 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: A fitted classifier and hashed sampling can't be said in SQL; tests hold each stage against brute force.
+#: A fitted classifier and hashed sampling can't be said in SQL. Tests hold the operators that the stages call against brute force or
+#: SQL; of the chain itself only rows and columns are tested.
 ORACLE_SQL = None
 
 
