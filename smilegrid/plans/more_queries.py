@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
 from ..operators import frames, labels, linalg, risk, structures, tables
+from ..sources import store
 from ..streaming import live
 from .portfolio_queries import _LEGS, legs
 from .queries import _DAILY, _STEPS, NODE, c, daily, last_rows, over, over_days, query, quotes, r6, stepped
@@ -395,3 +396,65 @@ def trimmed_panel(t):
     rows = frames.by_days(t("events").withColumn("p", c("value") + 100), "ts", *NODE).where(c("ts") >= F.lit("2024-01-02").cast("timestamp_ntz"))
     return rows.select("event_id", *r6(drawdown=S.ratio(c("p"), F.max("p").over(frames.last_days(NODE[0], 21))) - 1))
 
+
+# scans: the readers' columns from the test tables
+
+@query("SELECT event_id, ts, value AS close FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-05 06:00:00'")
+def scan_bars(t):
+    rows = t("events").select("event_id", "ts", c("event_type").alias("symbol"), F.lit("1m").alias("timeframe"), c("value").alias("close"))
+    return store.bars(rows, "click", "2024-01-02", "2024-01-05 06:00:00").select("event_id", "ts", "close")
+
+
+@query("SELECT event_id, ts, user_id AS symbol FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-09' AND user_id IN (3, 5, 8, 13, 21, 34)")
+def scan_quotes(t):
+    rows = t("events").select("event_id", "ts", c("user_id").alias("symbol"))
+    return store.option_quotes(rows, "2024-01-02", "2024-01-09", [3, 5, 8, 13, 21, 34])
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS obs_date, o_totalprice AS value FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01'")
+def scan_macro(t):
+    rows = t("orders").select("o_orderkey", c("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("obs_date"), c("o_totalprice").alias("value"))
+    return store.macro_series(rows, "1-URGENT", "1996-01-01", "1997-01-01").select("o_orderkey", "obs_date", "value")
+
+
+@query("SELECT o_orderkey, o_orderdate AS ts, o_custkey AS symbol FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1998-01-01' AND o_custkey BETWEEN 1 AND 1500")
+def scan_option_bars(t):
+    """A list of more symbols than a filter should hold: it is joined."""
+    rows = t("orders").select("o_orderkey", c("o_orderdate").alias("ts"), c("o_custkey").alias("symbol"), c("o_orderstatus").alias("timeframe"))
+    return store.option_bars(rows, "1995-01-01", "1998-01-01", list(range(1, 1501)), "F").select("o_orderkey", "ts", "symbol")
+
+
+@query("SELECT l_orderkey, l_partkey AS symbol, l_shipdate AS ts_ref FROM lineitem WHERE l_linenumber = 3 AND l_shipdate >= DATE '1995-01-01' AND l_shipdate < DATE '1996-01-01'")
+def scan_statistics(t):
+    rows = t("lineitem").select("l_orderkey", c("l_partkey").alias("symbol"), c("l_linenumber").alias("stat_type"), c("l_shipdate").alias("ts_ref"))
+    return store.option_statistics(rows, "1995-01-01", "1996-01-01", 3).select("l_orderkey", "symbol", "ts_ref")
+
+
+_LOG = "SELECT o_custkey AS dataset, min(o_orderdate) AS min_ts, max(o_orderdate) AS max_ts, count(*) AS n FROM orders GROUP BY 1"
+
+
+@query(f"SELECT * FROM ({_LOG}) WHERE max_ts >= TIMESTAMP '1995-03-01' AND min_ts < TIMESTAMP '1995-09-01'")
+def scan_log(t):
+    rows = t("orders").groupBy(c("o_custkey").alias("dataset")).agg(F.min("o_orderdate").alias("min_ts"), F.max("o_orderdate").alias("max_ts"), F.count("*").alias("n"))
+    return store.overlapping(rows, "1995-03-01", "1995-09-01")
+
+
+def _nodes(t) -> DataFrame:
+    return t("lineitem").select("l_orderkey", c("l_shipdate").alias("ts"), c("l_linenumber").alias("tenor"), c("l_returnflag").alias("bucket"), c("l_linestatus").alias("version"))
+
+
+@query("SELECT l_orderkey, l_shipdate AS ts, l_linenumber AS tenor, l_returnflag AS bucket FROM lineitem WHERE l_linestatus = 'F' AND l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-07-01' AND l_returnflag IN ('A', 'N')")
+def scan_surfaces(t):
+    return store.surface_rows(_nodes(t), "F", "1997-01-01", "1998-07-01", ["A", "N"]).drop("version")
+
+
+@query("SELECT l_orderkey, l_shipdate AS ts, l_linenumber AS tenor, l_returnflag AS bucket FROM lineitem WHERE l_linestatus = 'O' AND l_shipdate < DATE '1998-01-01'")
+def scan_panel(t):
+    return store.surface_rows(_nodes(t), "O", end="1998-01-01").drop("version")
+
+
+@query("SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN true END, false) AS is_masked, CAST(NULL AS VARCHAR) AS mask_reason, CAST(o_totalprice AS DOUBLE) AS value FROM orders")
+def panel_columns(t):
+    """Only a panel's columns, in order, with their defaults."""
+    rows = t("orders").select("o_custkey", c("o_totalprice").alias("value"), c("o_orderkey").alias("id"), F.when(c("o_orderkey") % 3 == 0, True).alias("is_masked"))
+    return store.known_columns(rows, {"id": "long", "is_masked": "boolean", "mask_reason": "string", "value": "double"}, {"is_masked": False})

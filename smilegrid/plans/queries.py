@@ -258,7 +258,7 @@ def nearest_strike(t):
     a = t("part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
     b = t("part").select(c("p_partkey").alias("q"), "p_brand", "p_size", c("p_retailprice").alias("k"))
     gap = F.abs(c("k") - c("p_retailprice") * 1.02)
-    rows = asof.nearest_row(a, b, ["p_brand", "p_size"], gap, c("k") > c("p_retailprice"), ["q"], ["p_partkey"])
+    rows = asof.nearest_row(a, b, ["p_brand", "p_size"], target=c("p_retailprice") * 1.02, value="k", over=c("p_retailprice"), tie="q")
     return rows.select("p_partkey", "q", F.round(gap, 6).alias("gap"))
 
 

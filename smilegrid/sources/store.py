@@ -10,18 +10,60 @@ from ..operators.frames import first_rows
 from ..operators.tables import insert_ignore, upsert
 
 
-def scan(spark: SparkSession, path: str, *, ts: str | None = None, start: str | None = None, end: str | None = None, equal: dict | None = None, within: dict | None = None) -> DataFrame:
-    """Rows of [start, end) with the given values; everything reaches the scan as a pushed filter."""
-    rows = spark.read.parquet(path)
+#: A list of values longer than this is joined instead of becoming one long filter.
+MOST_IN_FILTER = 1000
+
+
+def select_rows(rows: DataFrame, *, ts: str | None = None, start: str | None = None, end: str | None = None, equal: dict | None = None, within: dict | None = None, order: list | None = None) -> DataFrame:
+    """Rows of [start, end) with the given values, in order if one is named. Bounds and values reach a Parquet scan as pushed filters;
+    of a long list of values only the joined ones do not. A None among ``within`` means any value; an empty list gives no rows."""
     if start is not None:
-        rows = rows.where(F.col(ts) >= F.lit(start).cast("timestamp"))
+        rows = rows.where(F.col(ts) >= F.lit(start).cast(rows.schema[ts].dataType))
     if end is not None:
-        rows = rows.where(F.col(ts) < F.lit(end).cast("timestamp"))
+        rows = rows.where(F.col(ts) < F.lit(end).cast(rows.schema[ts].dataType))
     for c, v in (equal or {}).items():
         rows = rows.where(F.col(c) == v)
     for c, vs in (within or {}).items():
-        rows = rows.where(F.col(c).isin(list(vs)))
-    return rows
+        if vs is None:
+            continue
+        vs = list(vs)
+        if len(vs) <= MOST_IN_FILTER:
+            rows = rows.where(F.col(c).isin(vs))
+        else:
+            kind = rows.schema[c].dataType.simpleString()
+            rows = rows.join(rows.sparkSession.createDataFrame([(v,) for v in set(vs)], f"{c} {kind}"), c, "left_semi")
+    return rows.orderBy(*order) if order else rows
+
+
+def scan(spark: SparkSession, path: str, **chosen: object) -> DataFrame:
+    """``select_rows`` of a Parquet table."""
+    return select_rows(spark.read.parquet(path), **chosen)
+
+
+def bars(rows: DataFrame, symbol: str, start: str, end: str, timeframe: str = "1m") -> DataFrame:
+    return select_rows(rows, ts="ts", start=start, end=end, equal={"symbol": symbol, "timeframe": timeframe}, order=["ts"])
+
+
+def option_quotes(rows: DataFrame, start: str, end: str, symbols: list | None = None) -> DataFrame:
+    return select_rows(rows, ts="ts", start=start, end=end, within={"symbol": symbols}, order=["ts", "symbol"])
+
+
+def macro_series(rows: DataFrame, series: str, start: str, end: str) -> DataFrame:
+    return select_rows(rows, ts="obs_date", start=start, end=end, equal={"series": series}, order=["obs_date"])
+
+
+def option_bars(rows: DataFrame, start: str, end: str, symbols: list | None = None, timeframe: str = "1d") -> DataFrame:
+    return select_rows(rows, ts="ts", start=start, end=end, equal={"timeframe": timeframe}, within={"symbol": symbols}, order=["ts", "symbol"])
+
+
+def option_statistics(rows: DataFrame, start: str, end: str, stat_type: int = 9, symbols: list | None = None) -> DataFrame:
+    """By the reference time ``ts_ref``; 9 is open interest."""
+    return select_rows(rows, ts="ts_ref", start=start, end=end, equal={"stat_type": stat_type}, within={"symbol": symbols}, order=["ts_ref", "symbol"])
+
+
+def surface_rows(rows: DataFrame, version: str, start: str | None = None, end: str | None = None, buckets: list | None = None) -> DataFrame:
+    """Surface snapshots and node panels: one version, optional bounds and buckets; prunes a table partitioned by version."""
+    return select_rows(rows, ts="ts", start=start, end=end, equal={"version": version}, within={"bucket": buckets}, order=["ts", "tenor", "bucket"])
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -72,12 +114,11 @@ def write_json(frame: DataFrame, path: str) -> None:
     frame.write.mode("append").json(path)
 
 
-def overlapping(spark: SparkSession, path: str, start: str, end: str, **equal: object) -> DataFrame:
+def overlapping(rows: DataFrame, start: str, end: str, **equal: object) -> DataFrame:
     """Rows whose interval [min_ts, max_ts] meets [start, end), newest first."""
-    rows = spark.read.parquet(path).where((F.col("max_ts") >= F.lit(start).cast("timestamp")) & (F.col("min_ts") < F.lit(end).cast("timestamp")))
-    for c, v in equal.items():
-        rows = rows.where(F.col(c) == v)
-    return rows.orderBy(F.desc("min_ts"))
+    bound = lambda x, c: F.lit(x).cast(rows.schema[c].dataType)
+    rows = rows.where((F.col("max_ts") >= bound(start, "max_ts")) & (F.col("min_ts") < bound(end, "min_ts")))
+    return select_rows(rows, equal=equal, order=[F.desc("min_ts")])
 
 
 def known_columns(frame: DataFrame, columns: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:

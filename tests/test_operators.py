@@ -201,6 +201,127 @@ def test_backtest_lets_positions_expire(spark):
     assert got == [("ENTRY", 1, 40.0, 0.0), ("SNAPSHOT", None, 40.0, 0.0), ("EXPIRE", 1, 40.0, -60.0), ("REJECT", 2, 40.0, -60.0), ("SNAPSHOT", None, 40.0, -60.0)]
 
 
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("cell", ["minute", "hour", "day"])
+def test_keyless_asof_on_repeated_times(spark, strict, cell):
+    rng = np.random.default_rng(3)
+    base = pd.Timestamp("2024-01-01")
+    left = pd.DataFrame({"id": range(400), "ts": base + pd.to_timedelta(60 * rng.integers(0, 90, 400), "s")})
+    right = pd.DataFrame({"ts": base + pd.to_timedelta(60 * rng.choice(np.arange(20, 80), 25, replace=False), "s"), "v": rng.random(25)})
+    want = pd.merge_asof(left.sort_values("ts"), right.sort_values("ts"), on="ts", allow_exact_matches=not strict).set_index("id").v
+    odd = spark.createDataFrame([(-1, None)], "id long, ts timestamp")
+    got = {r.id: r.r_v for r in asof.asof_join(spark.createDataFrame(left).union(odd), spark.createDataFrame(right), strict=strict, cell=cell).collect()}
+    assert len(got) == 401 and got.pop(-1) is None
+    assert all(got[i] == v or (got[i] is None and math.isnan(v)) for i, v in want.items())
+
+
+def test_nearest_row_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    left = [(i, int(rng.integers(0, 4)), float(rng.integers(0, 30))) for i in range(120)] + [(900, None, 3.0), (901, 1, None)]
+    right = [(i, int(rng.integers(0, 3)), float(rng.integers(0, 30))) for i in range(60)] + [(800, None, 3.0), (801, 1, None)]
+    sl, sr = spark.createDataFrame(left, "id long, g int, x double"), spark.createDataFrame(right, "q long, g int, k double")
+    got = {r.id: r.q for r in asof.nearest_row(sl, sr, ["g"], target=F.col("x") + 2, value="k", over=F.col("x"), tie="q").collect()}
+    want = {}
+    for i, g, x in left:
+        near = [(abs(k - x - 2), q) for q, h, k in right if None not in (g, h, x, k) and g == h and k > x]
+        if near:
+            want[i] = min(near)[1]
+    assert got == want
+    assert asof.nearest_row(sl, sr.limit(0), ["g"], target=F.col("x"), value="k", over=F.col("x"), tie="q").count() == 0
+
+
+def test_scans_push_their_filters_and_join_long_lists(spark, monkeypatch):
+    path = "/root/testdata/sf0.001/events.parquet"
+    chosen = store.scan(spark, path, ts="ts", start="2024-01-02", end="2024-01-04", equal={"event_type": "click"}, within={"user_id": [1, 2, 3]}, order=["ts"])
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :]
+    assert all(x in pushed for x in ("GreaterThanOrEqual(ts", "LessThan(ts", "EqualTo(event_type,click)", "In(user_id"))
+    few = rows(chosen)
+    monkeypatch.setattr(store, "MOST_IN_FILTER", 2)
+    assert rows(store.scan(spark, path, ts="ts", start="2024-01-02", end="2024-01-04", equal={"event_type": "click"}, within={"user_id": [1, 2, 3]}).select(*chosen.columns)) == few
+    assert store.scan(spark, path, within={"user_id": []}).count() == 0
+
+
+def test_admin_of_tables(spark, tmp_path):
+    one, two = f"file://{tmp_path}/one", f"file://{tmp_path}/two"
+    store.append_log(spark, one, {"run": "a", "n": 1}, "run string, n long")
+    store.append_log(spark, one, {"run": "b", "n": 2}, "run string, n long")
+    assert store.copy_table(spark, one, two) == 2
+    assert rows(store.table_counts(spark, {"one": one, "two": two, "none": f"{one}-none"})) == [("none", 0), ("one", 2), ("two", 2)]
+    store.remove(spark, two)
+    store.remove(spark, two)
+    assert not store.exists(spark, two)
+    results = spark.createDataFrame([("x", ["p", "q"], 1), ("y", ["q"], 3), ("z", None, 2)], "run_id string, tags array<string>, created_at int")
+    assert [r.run_id for r in store.find_results(results).collect()] == ["y", "z", "x"]
+    assert [r.run_id for r in store.find_results(results, ["q", "none"]).collect()] == ["y", "x"]
+    assert [r.run_id for r in store.find_results(results, ["p"], 1).collect()] == ["x"]
+    store.write_csv(spark.read.parquet(one), f"file://{tmp_path}/csv")
+    store.write_json(spark.read.parquet(one), f"file://{tmp_path}/json")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/csv").count() == spark.read.json(f"file://{tmp_path}/json").count() == 2
+
+
+def streamed(spark, tmp_path, name, frame):
+    frame.repartition(3).write.parquet(f"{tmp_path}/{name}")
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+
+
+def drained(spark, tmp_path, frame, mode, name):
+    q = frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+def test_sliding_and_session_streams_agree_with_batches(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(120).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = streamed(spark, tmp_path, "in", source)
+    for name, form in (("slid", lambda f: live.sliding(f, "ts", "2 days", "1 day", ["event_type"], "400 days")), ("sess", lambda f: live.sessions(f, "ts", "1 hour", ["user_id"], "400 days"))):
+        got = drained(spark, tmp_path / name, form(stream), "complete", name)
+        assert rows(got) == rows(form(source))
+
+
+def test_joined_streams_agree_with_a_batch_join(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    kinds = [source.where(F.col("event_type") == k).drop("event_type") for k in ("click", "view")]
+    form = lambda a, b: live.joined_streams(a, b, "user_id", "ts", "6 HOURS", "400 days").select("event_id", "r_event_id")
+    want = rows(form(*kinds))
+    got = drained(spark, tmp_path, form(*[streamed(spark, tmp_path, n, f) for n, f in zip("ab", kinds)]), "append", "joined")
+    assert want and rows(got) == want
+
+
+def test_recent_values_as_a_stream(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(150).selectExpr("user_id % 5 AS k", "CAST(ts AS TIMESTAMP) AS ts", "value")
+    odd = spark.createDataFrame([(1, None, 5.0), (2, dt.datetime(2030, 1, 1), None)], "k long, ts timestamp, value double")
+    frame = live.recent_by_key(streamed(spark, tmp_path, "in", source.union(odd)), "k", "ts", "value", most=7)
+    last = {}
+    for r in drained(spark, tmp_path, frame, "update", "recent").collect():
+        last[r.k] = r if r.k not in last or (r.ts, r.n) >= (last[r.k].ts, last[r.k].n) else last[r.k]
+    for k, g in source.toPandas().groupby("k"):
+        v = g.sort_values(["ts", "value"]).value.to_numpy()[-7:]
+        assert last[k].n == len(v)
+        if len(v) < 7:
+            assert last[k].mean == pytest.approx(v.mean()) and last[k].change == pytest.approx(v[-1] - v[0])
+
+
+def test_each_batch_appends_live_rows_and_resumes(spark, tmp_path):
+    source = spark.range(60).selectExpr("id AS k", "id % 4 AS v")
+    stream = streamed(spark, tmp_path, "in", source)
+    out = f"{tmp_path}/out"
+    for _ in range(2):  # the second start finds nothing new
+        q = live.each_batch(stream, lambda b: b.where("v = 1"), out, 0).start()
+        q.processAllAvailable()
+        q.stop()
+    got = spark.read.parquet(out)
+    assert got.count() == 15 and {r.version for r in got.collect()} == {"live"}
+
+
+def test_alerts_name_each_broken_limit(spark):
+    f = spark.createDataFrame([(1, 501.0, -1001.0), (2, -501.0, 0.0), (3, 500.0, -1000.0), (4, None, None)], "id int, delta double, pnl double")
+    assert rows(live.alerts(f).select("id", "alert", "level")) == [(1, "delta", "WARNING"), (1, "pnl", "WARNING"), (2, "delta", "WARNING")]
+
+
 @pytest.mark.parametrize("form", ["tumbling", "latest"])
 def test_streams_agree_with_batches(spark, tmp_path, form):
     source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(200).withColumn("ts", F.col("ts").cast("timestamp"))
