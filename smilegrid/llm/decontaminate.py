@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .words import ALNUM_BREAKS, LOWER, join_back, written
+from .words import ALNUM_BREAKS, LOWER, join_back, own_rows, written
 
 WINDOW = 10
 #: About how much benchmark text one block holds (its index takes some ten times that); a larger benchmark is joined block by
@@ -197,5 +197,5 @@ def digest(frame: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, unchanged, in which no benchmark window occurs; null and empty texts hold none and stay, repeated rows
-    go or stay together, a table without rows stays so."""
-    return decontaminate(docs, benchmark).where(F.size("hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    go or stay together, a table without rows stays so. Columns named like those of ``decontaminate`` stay the documents' own."""
+    return own_rows(docs, ("n_words", "hits", "items"), lambda rows: decontaminate(rows, benchmark).where(F.size("hits") == 0))

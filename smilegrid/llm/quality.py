@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .words import ALNUM_BREAKS, LOWER, owner_of_words, slices, text_bytes, word_hashes, word_spans
+from .words import ALNUM_BREAKS, LOWER, own_rows, owner_of_words, slices, text_bytes, word_hashes, word_spans
 
 #: Most labelled rows that are fitted on; all statistics cover all documents.
 SAMPLE_ROWS = 2_000
@@ -220,5 +220,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns.
 
     Texts that are null or empty follow the labelled share, as in ``score_quality``; repeated rows go or stay
-    together; the table without rows stays so."""
-    return score_quality(docs, labels).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    together; the table without rows stays so. Columns named like those of ``score_quality`` stay the documents' own."""
+    return own_rows(docs, ("held_out", "score", "predicted"), lambda rows: score_quality(rows, labels).where("predicted = 1"))

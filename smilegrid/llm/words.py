@@ -12,7 +12,7 @@ import os
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +171,12 @@ def released(spark: SparkSession) -> None:
         time.sleep(0.7)
 
 
+def own_rows(docs: DataFrame, added: tuple[str, ...], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` lets through, with the documents' own columns even where it adds ones of their names."""
+    aside = {c: f"_own_{c}" for c in docs.columns if c in added}
+    return keep(docs.withColumnsRenamed(aside)).select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 #: A key with more than this share (one in so many) of all rows is hot; there are fewer of them than this.
 HOT_SHARE = 1_000
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+import corpus_pipeline
 from smilegrid.llm import chat, decontaminate, embeddings, licenses, minhash, mixing, pii, quality, secrets, substrings
 
 SF = "/root/testdata/sf0.001"
@@ -122,20 +123,24 @@ def test_op3(spark, docs):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def vote(model, text):
+    """A text's score from dense terms, cosines and votes."""
+    x = quality.term_counts(pa.array([text], pa.string()))
+    dense = np.zeros(quality.TERMS)
+    dense[x.terms] = np.log1p(x.counts) * model.idf[x.terms]
+    dense = dense / (np.linalg.norm(dense) or 1) @ model.basis
+    cos = dense / (np.linalg.norm(dense) or 1) @ model.vectors.T
+    near = np.argsort(-cos, kind="stable")[: quality.NEIGHBOURS]
+    weight = np.maximum(cos[near], 0) ** 8
+    return (weight @ model.labels[near] + 1e-3 * model.prior) / (weight.sum() + 1e-3)
+
+
 def test_op3_scores_are_votes_of_the_nearest(spark, docs):
-    """Each score against a plain dense version of terms, cosines and votes."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = quality.fit(docs.select("doc_id", "text"), labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     got = {r.doc_id: r.score for r in entry.queries()["op3_quality_votes"](spark, SF).collect()}
     for r in docs.collect():
-        x = quality.term_counts(pa.array([r.text], pa.string()))
-        dense = np.zeros(quality.TERMS)
-        dense[x.terms] = np.log1p(x.counts) * model.idf[x.terms]
-        dense = dense / (np.linalg.norm(dense) or 1) @ model.basis
-        cos = dense / (np.linalg.norm(dense) or 1) @ model.vectors.T
-        near = np.argsort(-cos, kind="stable")[: quality.NEIGHBOURS]
-        weight = np.maximum(cos[near], 0) ** 8
-        assert got[r.doc_id] == pytest.approx((weight @ model.labels[near] + 1e-3 * model.prior) / (weight.sum() + 1e-3), abs=2e-3)
+        assert got[r.doc_id] == pytest.approx(vote(model, r.text), abs=2e-3)
 
 
 def test_op3_counts_bounded_rows(spark):
@@ -183,23 +188,35 @@ def raked(cells, targets, rounds=60):
     return dict(zip(keys, w, strict=True))
 
 
-def test_op4_query_equals_a_numpy_rake(spark, texts):
-    rows = entry.queries()["op4_mix_sources"](spark, SF).collect()
-    assert sorted(r.doc_id for r in rows) == sorted(texts) and all(r.n_tokens == len(words(texts[r.doc_id])) for r in rows)
+def mixed(rows):
+    """The weight of each cell and the factor of the draws, from (categories, tokens) of all documents."""
     cells = Counter()
-    key = lambda r: tuple(v if v in t else mixing.OTHER for v, t in zip((r.source, r.lang, r.topic), mixing.TARGETS.values(), strict=True))
-    for r in rows:
-        cells[key(r)] += r.n_tokens
-    fitted = raked(cells, mixing.TARGETS)
+    for key, n in rows:
+        cells[key] += n
+    fitted = raked(cells, mixing.TARGETS, mixing.ROUNDS)
     weight = {k: fitted[k] / n if n else 0.0 for k, n in cells.items()}
     total, factor = sum(cells.values()), 0.5
     for _ in range(100):
         factor *= 0.5 * total / sum(n * min(1, factor * weight[k]) for k, n in cells.items())
+    return weight, factor
+
+
+def cell(*categories):
+    return tuple(v if v in t else mixing.OTHER for v, t in zip(categories, mixing.TARGETS.values(), strict=True))
+
+
+def draw(doc_id):
+    return int(hashlib.sha256(f"{'null' if doc_id is None else doc_id}:mix".encode()).hexdigest()[:12], 16) / 16**12
+
+
+def test_op4_query_equals_a_numpy_rake(spark, texts):
+    rows = entry.queries()["op4_mix_sources"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and all(r.n_tokens == len(words(texts[r.doc_id])) for r in rows)
+    weight, factor = mixed((cell(r.source, r.lang, r.topic), r.n_tokens) for r in rows)
     for r in rows:
-        wanted = factor * weight[key(r)]
-        assert (r.weight, r.prob, r.repeat) == pytest.approx((weight[key(r)], min(1, wanted), max(1, wanted)), abs=2e-5)
-        draw = int(hashlib.sha256(f"{r.doc_id}:mix".encode()).hexdigest()[:12], 16) / 16**12
-        assert r.kept == (draw < r.prob) or abs(draw - r.prob) < 2e-6
+        own = weight[cell(r.source, r.lang, r.topic)]
+        assert (r.weight, r.prob, r.repeat) == pytest.approx((own, min(1, factor * own), max(1, factor * own)), abs=2e-5)
+        assert r.kept == (draw(r.doc_id) < r.prob) or abs(draw(r.doc_id) - r.prob) < 2e-6
 
 
 def test_op4_tells_targets_that_cannot_be_met(spark):
@@ -475,12 +492,101 @@ def test_op10_ledger_scans_only_what_is_new(spark, odd, tmp_path):
     assert spark.read.parquet(path).count() == 2 * (before + 1)
 
 
-def test_redaction_and_pipeline(spark, docs):
+def test_redaction(spark, docs):
     rows = spark.createDataFrame([(1, "é token=abcdef12 end", "en", "s", 1), (2, "plain", None, None, None)], docs.schema)
     got = {r.doc_id: r for r in secrets.redact_secrets(rows).collect()}
     assert got[1].text == "é [SECRET] end" and got[1].n_chars == 14 and got[2].text == "plain"
-    out = entry.queries()["pipeline"](spark, SF)
-    assert out.count() >= 20 and {"doc_id", "text", "lang", "source", "n_chars", "weight"} <= set(out.columns)
+
+
+def test_pipeline_equals_brute_force(spark, docs, tmp_path, monkeypatch):
+    """What each stage of run() writes, against a plain version over all that the stage before kept."""
+    labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    long = [r for r in docs.orderBy("doc_id").collect() if r.doc_id in good and len(words(r.text)) > 100]
+    items_of = [r.text for r in items.collect() if len(decontaminate.words_of(r.text)) >= 12]
+    back = [" ".join(r.text.split()[::-1]) for r in long]
+    extra = [(1000 + i, r.text, r.lang, r.source) for i, r in enumerate(long[:4])]  # copies
+    extra += [(1100 + i, f"{r.text} tail{i}", r.lang, r.source) for i, r in enumerate(long[2:8])]  # near copies
+    extra += [(1200 + i, f"{t} {items_of[i]} end", "en", "src1") for i, t in enumerate(back[:4])]
+    extra += [(1300 + i, f"{t} é token=abcdef123456 AKIA{'A' * 20} gh{'p_'}{'b' * 36}", "fr", "src2") for i, t in enumerate(back[4:8])]
+    extra += [(1400, None, None, None), (1401, "", "en", "src0"), (1402, " \n", "xx", None), (None, long[9].text, "de", "src3"), (None, back[9], None, "src4")]
+    extra += [(1500, back[10], "es", "src5")] * 2
+    table = docs.union(spark.createDataFrame([(*r, len(r[1] or "")) for r in extra], docs.schema))
+    folder = f"file://{tmp_path}"
+    for name, frame in {"documents": table, "labels": labels, "benchmark": items}.items():
+        frame.write.parquet(f"{folder}/{name}.parquet")
+    stages, real = {}, corpus_pipeline.written
+    monkeypatch.setattr(corpus_pipeline, "written", lambda frame, name: stages.setdefault(name, real(frame, name)))
+    last = corpus_pipeline.run(spark, folder).collect()
+    rows = {name: [tuple(r) for r in frame.select("doc_id", "text", "lang", "source", "n_chars").collect()] for name, frame in stages.items()}
+    before = [tuple(r) for r in table.collect()]
+
+    model = quality.fit(table, labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    scores = {r: vote(model, r[1]) for r in set(before)}
+    clear = {r for r, x in scores.items() if abs(x - quality.CUT) > 2e-3}
+    now = rows["pipeline-quality"]
+    assert Counter(r for r in now if r in clear) == Counter(r for r in before if r in clear and scores[r] >= quality.CUT)
+    assert not Counter(now) - Counter(before) and 50 < len(now) < len(before)
+
+    sets, before = {}, now
+    for i, text, *_ in before:
+        w = [bytes(x).lower() for x in words(text)]
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    sets.pop(None, None)
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp, now = least(links, sets), rows["pipeline-near_duplicates"]
+    assert Counter(now) == Counter(r for r in before if r[0] is None or comp[r[0]] == r[0]) and len(now) < len(before)
+
+    held, before = set(), now
+    for r in items.collect():
+        w = decontaminate.words_of(r.text)
+        held |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9) if w else 0)}
+    sizes, now = {len(k) for k in held}, rows["pipeline-benchmark"]
+    hit = lambda w: any(tuple(w[i : i + n]) in held for n in sizes for i in range(len(w) - n + 1))
+    assert Counter(now) == Counter(r for r in before if not hit(decontaminate.words_of(r[1]))) and len(now) < len(before)
+
+    def redacted(text):
+        merged = []
+        for a, b in sorted((m.start(), m.end()) for _, p, group, n, _ in secrets.RULES for m in re.finditer(p, text or "", re.A) if len(m[group]) >= n):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        for a, b in reversed(merged):
+            text = text[:a] + "[SECRET]" + text[b:]
+        return text
+
+    before, now = now, rows["pipeline-secrets"]
+    assert Counter(now) == Counter((i, redacted(t), lang, source, n if redacted(t) == t else len(redacted(t))) for i, t, lang, source, n in before) and Counter(now) != Counter(before)
+
+    def topic(text):
+        return "legal" if "License" in (text or "") else "contact" if "@" in (text or "") else "prose"
+
+    weight, factor = mixed((cell(r[3], r[2], topic(r[1])), len(words(r[1]))) for r in now)
+    want = Counter()
+    for r in now:
+        own = weight[cell(r[3], r[2], topic(r[1]))]
+        assert abs(draw(r[0]) - factor * own) > 2e-6
+        if draw(r[0]) < factor * own:
+            want[r] += 1
+            got = next(x for x in last if tuple(x)[:5] == r)
+            assert (got.weight, got.prob, got.repeat) == pytest.approx((own, min(1, factor * own), max(1, factor * own)), abs=2e-5), (r[0], own, factor, weight)
+    assert Counter(tuple(r)[:5] for r in last) == want and all((r.topic, r.n_tokens) == (topic(r.text), len(words(r.text))) for r in last)
+
+
+def test_stages_on_odd_tables(spark, odd):
+    """Odd rows, no rows, and columns named like those that a stage adds: the documents' own columns come back."""
+    names = ["held_out", "score", "predicted", "hits", "n_words", "spans", "blob_id", "topic", "weight", "prob", "repeat", "n_tokens"]
+    wide = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"own {c}").alias(c) for c in names])
+    want = Counter(tuple(r) for r in wide.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, SF)
+        rows = [r for r in out.collect() if name != "secrets" or r.doc_id != 7]  # its run of hex digits is a secret
+        assert stage(spark, wide.limit(0), SF).count() == 0 and len(set(out.columns)) == len(out.columns)
+        if name != "mixing":
+            assert out.columns == wide.columns and not Counter(tuple(r) for r in rows) - want
+        else:
+            assert set(wide.columns) <= set(out.columns) and all(r.score == "own score" and r.topic != "own topic" for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(entry.llm_queries.oracle_sql()))
