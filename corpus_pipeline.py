@@ -29,9 +29,10 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn to meet the targets, with their weights."""
+    """Documents drawn to meet the targets, with their weights; columns of the documents with the new ones' names are replaced."""
     rows = mixing.mix_sources(docs).where("mix_kept")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_prob", 6).alias("prob"), F.round("mix_repeat", 6).alias("repeat"))
+    new = {"topic": F.col("mix_topic"), "n_tokens": F.col("mix_tokens")} | {c: F.round(f"mix_{c}", 6) for c in ("weight", "prob", "repeat")}
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[v.alias(c) for c, v in new.items()])
 
 
 STAGES = [
@@ -42,8 +43,8 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: A fitted classifier and hashed sampling can't be said in SQL. Tests hold the operators that the stages call against brute force or
-#: SQL; of the chain itself only rows and columns are tested.
+#: A fitted classifier and hashed sampling can't be said in SQL: a test holds what each stage of the chain writes against a plain version
+#: over all that the stage before kept (the classifier's fitted model is given to both).
 ORACLE_SQL = None
 
 
