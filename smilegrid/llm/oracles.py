@@ -91,6 +91,21 @@ sums AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, cou
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN sums USING (doc_id)"""
 
+OP13 = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM runs GROUP BY lang),
+starts AS (SELECT lang, w, d, unnest(range(1, len(w) - d + 2)) AS i FROM runs, range(1, 6) AS t(d)),
+counts AS (SELECT lang, array_to_string(w[i : i + d - 1], ' ') AS phrase, d, count(*) AS f FROM starts GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, d)) AS k FROM counts WHERE d > 1),
+scored AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, 1000 * CAST(a AS HUGEINT) * n // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : k], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1 : len(w)], ' ') JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored) WHERE place = 1),
+inner_ AS (SELECT lang, f, d, e, string_split(phrase, ' ') AS w, unnest(range(1, d - e + 2)) AS i FROM counts, range(2, 5) AS t(e) WHERE e < d),
+longer AS (SELECT lang, array_to_string(w[i : i + e - 1], ' ') AS phrase, max(f) AS f FROM inner_ GROUP BY ALL),
+ranked AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.f IS NULL OR g.f < a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
 ORACLES = {
     "op1_substring_automata": OP1,
     "op2_embedding_pstable": OP2,
@@ -98,4 +113,5 @@ ORACLES = {
     "op6_prefix_decontaminate": OP6,
     "op9_minhash_bayes": OP9,
     "op10_secret_ledger": OP10,
+    "op13_phrase_suffixes": OP13,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, embeddings, licenses, minhash, mixing, pii, quality, secrets, substrings
+from . import chat, collocations, decontaminate, embeddings, licenses, minhash, mixing, pii, quality, secrets, substrings
 from .oracles import ORACLES
 
 
@@ -60,10 +60,14 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_versions(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_phrase_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_automata, op2_embedding_pstable, op3_quality_votes, op4_mix_sources, op5_chat_fingerprints, op6_prefix_decontaminate,
-        op7_license_patience, op8_pii_boosted, op9_minhash_bayes, op10_secret_ledger,
+        op7_license_patience, op8_pii_boosted, op9_minhash_bayes, op10_secret_ledger, op13_phrase_suffixes,
     )}
 
 
