@@ -3,11 +3,13 @@
 1. Shards of texts become arrays of word ids (zeros between pieces) with their own vocabularies; they are written once.
 2. Every shard counts its pairs of words. Pairs are dealt by ranges of their hash, as packed arrays, and added up; a shard
    gets back those of its pairs that reach the least count anywhere. A hash shared by two pairs only keeps one too many.
-3. What lies between pairs that don't reach it can't hold a candidate. The rest of a shard is sorted as a suffix array by
-   prefix doubling; the intervals of its LCP array are the phrases with their counts, and the counts are added up by phrase.
+   What other pairs join can't hold a candidate and is cut away; on the rest the same is done with three words.
+3. What is left of a shard is sorted as a suffix array by prefix doubling; the intervals of its LCP array are the phrases
+   with their counts. They too are dealt by ranges of their hash, packed, and added up by phrase: words, not hashes, are
+   compared here. A phrase comes at most once from each shard, and all shards' phrases are at most the phrases of the text.
 4. Parts, cuts and longer phrases are joined to the phrases that reach the least count.
 
-No step holds more than a shard, a range of pairs or a row, and nothing is broadcast unless Spark finds it small.
+No step holds more than a shard, a range of hashes or a row, and nothing is broadcast unless Spark finds it small.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from .words import LOWER, mix, owner_of_words, text_bytes, word_hashes, word_spa
 MOST_WORDS = 5
 LEAST_COUNT = 100
 SHARD_BYTES = 12_000_000
-RANGE_PAIRS = 500_000
+RANGE_GRAMS = 500_000
+#: Phrases of up to this many words are counted by hash first; reaches are told up to the second number.
+FILTERED, DEEPEST = 3, 255
 SALTS = 64
 _U = np.uint64
 PIECE_BREAKS = np.zeros(256, dtype=bool)
@@ -33,6 +37,8 @@ PIECE_BREAKS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BREAKS = PIECE_BREAKS.copy()
 BREAKS[[0x20, 0x09]] = True
 _SHARD = "lang string, n_words long, ids binary, vocabulary array<string>"
+_REST = "shard long, lang string, ids binary, reach binary, vocabulary array<string>"
+_PACKED = "range long, lang string, phrases array<string>, counts array<long>"
 _STRINGS = pa.list_(pa.string())
 
 
@@ -90,59 +96,65 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(parts)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lang, ids, words in zip(*(batch.column(c) for c in ("lang", "ids", "vocabulary")), strict=True):
-            counts = np.bincount(np.frombuffer(ids.as_buffer(), np.int32), minlength=len(words.values) + 1)[1:]
-            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(counts), pa.string()), words.values, pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+def _hashed(lang: str, words: pa.Array) -> np.ndarray:
+    """A hash of every word by its id, another one in each language."""
+    data, bounds = text_bytes(words)
+    return mix(np.append(_U(0), word_hashes(data, bounds[:-1], bounds[1:])) + _U((zlib.crc32(lang.encode()) + 1) * 0x9FB21C651E98DF25 % (1 << 64)))
 
 
-def _pair_keys(lang: str, ids: np.ndarray, words: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose word and next word are of one piece, and the leading ``bits`` + 32 bits of each such pair's hash."""
-    data, bounds = text_bytes(words)
-    hashes = np.append(_U(0), word_hashes(data, bounds[:-1], bounds[1:]))
-    at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-    seed = _U((zlib.crc32(lang.encode()) + 1) * 0x9FB21C651E98DF25 % (1 << 64))
-    return at, mix(hashes[ids[at]] * _U(0xC2B2AE3D27D4EB4F) + hashes[ids[at + 1]] + seed) >> _U(32 - bits)
+def _gram_keys(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, d: int, bits: int) -> np.ndarray:
+    """The leading ``bits`` + 32 bits of the hash of the ``d`` words from each of some places."""
+    key = np.zeros(len(at), dtype=_U)
+    for j in range(d):
+        key = key * _U(0xC2B2AE3D27D4EB4F) + hashes[ids[at + j]]
+    return mix(key) >> _U(32 - bits)
+
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, pa.Array]]:
+    """Shard, language, ids, how many words a phrase from each place may have, vocabulary."""
+    reaches = batch.column("reach") if "reach" in batch.schema.names else [None] * len(batch)
+    for shard, lang, ids, reach, words in zip(*(batch.column(c) for c in ("shard", "lang", "ids")), reaches, batch.column("vocabulary"), strict=True):
+        ids = np.frombuffer(ids.as_buffer(), np.int32)
+        yield shard.as_py(), lang.as_py(), ids, np.frombuffer(reach.as_buffer(), np.uint8) if reach is not None else to_next(ids == 0), words.values
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, pa.Array]]:
-    for shard, lang, ids, words in zip(*(batch.column(c) for c in ("shard", "lang", "ids", "vocabulary")), strict=True):
-        yield shard.as_py(), lang.as_py(), np.frombuffer(ids.as_buffer(), np.int32), words.values
 
+def to_next(marks: np.ndarray) -> np.ndarray:
+    """From each place the distance to the next mark or the end, at most 255."""
+    ends = np.append(np.flatnonzero(marks), len(marks))
+    places = np.arange(len(marks))
+    return np.minimum(ends[np.searchsorted(ends, places)] - places, DEEPEST).astype(np.uint8)
 
-def _pairs(bits: int):
+
+def _grams(d: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, lang, ids, words in _rows(batch):
-                keys, counts = np.unique(_pair_keys(lang, ids, words, bits)[1], return_counts=True)
+            for shard, lang, ids, reach, words in _rows(batch):
+                keys, counts = np.unique(_gram_keys(_hashed(lang, words), ids, np.flatnonzero(reach >= d), d, bits), return_counts=True)
                 if not len(keys):
                     continue
                 ranges = (keys >> _U(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
-                ends = [*cuts[1:], len(keys)]
+                bounds = list(zip(cuts, [*cuts[1:], len(keys)], strict=True))
                 low, counts = keys.astype(np.uint32), counts.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ranges[cuts]), pa.array([shard] * len(cuts), pa.int64()), pa.array([low[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())],
-                    ["range", "shard", "pairs", "counts"],
-                )
+                packed = [pa.array([x[a:b].tobytes() for a, b in bounds], pa.binary()) for x in (low, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(ranges[cuts]), pa.array([shard] * len(cuts), pa.int64()), *packed], ["range", "shard", "grams", "counts"])
 
     return run
 
 
 def _frequent(least: int):
-    """Of one range's pairs, those of each shard that reach ``least`` over all shards."""
+    """Of one range's phrases, those of each shard that reach ``least`` over all shards."""
 
     def run(table: pa.Table) -> pa.Table:
-        blobs = table.column("pairs").to_pylist()
-        pairs = np.frombuffer(b"".join(blobs), np.uint32)
+        blobs = table.column("grams").to_pylist()
+        grams = np.frombuffer(b"".join(blobs), np.uint32)
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
-        distinct, of = np.unique(pairs, return_inverse=True)
+        distinct, of = np.unique(grams, return_inverse=True)
         total = np.bincount(of, counts, len(distinct))  # doubles are whole far beyond any count here
         good = total[of] >= least
         at = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])])
-        kept = [pairs[a:b][good[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-        out = pa.table({"range": table.column("range"), "shard": table.column("shard"), "pairs": pa.array(kept, pa.binary())})
+        kept = [grams[a:b][good[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        out = pa.table({"range": table.column("range"), "shard": table.column("shard"), "grams": pa.array(kept, pa.binary())})
         return out.filter(pa.array([len(k) > 0 for k in kept]))
 
     return run
@@ -164,42 +176,91 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def lcp_intervals(ids: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For 2 to ``depth`` words: a first place and the number of places of every phrase that holds no mark."""
+def lcp_intervals(ids: np.ndarray, reach: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For 2 to ``depth`` words: a first place and the number of places of every phrase within its places' reach."""
     order = suffix_array(ids, depth)
-    padded = np.append(ids, np.zeros(depth, ids.dtype))
-    whole = np.ones(len(order), dtype=bool)
+    padded, reach = np.append(ids, np.zeros(depth, ids.dtype)), reach[order]
     same = np.ones(max(len(order) - 1, 0), dtype=bool)  # the LCP with the suffix before is at least d
     for d in range(1, depth + 1):
         at = padded[order + d - 1]
-        whole &= at > 0
         same &= at[1:] == at[:-1]
-        if d > 1:
+        whole = reach >= d
+        if d > 1 and whole.any():
             opens = np.flatnonzero(whole & ~np.append(False, same))
             places = np.cumsum(whole)
-            if len(opens):
-                counts = np.diff(np.append(places[opens], places[-1] + 1))
-                yield d, order[opens], counts
+            yield d, order[opens], np.diff(np.append(places[opens], places[-1] + 1))
 
 
-def _phrases(bits: int, depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reaching(d: int, bits: int):
+    """Shards cut to what may lie in a phrase of frequent pairs, with what the kept phrases of ``d`` words leave of their reach."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for (_, lang, ids, words), kept in zip(_rows(batch), batch.column("kept"), strict=True):
-                found = zip(kept.values.field("range").to_pylist(), kept.values.field("pairs").to_pylist(), strict=True)
-                good = np.sort(np.concatenate([(_U(r) << _U(32)) | np.frombuffer(b, np.uint32).astype(_U) for r, b in found]))
-                at, keys = _pair_keys(lang, ids, words, bits)
+            for (shard, lang, ids, reach, words), kept in zip(_rows(batch), batch.column("kept"), strict=True):
+                found = zip(kept.values.field("range").to_pylist(), kept.values.field("grams").to_pylist(), strict=True) if kept.is_valid else ()
+                good = np.sort(np.concatenate([np.zeros(0, _U), *[(_U(r) << _U(32)) | np.frombuffer(b, np.uint32).astype(_U) for r, b in found]]))
+                at = np.flatnonzero(reach >= d)
+                keys = _gram_keys(_hashed(lang, words), ids, at, d, bits)
                 spot = np.searchsorted(good, keys)
-                joined = np.zeros(len(ids) + 1, dtype=bool)
-                joined[at[(spot < len(good)) & (good[np.minimum(spot, len(good) - 1)] == keys)]] = True
-                mine = np.flatnonzero(joined[:-1] | np.append(False, joined[:-2]))
-                out = np.zeros(len(mine) + int((~joined[mine]).sum()), dtype=np.int32)
-                out[np.arange(len(mine)) + np.append(0, np.cumsum(~joined[mine]))[:-1]] = ids[mine]
-                for d, first, counts in lcp_intervals(out, depth):
-                    for i in range(0, len(first), 50_000):
-                        part = first[i : i + 50_000]
-                        text = pc.binary_join_element_wise(*[words.take(pa.array(out[part + j] - 1)) for j in range(d)], " ")
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), text, pa.array(counts[i : i + 50_000], pa.int64())], ["lang", "phrase", "n"])
+                whole = np.zeros(len(ids), dtype=bool)
+                whole[at[(spot < len(good)) & (np.append(good, _U(0))[spot] == keys)]] = True
+                run = to_next(~whole).astype(np.int64)  # kept phrases that start one after the other
+                new = np.where(whole, np.minimum(run + d - 1, DEEPEST), np.minimum(reach, d - 1)).astype(np.uint8)
+                used = (new > 1) | np.append(False, new[:-1] > 1)
+                mine = np.flatnonzero(used)
+                own, ranked = np.unique(ids[mine], return_inverse=True)
+                gap = np.append(np.diff(mine) > 1, True)  # a mark between what was not side by side
+                place = np.arange(len(mine)) + np.append(0, np.cumsum(gap))[:-1]
+                out, far = np.zeros(len(mine) + int(gap.sum()), dtype=np.int32), np.zeros(len(mine) + int(gap.sum()), dtype=np.uint8)
+                out[place], far[place] = ranked + 1, new[mine]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard]), pa.array([lang]), pa.array([out.tobytes()], pa.binary()), pa.array([far.tobytes()], pa.binary()), pa.array([words.take(pa.array(own - 1))], _STRINGS)], ["shard", "lang", "ids", "reach", "vocabulary"]
+                )
+
+    return cut
+
+
+def _packed(lang: str, keys: np.ndarray, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """One row for each range of ``keys``, with its phrases and their counts."""
+    order = np.argsort(keys, kind="stable")
+    ranges = (keys[order] >> _U(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
+    offsets = pa.array(np.append(cuts, len(order)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, x.take(pa.array(order))) for x in (phrases, pa.array(counts, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(ranges[cuts]), pa.array([lang] * len(cuts), pa.string()), *lists], ["range", "lang", "phrases", "counts"])
+
+
+def _words(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, lang, ids, _, words in _rows(batch):
+                yield _packed(lang, _hashed(lang, words)[1:] >> _U(32 - bits), words, np.bincount(ids, minlength=len(words) + 1)[1:])
+
+    return run
+
+
+def _phrases(depth: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, lang, ids, reach, words in _rows(batch):
+                hashes = _hashed(lang, words)
+                for d, first, counts in lcp_intervals(ids, reach, depth):
+                    text = pc.binary_join_element_wise(*[words.take(pa.array(ids[first + j] - 1)) for j in range(d)], " ")
+                    yield _packed(lang, _gram_keys(hashes, ids, first, d, bits), text, counts)
+
+    return run
+
+
+def _added(least: int):
+    """Of one range's phrases, those that reach ``least`` in their language, with their counts over all shards."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = [c.combine_chunks() for c in (table.column("phrases"), table.column("counts"))]
+        lists = [pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+        langs = table.column("lang").combine_chunks().take(pc.list_parent_indices(lists[0]))
+        rows = pa.table({"lang": langs, "phrase": lists[0].flatten(), "n": lists[1].flatten()}).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        rows = rows.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "f"])
+        return rows.filter(pc.field("f") >= least)
 
     return run
 
@@ -211,14 +272,17 @@ def phrase_counts(docs: DataFrame, *, least: int = LEAST_COUNT, most_words: int
     """
     shards = written(docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(_shards, _SHARD).withColumn("shard", F.monotonically_increasing_id()), "collocation-shards")
     totals = shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    words = shards.select("lang", "ids", "vocabulary").mapInArrow(_word_counts, "lang string, phrase string, n long")
     size = shards.agg(F.sum("n_words")).first()[0] or 0
-    bits = min(max(0, int(size // RANGE_PAIRS).bit_length()), 31)
-    pairs = shards.mapInArrow(_pairs(bits), "range long, shard long, pairs binary, counts binary")
-    kept = pairs.groupBy("range").applyInArrow(_frequent(least), "range long, shard long, pairs binary")
-    lists = kept.groupBy("shard").agg(F.collect_list(F.struct("range", "pairs")).alias("kept"))  # no more than the shard's own pairs
-    phrases = shards.join(lists, "shard").select("shard", "lang", "ids", "vocabulary", "kept").mapInArrow(_phrases(bits, most_words), "lang string, phrase string, n long")
-    counts = words.unionByName(phrases).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    bits = min(max(0, int(size // RANGE_GRAMS).bit_length()), 31)
+    rest = shards.drop("n_words")
+    for d in range(2, min(FILTERED, most_words) + 1):
+        grams = rest.mapInArrow(_grams(d, bits), "range long, shard long, grams binary, counts binary")
+        kept = grams.groupBy("range").applyInArrow(_frequent(least), "range long, shard long, grams binary")
+        lists = kept.groupBy("shard").agg(F.collect_list(F.struct("range", "grams")).alias("kept"))  # no more than the shard's own phrases
+        rest = rest.join(lists, "shard", "inner" if d == 2 else "left")
+        rest = written(rest.mapInArrow(_reaching(d, bits), _REST), "collocation-rest")
+    packed = shards.drop("n_words").mapInArrow(_words(bits), _PACKED).unionByName(rest.mapInArrow(_phrases(most_words, bits), _PACKED))
+    counts = packed.groupBy("range").applyInArrow(_added(least), "lang string, phrase string, f long")
     return written(counts, "collocation-counts"), totals
 
 
