@@ -26,7 +26,7 @@ from .words import LOWER, mix, owner_of_words, text_bytes, word_hashes, word_spa
 
 MOST_WORDS = 5
 LEAST_COUNT = 100
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 6_000_000
 RANGE_GRAMS = 500_000
 #: Phrases of up to this many words are counted by hash first; reaches are told up to the second number.
 FILTERED, DEEPEST = 3, 255

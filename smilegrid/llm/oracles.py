@@ -91,6 +91,33 @@ sums AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, cou
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN sums USING (doc_id)"""
 
+_METRICS = {"word_length": ("word_chars", "n_words", 300), "symbols": ("n_symbols", "n_words", 100), "dup_lines": ("n_dup_lines", "n_lines", 500), "repeats": ("n_repeat_words", "n_words", 300)}
+
+
+def _fence(keys: str, name: str) -> str:
+    cells = f"SELECT {keys}, metric, cell, count(*) AS n, sum(count(*)) OVER (PARTITION BY {keys}, metric ORDER BY cell) AS upto, sum(count(*)) OVER (PARTITION BY {keys}, metric) AS total FROM cells GROUP BY {keys}, metric, cell"
+    quarter = f"SELECT {keys}, metric, max(total) AS total, min(cell) FILTER (WHERE upto * 4 >= total) AS q1, min(cell) FILTER (WHERE upto * 4 >= 3 * total) AS q3 FROM ({cells}) GROUP BY {keys}, metric"
+    return f"{name} AS (SELECT {keys}, metric, total, q1 - 3 * (q3 - q1) - slack AS least, q3 + 3 * (q3 - q1) + slack AS most FROM ({quarter}) JOIN slacks USING (metric))"
+
+
+OP12 = rf"""
+WITH docs AS (SELECT doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '{_WHITE}'), []) AS w FROM documents),
+lined AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WHITE}')) AS lines FROM docs),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM docs))),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat FROM windows, range(8) AS t(k) WHERE n > 1 GROUP BY doc_id),
+base AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words FROM lined LEFT JOIN repeated USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+slacks AS (SELECT unnest({list(_METRICS)}) AS metric, unnest({[x[2] for x in _METRICS.values()]}) AS slack),
+shares AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, 1000 * {x} // greatest({n}, 1) AS v FROM judged WHERE NOT base_failed" for m, (x, n, _) in _METRICS.items())}),
+cells AS (SELECT lang, source, 1 AS one, metric, (v >> CAST(low AS BIGINT)) << CAST(low AS BIGINT) AS cell FROM (SELECT *, greatest(length(bin(v)) - 6, 0) AS low FROM shares)),
+{_fence("lang, source", "own")}, {_fence("lang", "spoken")}, {_fence("one", "whole")},
+past AS (SELECT doc_id, string_agg(metric, ',' ORDER BY metric) AS failed FROM (
+  SELECT s.*, CASE WHEN o.total >= 100 THEN o.least WHEN l.total >= 100 THEN l.least ELSE a.least END AS least, CASE WHEN o.total >= 100 THEN o.most WHEN l.total >= 100 THEN l.most ELSE a.most END AS most
+  FROM shares s JOIN own o USING (lang, source, metric) JOIN spoken l USING (lang, metric) JOIN whole a USING (metric)) WHERE v > most OR (v < least AND metric = 'word_length') GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed
+FROM judged LEFT JOIN past USING (doc_id)"""
+
 OP13 = rf"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
 runs AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
@@ -113,5 +140,6 @@ ORACLES = {
     "op6_prefix_decontaminate": OP6,
     "op9_minhash_bayes": OP9,
     "op10_secret_ledger": OP10,
+    "op12_adaptive_rules": OP12,
     "op13_phrase_suffixes": OP13,
 }

@@ -181,16 +181,19 @@ def own_rows(docs: DataFrame, added: tuple[str, ...], keep: Callable[[DataFrame]
 HOT_SHARE = 1_000
 
 
-def join_back(rows: DataFrame, found: DataFrame, key: str, *, narrow: Column | None = None, blanks: bool = True) -> DataFrame:
+def join_back(rows: DataFrame, found: DataFrame, key: str, *, narrow: Column | None = None, blanks: bool = True, most_rows: int | None = None) -> DataFrame:
     """``rows`` left-joined to what was ``found`` for each key, where one key may hold a third of all rows.
 
     ``found`` has one row a key and the number ``n`` of rows that hold it. Keys with more than one in HOT_SHARE of
     all rows, fewer than HOT_SHARE of them, are broadcast (``narrow`` must hold, where their columns have no fixed size)
-    and their rows stay where they are; all other rows are dealt by key. Rows without a key get NULLs (with
-    ``blanks`` False there are none).
+    and their rows stay where they are; all other rows are dealt by key. With ``most_rows`` keys of more rows are broadcast too,
+    at most one for each so many rows. Rows without a key get NULLs (with ``blanks`` False there are none).
     """
     total = found.agg(F.sum("n")).first()[0] or 0
-    hot = F.coalesce((F.col("n") * HOT_SHARE > total) & (F.lit(True) if narrow is None else narrow), F.lit(False))
+    large = F.col("n") * HOT_SHARE > total
+    if most_rows is not None:
+        large |= F.col("n") > most_rows
+    hot = F.coalesce(large & (F.lit(True) if narrow is None else narrow), F.lit(False))
     few, rest = found.where(hot).drop("n"), found.where(~hot).drop("n")
     keyed = rows.where(F.col(key).isNotNull()) if blanks else rows
     near = keyed.join(F.broadcast(few), key)
