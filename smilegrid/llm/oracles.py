@@ -91,6 +91,39 @@ sums AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, cou
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN sums USING (doc_id)"""
 
+def _plus(x: str, cost: str, letters: str) -> str:
+    """A path (nine digits of cost, then letters; NULL: none) with more of both."""
+    return f"lpad(CAST(CAST(left({x}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substring({x}, 10) || '{letters}'"
+
+
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(key, ''), lambda c: [ord(c), 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"
+_WHITES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP11 = rf"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+dealt AS (SELECT *, {_CRC} % 20 AS what FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE WHEN what = 1 THEN '' WHEN what = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM dealt, range(2) AS t(k) WHERE what <> 0 AND (k = 0 OR what = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial, right(rtrim(text, {_WHITES}), 1) AS ending FROM damaged),
+turns AS (SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM turns GROUP BY conv_id),
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM counts
+  UNION ALL
+  SELECT conv_id, i, {_plus("s0", "2", "D")}, CASE WHEN keeps AND initial = 's' THEN least({_plus("s1", "2", "D")}, {_plus("s0", "extra", "K")}) ELSE {_plus("s1", "2", "D")} END,
+    least({_plus("u", "2", "D")}, CASE WHEN keeps AND initial = 'u' THEN {_plus("f", "extra", "K")} END, CASE WHEN keeps THEN {_plus("f", "extra + 1", "R")} END),
+    least({_plus("a", "2", "D")}, CASE WHEN keeps AND initial = 'a' THEN {_plus("u", "extra", "K")} END, CASE WHEN keeps THEN {_plus("u", "extra + 1", "R")} END)
+  FROM (SELECT *, least(s0, s1, a) AS f FROM (SELECT *, least(s3, {_plus("u", "5", "I")}) AS a FROM (
+    SELECT t.conv_id, t.i, s0, s1, s3, initial, fault NOT IN ('blank', 'duplicate') AS keeps, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra, least(s2, {_plus("s0", "5", "I")}, {_plus("s1", "5", "I")}, {_plus("s3", "5", "I")}) AS u
+    FROM paths p JOIN turns t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1)))),
+ended AS (SELECT p.conv_id, least(s0, s3, {_plus("s2", "5", "I")}, {_plus("s1", "10", "II")}) AS path FROM paths p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i),
+letters AS (SELECT conv_id, k, path[9 + k] AS letter, CAST(length(replace(path[10 : 9 + k], 'I', '')) AS BIGINT) AS i FROM (SELECT conv_id, path, unnest(range(1, length(path) - 8)) AS k FROM ended)),
+staying AS (SELECT l.conv_id, k, letter, t.role, CASE WHEN letter = 'I' THEN '' ELSE t.text END AS text, count(*) FILTER (WHERE NOT (letter = 'K' AND initial = 's')) OVER (PARTITION BY l.conv_id ORDER BY k) AS place
+  FROM letters l LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.i = l.i WHERE letter <> 'D'),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS body FROM staying GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(left(path, 9) AS BIGINT), 0) AS cost, coalesce(substring(path, 10), '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
 _METRICS = {"word_length": ("word_chars", "n_words", 300), "symbols": ("n_symbols", "n_words", 100), "dup_lines": ("n_dup_lines", "n_lines", 500), "repeats": ("n_repeat_words", "n_words", 300)}
 
 
@@ -140,6 +173,7 @@ ORACLES = {
     "op6_prefix_decontaminate": OP6,
     "op9_minhash_bayes": OP9,
     "op10_secret_ledger": OP10,
+    "op11_repair_arcs": OP11,
     "op12_adaptive_rules": OP12,
     "op13_phrase_suffixes": OP13,
 }

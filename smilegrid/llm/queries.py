@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, collocations, decontaminate, embeddings, licenses, minhash, mixing, pii, quality, rules, secrets, substrings
+from . import chat, collocations, decontaminate, embeddings, licenses, minhash, mixing, pii, quality, repair, rules, secrets, substrings
 from .oracles import ORACLES
 
 
@@ -60,6 +60,11 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_versions(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_repair_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.digest(*repair.repair(repair.damage(turns), present="present"))
+
+
 def op12_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.quality_rules(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join(F.sort_array("failed"), ",").alias("failed"))
@@ -72,7 +77,7 @@ def op13_phrase_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_automata, op2_embedding_pstable, op3_quality_votes, op4_mix_sources, op5_chat_fingerprints, op6_prefix_decontaminate,
-        op7_license_patience, op8_pii_boosted, op9_minhash_bayes, op10_secret_ledger, op12_adaptive_rules, op13_phrase_suffixes,
+        op7_license_patience, op8_pii_boosted, op9_minhash_bayes, op10_secret_ledger, op11_repair_arcs, op12_adaptive_rules, op13_phrase_suffixes,
     )}
 
 

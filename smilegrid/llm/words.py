@@ -131,7 +131,7 @@ def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
     for batch in batches:
         if not len(batch):
             continue
-        values = batch.column(column).to_numpy()
+        values = batch.column(column).to_numpy(zero_copy_only=False)
         if rest and rest[-1].column(column)[0].as_py() != values[0]:
             yield pa.Table.from_batches(rest).combine_chunks()
             rest = []
