@@ -36,10 +36,25 @@ PIECE_BREAKS = np.zeros(256, dtype=bool)
 PIECE_BREAKS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BREAKS = PIECE_BREAKS.copy()
 BREAKS[[0x20, 0x09]] = True
-_SHARD = "lang string, n_words long, ids binary, vocabulary array<string>"
-_REST = "shard long, lang string, ids binary, reach binary, vocabulary array<string>"
+_SHARD = "lang string, n_words long, ids binary, vocabulary binary"
+_REST = "shard long, lang string, ids binary, reach binary, vocabulary binary"
 _PACKED = "range long, lang string, phrases array<string>, counts array<long>"
-_STRINGS = pa.list_(pa.string())
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def packed_bytes(data: bytes) -> bytes:
+    """Bytes compressed, behind their number: a shard is moved a few times."""
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def unpacked_bytes(data: memoryview) -> pa.Buffer:
+    return _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"))
+
+
+def _shard_row(named: dict[str, object], ids: np.ndarray, words: pa.Array, **more: np.ndarray) -> pa.RecordBatch:
+    """A row with ids, vocabulary (one word a line: no word holds a line end) and more arrays, all packed."""
+    packed = {"ids": ids.tobytes()} | {k: v.tobytes() for k, v in more.items()} | {"vocabulary": "\n".join(words.to_pylist()).encode()}
+    return pa.RecordBatch.from_pydict({k: [v] for k, v in named.items()} | {k: pa.array([packed_bytes(v)], pa.binary()) for k, v in packed.items()})
 
 
 def encoded(texts: pa.Array, langs: pa.Array) -> Iterator[tuple[str, int, np.ndarray, pa.Array]]:
@@ -78,7 +93,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts).combine_chunks()
         texts, langs = (table.column(c).combine_chunks() if table.column(c).num_chunks != 1 else table.column(c).chunk(0) for c in ("text", "lang"))
         for lang, n, ids, vocabulary in encoded(texts, langs):
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n]), pa.array([ids.tobytes()], pa.binary()), pa.array([vocabulary], _STRINGS)], ["lang", "n_words", "ids", "vocabulary"])
+            yield _shard_row({"lang": lang, "n_words": n}, ids, vocabulary)
 
     parts, size = [], 0
     for batch in batches:
@@ -114,8 +129,9 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.ndar
     """Shard, language, ids, how many words a phrase from each place may have, vocabulary."""
     reaches = batch.column("reach") if "reach" in batch.schema.names else [None] * len(batch)
     for shard, lang, ids, reach, words in zip(*(batch.column(c) for c in ("shard", "lang", "ids")), reaches, batch.column("vocabulary"), strict=True):
-        ids = np.frombuffer(ids.as_buffer(), np.int32)
-        yield shard.as_py(), lang.as_py(), ids, np.frombuffer(reach.as_buffer(), np.uint8) if reach is not None else to_next(ids == 0), words.values
+        ids, *reach = (np.frombuffer(unpacked_bytes(memoryview(x.as_buffer())), k) for x, k in ((ids, np.int32), (reach, np.uint8)) if x is not None)
+        words = pa.array(unpacked_bytes(memoryview(words.as_buffer())).to_pybytes().decode().split("\n"), pa.string())
+        yield shard.as_py(), lang.as_py(), ids, reach[0] if reach else to_next(ids == 0), words
 
 
 def to_next(marks: np.ndarray) -> np.ndarray:
@@ -213,9 +229,7 @@ def _reaching(d: int, bits: int):
                 place = np.arange(len(mine)) + np.append(0, np.cumsum(gap))[:-1]
                 out, far = np.zeros(len(mine) + int(gap.sum()), dtype=np.int32), np.zeros(len(mine) + int(gap.sum()), dtype=np.uint8)
                 out[place], far[place] = ranked + 1, new[mine]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard]), pa.array([lang]), pa.array([out.tobytes()], pa.binary()), pa.array([far.tobytes()], pa.binary()), pa.array([words.take(pa.array(own - 1))], _STRINGS)], ["shard", "lang", "ids", "reach", "vocabulary"]
-                )
+                yield _shard_row({"shard": shard, "lang": lang}, out, words.take(pa.array(own - 1)), reach=far)
 
     return cut
 
