@@ -24,6 +24,16 @@ def position_greeks(legs: DataFrame, by: list[str], greeks: tuple[str, ...]) ->
     return legs.groupBy(*by).agg(*[F.sum(F.col(g) * F.col("qty") * MULTIPLIER).alias(g) for g in greeks])
 
 
+def with_trades(legs: DataFrame, trades: DataFrame) -> DataFrame:
+    """A portfolio's legs with those of trades that are not made yet, as positions of their own."""
+    return legs.unionByName(trades)
+
+
+def without_positions(legs: DataFrame, closed: DataFrame, by: list[str], position: str = "position") -> DataFrame:
+    """A portfolio's legs without those of ``closed`` positions; an unknown position changes nothing."""
+    return legs.join(closed.select(*by, position), [*by, position], "left_anti")
+
+
 def net_premium(legs: DataFrame, by: list[str]) -> DataFrame:
     return legs.groupBy(*by).agg((-F.sum(F.col("qty") * F.col("price") * MULTIPLIER)).alias("net_premium"))
 

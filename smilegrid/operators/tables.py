@@ -106,3 +106,26 @@ def latest_snapshot(frame: DataFrame, ts: str, upto: Column | None = None) -> Da
     rows = frame if upto is None else frame.where(F.col(ts) <= upto)
     last = rows.agg(F.max(ts).alias(ts))  # one row
     return rows.join(F.broadcast(last), ts, "left_semi")
+
+
+def aligned(observations: DataFrame, mode: str, *, observed: str = "observed", release: str = "release", delay_days: int = 2) -> DataFrame:
+    """``observations`` with ts, when they may be used: "strict" keeps those with a release and takes it, "conservative" takes the day observed plus a delay, whatever the release."""
+    if mode == "strict":
+        return observations.where(F.col(release).isNotNull()).withColumn("ts", F.col(release).cast("timestamp"))
+    if mode != "conservative":
+        raise ValueError(f"unknown mode {mode}")
+    return observations.withColumn("ts", F.date_add(F.col(observed).cast("date"), delay_days).cast("timestamp"))
+
+
+def known_values(asks: DataFrame, vintages: DataFrame, by: list[str], *, asked: str, known: str, observed: str, tie: str, value: str, days: int = 90) -> DataFrame:
+    """As-of in two times: for each ask the value of the latest day ``observed`` among vintages ``known`` by then, no more than ``days`` before it.
+
+    Of one day's revisions the last known counts (then the greatest ``tie``). Both sides are cut into cells of ``days``, a vintage
+    is sent to its own cell and the next, so a key's whole history never meets all its asks; asks without a vintage are left out.
+    """
+    width = days + 1
+    cell = lambda x: F.floor(F.datediff(F.col(x).cast("date"), F.lit("1970-01-01").cast("date")) / width)
+    left = asks.withColumn("_cell", cell(asked))
+    right = vintages.select(*by, F.col(known).alias("_known"), F.struct(F.col(observed).alias("o"), F.col(known).alias("k"), F.col(tie).alias("t"), F.col(value).alias("v")).alias("_row"), F.explode(F.array(cell(observed), cell(observed) + 1)).alias("_cell"))
+    both = left.join(right, [*by, "_cell"]).where((F.col("_known") <= F.col(asked)) & (F.col("_row.o") >= F.date_sub(F.col(asked).cast("date"), days)) & (F.col("_row.o") <= F.col(asked).cast("date")))
+    return both.groupBy(*by, asked).agg(F.max("_row").alias("_row")).select(*by, asked, F.col("_row.v").alias("value"), F.col("_row.o").alias("observed"))

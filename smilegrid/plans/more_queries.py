@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
-from ..operators import frames, labels, linalg, risk, structures, tables
+from ..operators import frames, labels, linalg, risk, scan, structures, tables
 from ..sources import store
 from ..streaming import live
 from .portfolio_queries import _LEGS, legs
@@ -117,13 +117,7 @@ def exit_check(t):
 @query("SELECT event_id, first_value(reason IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS kill_reason FROM (SELECT *, CASE WHEN value - 50 < -49 THEN 'DAILY_LOSS' WHEN value > 99 THEN 'STRESS_BREACH' WHEN value / 500 > 0.197 THEN 'LIQUIDITY_COLLAPSE' END AS reason FROM events)")
 def kill_triggers(t):
     reason = risk.kill_reason(c("value") - 50, c("value"), F.lit(99.0), c("value") / 500, most_loss=49, most_spread=0.197)
-    return risk.latched(t("events"), reason, *NODE).select("event_id", "kill_reason")
-
-
-@query(f"SELECT l_orderkey, round(1000 + sum(delta * qty * 100), 4) AS with_trade, round(1000 - sum(delta * qty * 100), 4) AS without_position FROM ({_LEGS}) GROUP BY 1")
-def hypothetical_portfolio(t):
-    own = risk.position_greeks(legs(t), ["l_orderkey"], ("delta",))
-    return own.select("l_orderkey", F.round(1000 + c("delta"), 4).alias("with_trade"), F.round(1000 - c("delta"), 4).alias("without_position"))
+    return scan.latched(t("events"), reason, *NODE, cell=F.date_trunc("hour", "ts")).select("event_id", "kill_reason")
 
 
 _POS = "SELECT l_suppkey AS portfolio, l_orderkey * 10 + l_linenumber AS position, l_discount * 100 - 4 AS delta, l_tax * 100 - 4 AS vega, l_quantity / 100 - 0.2 AS gamma FROM lineitem"
@@ -275,9 +269,8 @@ def naive_baseline(t):
 
 @query("SELECT user_id, i AS patch, round(list_sum(v[i * 3 + 1 : i * 3 + 5]), 6) AS total FROM (SELECT user_id, v, unnest(range((len(v) - 5) // 3 + 1)) AS i FROM (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1) WHERE len(v) >= 5)")
 def patch_unfold(t):
-    rows = t("events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("v"))
-    rows = rows.select("user_id", F.posexplode(labels.unfolded(c("v"), 5, 3)).alias("patch", "x"))
-    return rows.select("user_id", c("patch").cast("long").alias("patch"), F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+    rows = scan.unfolded(t("events"), *NODE, cell=F.date_trunc("hour", "ts"), size=5, stride=3)
+    return rows.groupBy("user_id", "patch").agg(F.round(F.sum("value"), 6).alias("total"))
 
 
 # features, snapshots, chains
@@ -364,12 +357,11 @@ def latest_released(t):
     return t("orders").where(seen).groupBy("o_custkey").agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("value"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS ts FROM orders WHERE o_orderkey % 5 <> 0")
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) + 1 AS ts FROM orders WHERE o_orderkey % 3 = 0")
 def strict_release(t):
-    """Strict alignment keeps observations with a release and dates them by it; conservative alignment dates them two days on."""
-    rows = t("orders").where("o_orderkey % 5 <> 0").select("o_orderkey", F.to_date("o_orderdate").alias("observed"))
-    release = F.when(c("o_orderkey") % 3 == 0, F.date_add("observed", 1))
-    return rows.select("o_orderkey", F.coalesce(release, F.date_add("observed", 2)).alias("ts"))
+    """Strict alignment keeps only observations with a release (here a third of them) and dates them by it."""
+    rows = t("orders").select("o_orderkey", F.when(c("o_orderkey") % 3 == 0, F.date_add(F.to_date("o_orderdate"), 1)).alias("release"))
+    return tables.aligned(rows, "strict").select("o_orderkey", F.to_date("ts").alias("ts"))
 
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN isnan(s) THEN NULL ELSE s END, l_tax) AS delta FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 2 THEN NULL ELSE l_discount END AS s FROM lineitem)")
@@ -380,8 +372,8 @@ def greeks_or_entry(t):
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR")
 def fresh_quotes(t):
-    now = t("events").agg(F.max("ts")).first()[0]
-    return live.fresh(t("events"), "ts", now, 12 * 3600).select("event_id")
+    rows = t("events").crossJoin(F.broadcast(t("events").agg(F.max("ts").alias("now"))))  # one row
+    return live.fresh(rows, "ts", c("now"), 12 * 3600).select("event_id")
 
 
 @query("SELECT a.event_id, b.event_id AS view_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 2 HOUR AND a.ts + INTERVAL 2 HOUR WHERE a.event_type = 'click' AND b.event_type = 'view'")
@@ -390,11 +382,12 @@ def interval_join(t):
     return live.joined_streams(part("click"), part("view"), "user_id", "ts", "2 HOURS").select("event_id", c("r_event_id").alias("view_id"))
 
 
-@query(f"SELECT event_id, round((value + 100) / max(value + 100) OVER {last_rows(21)} - 1, 6) AS drawdown FROM ({_STEPS}) WHERE ts >= TIMESTAMP '2024-01-02'")
+@query(f"SELECT event_id, drawdown FROM (SELECT event_id, ts, round((value + 100) / max(value + 100) OVER {last_rows(21)} - 1, 6) AS drawdown FROM ({_STEPS})) WHERE ts >= TIMESTAMP '2024-01-02'")
 def trimmed_panel(t):
-    """A panel cut at its start date, so that frames begin there."""
-    rows = frames.by_days(t("events").withColumn("p", c("value") + 100), "ts", *NODE).where(c("ts") >= F.lit("2024-01-02").cast("timestamp_ntz"))
-    return rows.select("event_id", *r6(drawdown=S.ratio(c("p"), F.max("p").over(frames.last_days(NODE[0], 21))) - 1))
+    """A panel cut at its start date after its features are built, so that frames reach back into the rows before it."""
+    rows = frames.by_days(t("events").withColumn("p", c("value") + 100), "ts", *NODE)
+    rows = rows.withColumn("drawdown", S.ratio(c("p"), F.max("p").over(frames.last_days(NODE[0], 21))) - 1)
+    return rows.where(c("ts") >= F.lit("2024-01-02").cast("timestamp_ntz")).select("event_id", *r6(drawdown=c("drawdown")))
 
 
 # scans: the readers' columns from the test tables

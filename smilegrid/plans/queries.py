@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import pricing, scalars as S
-from ..operators import asof, frames, tables
+from ..operators import asof, frames, scan, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -446,7 +446,7 @@ def macro_zscore(t):
 
 @query(f"SELECT user_id, length, start FROM (SELECT user_id, count(*) AS length, min(ts) AS start FROM (SELECT *, sum(CASE WHEN down THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, value < max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS down FROM events)) WHERE down GROUP BY user_id, island)")
 def drawdown_islands(t):
-    return frames.drawdown_spells(t("events"), "value", *NODE)
+    return scan.spells(t("events"), "value", *NODE, cell=F.date_trunc("hour", "ts"))
 
 
 @query(f"SELECT event_id, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) OVER {over(9, 'CURRENT ROW')}, 6) AS win_rate FROM events")

@@ -85,7 +85,8 @@ def append_new(frame: DataFrame, path: str, key: list[str], order: list, partiti
 
 
 def replace_rows(frame: DataFrame, path: str, key: list[str], order: list, partition: str) -> None:
-    """Upsert: later rows replace those of their key. Only partitions that ``frame`` touches are rewritten, from a staged copy."""
+    """Upsert: later rows replace those of their key. Only partitions that ``frame`` touches are rewritten, from a staged copy,
+    which stays beside the table if that fails half way: it then holds all rows of those partitions."""
     spark = frame.sparkSession
     if exists(spark, path):
         touched = frame.select(partition).distinct()  # Spark broadcasts it if it is small
@@ -94,10 +95,8 @@ def replace_rows(frame: DataFrame, path: str, key: list[str], order: list, parti
         frame = upsert(frame.limit(0), frame, key, order)
     staged = f"{path}.staged-{uuid.uuid4().hex}"
     frame.write.parquet(staged)
-    try:
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    finally:
-        remove(spark, staged)
+    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    remove(spark, staged)
 
 
 def remove(spark: SparkSession, path: str) -> None:

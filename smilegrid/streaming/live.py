@@ -92,12 +92,21 @@ def alerts(portfolio: DataFrame, *, most_delta: float = 500.0, least_pnl: float
 
 
 def joined_streams(left: DataFrame, right: DataFrame, key: str, ts: str, within: str, late: str = "1 hour") -> DataFrame:
-    """Rows of two streams (or tables) with the same key whose times differ by at most ``within``; watermarks bound the state."""
+    """Rows of two streams (or tables) with the same key whose times differ by at most ``within``; watermarks bound the state of streams.
+
+    Tables are cut into cells of that length: a right row goes to its own cell and both neighbours, and meets the left rows of one
+    cell only, not all those of its key."""
     a, b = (f.withColumn(ts, F.col(ts).cast("timestamp")) for f in (left, right))
     a, b = ((f.withWatermark(ts, late) if f.isStreaming else f) for f in (a, b))
     b = b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns])
     gap = F.expr(f"INTERVAL {within}")
-    return a.join(b, (F.col(key) == F.col(f"r_{key}")) & F.col(f"r_{ts}").between(F.col(ts) - gap, F.col(ts) + gap))
+    near = (F.col(key) == F.col(f"r_{key}")) & F.col(f"r_{ts}").between(F.col(ts) - gap, F.col(ts) + gap)
+    if a.isStreaming or b.isStreaming:
+        return a.join(b, near)
+    width = F.greatest(F.unix_micros(F.timestamp_micros(F.lit(0)) + gap), F.lit(1))
+    cell = lambda x: F.call_function("div", F.unix_micros(x) - F.pmod(F.unix_micros(x), width), width)
+    b = b.withColumn("_r_cell", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: cell(F.col(f"r_{ts}")) + i)))
+    return a.withColumn("_cell", cell(F.col(ts))).join(b, near & (F.col("_cell") == F.col("_r_cell"))).drop("_cell", "_r_cell")
 
 
 def each_batch(quotes: DataFrame, build, path: str, seconds: int = 5):  # noqa: ANN001, ANN201

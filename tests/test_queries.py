@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from smilegrid.plans import more_queries, portfolio_queries, queries  # noqa: F401
+from smilegrid.plans import more_queries, panel_queries, portfolio_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
