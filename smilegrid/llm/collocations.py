@@ -27,7 +27,7 @@ from .words import LOWER, mix, owner_of_words, text_bytes, word_hashes, word_spa
 MOST_WORDS = 5
 LEAST_COUNT = 100
 SHARD_BYTES = 6_000_000
-RANGE_GRAMS = 500_000
+RANGE_GRAMS = 2_000_000
 #: Phrases of up to this many words are counted by hash first; reaches are told up to the second number.
 FILTERED, DEEPEST = 3, 255
 SALTS = 64
@@ -257,10 +257,13 @@ def _phrases(depth: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, lang, ids, reach, words in _rows(batch):
-                hashes = _hashed(lang, words)
+                hashes, parts = _hashed(lang, words), []
                 for d, first, counts in lcp_intervals(ids, reach, depth):
                     text = pc.binary_join_element_wise(*[words.take(pa.array(ids[first + j] - 1)) for j in range(d)], " ")
-                    yield _packed(lang, _gram_keys(hashes, ids, first, d, bits), text, counts)
+                    parts.append((_gram_keys(hashes, ids, first, d, bits), text, counts))
+                if parts:
+                    keys, texts, counts = zip(*parts, strict=True)
+                    yield _packed(lang, np.concatenate(keys), pa.concat_arrays(texts), np.concatenate(counts))
 
     return run
 
