@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MOST_NODES = 512
@@ -20,6 +21,78 @@ def covariance_pairs(panel: DataFrame, ts: str, node: str, value: str) -> DataFr
     return a.join(b, ts).where("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
 
 
+def gramian_pairs(panel: DataFrame, ts: str, node: str, value: str) -> DataFrame:
+    """What ``covariance_pairs`` gives, from sums of products of wide rows instead of a join of all pairs a time.
+
+    A time's rows are one array of at most MOST_NODES numbers (more nodes raise an error); a task adds up its times' products in
+    matrices and gives one row a pair, and the rows are added up. Values are taken off their node's mean first, so large levels
+    don't swallow the covariance. A node's second row of one time is left out (the greatest value stays); NULL and NaN are missing.
+    """
+    rows = panel.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & F.col(node).isNotNull() & F.col(ts).isNotNull())
+    means = rows.groupBy(F.col(node).alias("_node")).agg(F.avg(value).alias("_mean"))
+    listed = means.orderBy("_node").limit(MOST_NODES + 1).collect()
+    if len(listed) > MOST_NODES:
+        raise ValueError(f"a matrix of more than {MOST_NODES} nodes is too large for a task")
+    names, mean = [r["_node"] for r in listed], np.array([r["_mean"] for r in listed])
+    place = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]) if names else F.create_map().cast(f"map<{panel.schema[node].dataType.simpleString()},int>")
+    cells = rows.groupBy(F.col(ts).alias("_ts"), place[F.col(node)].alias("_i")).agg(F.max(F.col(value).cast("double")).alias("_v"))
+    wide_ = cells.groupBy("_ts").agg(F.collect_list("_i").alias("_i"), F.collect_list("_v").alias("_v"))
+
+    def add(batches):  # noqa: ANN001, ANN202
+        n = len(names)
+        count, left, square, both = (np.zeros((n, n)) for _ in range(4))
+        for batch in batches:
+            x, there = np.zeros((len(batch), n)), np.zeros((len(batch), n))
+            r = batch.column("_i").value_parent_indices().to_numpy()
+            i, v = (batch.column(c).flatten().to_numpy() for c in ("_i", "_v"))
+            x[r, i], there[r, i] = v - mean[i], 1
+            count += there.T @ there
+            left += x.T @ there
+            square += (x * x).T @ there
+            both += x.T @ x
+        a, b = np.nonzero(np.triu(count))
+        columns = [a, b, count[a, b].astype(np.int64), left[a, b], left[b, a], square[a, b], square[b, a], both[a, b]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    sums = wide_.mapInArrow(add, "i long, j long, n long, sx double, sy double, sxx double, syy double, sxy double")
+    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    dev = lambda p, a, b: F.col(p) - F.col(a) * F.col(b) / F.col("n")
+    cov = F.when(F.col("n") > 1, dev("sxy", "sx", "sy") / (F.col("n") - 1))
+    corr = F.try_divide(dev("sxy", "sx", "sy"), F.sqrt(F.greatest(dev("sxx", "sx", "sx") * dev("syy", "sy", "sy"), F.lit(0.0))))
+    back = lambda c: F.element_at(F.array(*[F.lit(n) for n in names]) if names else F.array(F.lit(None).cast(panel.schema[node].dataType)), (F.col(c) + 1).cast("int"))
+    return sums.select(back("i").alias("a"), back("j").alias("b"), cov.alias("cov"), corr.alias("corr"), "n")
+
+
+def uncorrelated_signals(signals: DataFrame, pairs: DataFrame, *, node: str, score: str, id_: str, limit: float = 0.85) -> DataFrame:
+    """Signals that stay: greedily by score (then the least id), one stays unless its node's correlation with the node of one that stayed reaches ``limit``.
+
+    Only the best signal of each known node can stay, so one task sees at most MOST_NODES nodes with their pairs; signals of
+    nodes without pairs all stay. ``score`` is the absolute edge times the confidence, or another number.
+    """
+    known = pairs.select(F.col("a").alias(node)).union(pairs.select(F.col("b").alias(node))).distinct()
+    free = signals.join(known, node, "left_anti")
+    best = signals.join(known, node, "left_semi").groupBy(node).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(id_).alias("i"))).alias("_b"))
+    best = best.select(F.lit(1).alias("_g"), F.col(node).cast("string").alias("a"), F.col("_b.s").alias("s"), F.col("_b.i").cast("string").alias("i"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("c"))
+    close = pairs.where((F.col("a") != F.col("b")) & (F.abs("corr") >= limit)).select(F.lit(1).alias("_g"), F.col("a").cast("string").alias("a"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("string").alias("i"), F.col("b").cast("string").alias("b"), F.col("corr").alias("c"))
+
+    def greedy(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        near: dict[str, set] = {}
+        for r in rows:
+            if r["b"] is not None:
+                near.setdefault(r["a"], set()).add(r["b"])
+                near.setdefault(r["b"], set()).add(r["a"])
+        nodes = sorted((r for r in rows if r["b"] is None), key=lambda r: (r["s"], r["i"]))
+        if len(nodes) > MOST_NODES:
+            raise ValueError(f"more than {MOST_NODES} nodes")
+        kept: set = set()
+        out = [r["i"] for r in nodes if not (near.get(r["a"], set()) & kept) and not kept.add(r["a"])]
+        return pa.table({"_i": pa.array(out, pa.string())})
+
+    stays = best.unionByName(close).groupBy("_g").applyInArrow(greedy, "_i string")
+    return signals.join(stays, signals[id_].cast("string") == F.col("_i"), "left_semi").unionByName(free)
+
+
 def matrix(pairs: DataFrame, value: str) -> tuple[list, np.ndarray]:
     """The symmetric matrix of at most MOST_NODES nodes; more raise an error before any pair is read."""
     nodes = pairs.select("a").union(pairs.select("b")).distinct().limit(MOST_NODES + 1).count()

@@ -129,3 +129,28 @@ def known_values(asks: DataFrame, vintages: DataFrame, by: list[str], *, asked:
     right = vintages.select(*by, F.col(known).alias("_known"), F.struct(F.col(observed).alias("o"), F.col(known).alias("k"), F.col(tie).alias("t"), F.col(value).alias("v")).alias("_row"), F.explode(F.array(cell(observed), cell(observed) + 1)).alias("_cell"))
     both = left.join(right, [*by, "_cell"]).where((F.col("_known") <= F.col(asked)) & (F.col("_row.o") >= F.date_sub(F.col(asked).cast("date"), days)) & (F.col("_row.o") <= F.col(asked).cast("date")))
     return both.groupBy(*by, asked).agg(F.max("_row").alias("_row")).select(*by, asked, F.col("_row.v").alias("value"), F.col("_row.o").alias("observed"))
+
+
+def check(name: str, severity: str, broken: Column, *, all_rows: bool = False) -> tuple[str, str, Column]:
+    """An issue's name and severity, and how many rows break it; with ``all_rows`` it is one only if each row does (then all count)."""
+    count = F.count_if(F.coalesce(broken, F.lit(False)))
+    return name, severity, F.when(count == F.count("*"), count).otherwise(0) if all_rows else count
+
+
+def column_checks(columns: list[str]) -> list[tuple[str, str, Column]]:
+    """Columns without any value are errors, NaNs warn."""
+    nan = lambda c: F.coalesce(F.isnan(F.col(c).try_cast("double")), F.lit(False))
+    return [x for c in columns for x in (check(f"empty_{c}", "ERROR", F.col(c).isNull() | nan(c), all_rows=True), check(f"nan_{c}", "WARNING", nan(c)))]
+
+
+def series_checks(series: str, value: str, bounds: dict[str, tuple[float, float]]) -> list[tuple[str, str, Column]]:
+    """For each named series its values outside their bounds; series that nobody named warn together."""
+    own = [check(f"range_{s}", "ERROR", (F.col(series) == s) & ~F.col(value).between(low, high)) for s, (low, high) in bounds.items()]
+    return [*own, check("unknown_series", "WARNING", ~F.col(series).isin(list(bounds)))]
+
+
+def one_pass_issues(frame: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
+    """check, severity and rows of all checks that some row breaks, from one aggregate."""
+    counts = frame.agg(*[c.alias(f"_{i}") for i, (_, _, c) in enumerate(checks)])
+    parts = F.array(*[F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"), F.col(f"_{i}").cast("long").alias("rows")) for i, (n, s, _) in enumerate(checks)])
+    return counts.select(F.explode(parts).alias("x")).select("x.*").where("rows > 0")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import frames, linear, risk, scan, tables
-from .queries import NODE, c, over, query, r6
+from ..operators import frames, linalg, linear, risk, samples, scan, tables
+from ..sources import manifest
+from .queries import _DAILY, NODE, c, daily, over, query, r6
 
 _ALL = "(PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
 
@@ -130,3 +131,91 @@ def hypothetical_portfolio(t):
         greeks = greeks.select(F.lit(name).alias("scenario"), "portfolio", "positions", "delta", "gamma", "vega")
         out = greeks if out is None else out.union(greeks)
     return out
+
+
+# samples: a node is a user's last digit, features a value and its square root, times are quarter hours
+
+_PANEL = "SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS t, user_id % 7 AS node, max(CASE WHEN event_id % 11 <> 0 THEN value END) AS f, max(value * 2) AS g, max(CASE WHEN event_type = 'click' THEN value END) AS y, bool_or(event_type = 'purchase') AS masked FROM events GROUP BY 1, 2"
+
+
+@query(f"""WITH p AS ({_PANEL}), times AS (SELECT t, row_number() OVER (ORDER BY t) AS r FROM (SELECT DISTINCT t FROM p)), ends AS (SELECT t AS end_ts, r FROM times WHERE r > 5 AND t >= TIMESTAMP '2024-01-02 12:00:00'),
+cells AS (SELECT end_ts, e.r, p.*, (s.r - e.r + 5) * 7 + node AS pos, s.r = e.r AS last FROM ends e JOIN times s ON s.r BETWEEN e.r - 5 AND e.r JOIN p ON p.t = s.t WHERE node < 5)
+SELECT end_ts, (SELECT t FROM times s WHERE s.r = max(c.r) - 5) AS start_ts, round(coalesce(sum(f * (1 + (pos % 13))), 0) + coalesce(sum((g - 50) / 10 * (2 + (pos % 13))), 0), 3) AS x_sum, round(coalesce(sum(y * (1 + node)) FILTER (WHERE last AND NOT masked), 0), 3) AS y_sum,
+count(y) FILTER (WHERE last AND NOT masked) AS nodes FROM cells c GROUP BY end_ts""")
+def sample_tensors(t):
+    """Samples of six times by seven places by two features, as sums over their cells (g is normalised; places 5 and 6 are no nodes of the grid)."""
+    rows = t("events").groupBy(F.window(F.col("ts").cast("timestamp"), "15 minutes").start.cast("timestamp_ntz").alias("t"), (c("user_id") % 7).alias("node"))
+    rows = rows.agg(F.max(F.when(c("event_id") % 11 != 0, c("value"))).alias("f"), F.max(c("value") * 2).alias("g"), F.max(F.when(c("event_type") == "click", c("value"))).alias("y"), F.bool_or(c("event_type") == "purchase").alias("masked"))
+    out = samples.dense_samples(rows, "t", F.when(c("node") < 5, c("node")), 7, ["f", "g"], ["y"], lookback=5, cell=F.date_trunc("day", "_ts"), min_end="2024-01-02T12:00:00", masked="masked", stats={"g": (50.0, 10.0)})
+    at = lambda i: F.floor(i / 2) % 13
+    x_sum = F.aggregate(F.transform("x", lambda v, i: F.when(i % 2 == 0, v * (1 + at(i))).otherwise(F.when(v != 0, v * (2 + at(i))).otherwise(0)).cast("double")), F.lit(0.0), lambda a, b: a + b)
+    y_sum = F.aggregate(F.transform("y", lambda v, i: (v * (1 + i)).cast("double")), F.lit(0.0), lambda a, b: a + b)
+    return out.select("end_ts", "start_ts", F.round(x_sum, 3).alias("x_sum"), F.round(y_sum, 3).alias("y_sum"), F.size(F.filter("mask", lambda m: m)).cast("long").alias("nodes"))
+
+
+# covariance by one Gramian, correlated signals
+
+@query(f"SELECT a.series AS a, b.series AS b, round(covar_samp(a.value, b.value) / 1e6, 4) AS cov, round(corr(a.value, b.value), 6) AS corr, count(*) AS n FROM ({_DAILY}) a JOIN ({_DAILY}) b ON a.ts = b.ts AND a.series <= b.series GROUP BY 1, 2")
+def cov_gramian(t):
+    rows = linalg.gramian_pairs(daily(t), "ts", "series", "value")
+    return rows.select("a", "b", F.round(c("cov") / 1e6, 4).alias("cov"), F.round("corr", 6).alias("corr"), "n")
+
+
+_NODES = "SELECT CAST(ts AS DATE) AS d, user_id % 12 AS node, avg(value + CASE WHEN user_id % 12 >= 6 THEN 400 * (hash_ % 7) / 7 ELSE 0 END) AS value FROM (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS hash_ FROM events) WHERE user_id % 12 < 10 GROUP BY 1, 2"
+
+
+@query(f"""WITH RECURSIVE n AS ({_NODES}), pairs AS (SELECT a.node AS a, b.node AS b, corr(a.value, b.value) AS corr FROM n a JOIN n b USING (d) WHERE a.node <> b.node GROUP BY 1, 2),
+s AS (SELECT o_orderkey AS id, o_custkey % 12 AS node, abs((o_orderkey % 41 - 20) / 100.0) * (o_custkey % 9 / 8.0) AS score FROM orders),
+best AS (SELECT node, -min(-score) AS score, arg_min(id, (-score, id)) AS id FROM s WHERE node < 10 GROUP BY node), ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, CAST(id AS VARCHAR)) AS r FROM best),
+bad AS (SELECT x.r, list(y.node) AS near FROM ranked x JOIN pairs p ON p.a = x.node JOIN ranked y ON y.node = p.b WHERE abs(corr) >= 0.85 GROUP BY x.r),
+greedy AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL SELECT x.r, CASE WHEN list_has_any(coalesce(near, []), kept) THEN kept ELSE list_append(kept, node) END FROM greedy g JOIN ranked x ON x.r = g.r + 1 LEFT JOIN bad ON bad.r = x.r)
+SELECT id, node FROM s WHERE node >= 10 UNION ALL SELECT id, node FROM ranked WHERE list_contains((SELECT kept FROM greedy ORDER BY r DESC LIMIT 1), node)""")
+def correlated_signals(t):
+    """Signals scored by edge and confidence, kept where no better one's node correlates by 0.85; two of twelve nodes have no history."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    n = t("events").withColumn("node", c("user_id") % 12).where("node < 10").groupBy(F.to_date("ts").alias("d"), "node").agg(F.avg(c("value") + F.when(c("node") >= 6, 400 * (day % 7) / 7).otherwise(0)).alias("value"))
+    s = t("orders").select(c("o_orderkey").alias("id"), (c("o_custkey") % 12).alias("node"), (F.abs((c("o_orderkey") % 41 - 20) / 100.0) * (c("o_custkey") % 9 / 8.0)).alias("score"))
+    return linalg.uncorrelated_signals(s, linalg.gramian_pairs(n, "d", "node", "value"), node="node", score="score", id_="id").select("id", "node")
+
+
+# manifests: a customer segment's chain, read back from nested JSON; a third of them are plain lists
+
+_PICK = "SELECT o_custkey % 40 AS underlying, CAST(o_orderkey AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS expiry FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01'"
+
+
+@query(f"SELECT underlying, symbol, CASE WHEN underlying % 3 <> 0 THEN expiry END AS expiry FROM ({_PICK})")
+def manifest_symbols(t):
+    picked = t("orders").where(c("o_orderdate") >= F.lit("1997-06-01").cast("timestamp_ntz")).select((c("o_custkey") % 40).alias("underlying"), c("o_orderkey").alias("symbol"), F.to_date("o_orderdate").alias("expiry"))
+    built = manifest.build(picked, ["underlying"], {"min_dte": 5, "max_dte": 120})
+    plain = F.to_json(F.from_json(F.get_json_object("manifest", "$.symbols"), "array<string>"))
+    return manifest.symbols_of(built.withColumn("manifest", F.when(c("underlying") % 3 == 0, plain).otherwise(c("manifest"))))
+
+
+# returns over 1, 5, 10 and 21 rows
+
+_DAYS = (1, 5, 10, 21)
+
+
+@query("SELECT event_id, " + ", ".join(f"round((p - lag(p, {n}) OVER w) / nullif(lag(p, {n}) OVER w, 0), 6) AS ret_{n}, round(ln(p / lag(p, {n}) OVER w), 6) AS log_{n}" for n in _DAYS) + " FROM (SELECT *, value + 100 AS p FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def returns_multi(t):
+    """Returns and log returns over 1, 5, 10 and 21 rows, in blocks."""
+
+    def build(rows, by):
+        w = frames.node(by, NODE[1])
+        return rows.withColumns({f"{k}_{n}": f(c("p"), w, n) for n in _DAYS for k, f in (("ret", frames.growth), ("log", frames.log_return))})
+
+    rows = scan.windowed(t("events").withColumn("p", c("value") + 100), *NODE, cell=F.date_trunc("hour", "ts"), halo=21, build=build)
+    return rows.select("event_id", *r6(**{f"{k}_{n}": c(f"{k}_{n}") for n in _DAYS for k in ("ret", "log")}))
+
+
+# checks of macro series and of whole columns, in one aggregate
+
+_MACRO = "SELECT left(o_orderpriority, 1) AS series, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN CAST('NaN' AS DOUBLE) ELSE o_totalprice / 1000 END AS value, CAST(NULL AS DOUBLE) AS revised FROM orders"
+
+
+@query(f"""WITH m AS ({_MACRO}) SELECT 'nan_value' AS "check", 'WARNING' AS severity, count(*) AS rows FROM m WHERE isnan(value) UNION ALL SELECT 'empty_revised', 'ERROR', count(*) FROM m
+UNION ALL SELECT 'range_' || series, 'ERROR', count(*) FROM m WHERE (series = '1' AND NOT value BETWEEN 5 AND 300) OR (series = '2' AND NOT value BETWEEN 0 AND 200) GROUP BY series UNION ALL SELECT 'unknown_series', 'WARNING', count(*) FROM m WHERE series NOT IN ('1', '2', '9')""")
+def macro_checks(t):
+    value = F.when(c("o_orderkey") % 10 == 0, None).when(c("o_orderkey") % 10 == 1, float("nan")).otherwise(c("o_totalprice") / 1000)
+    rows = t("orders").select(F.left("o_orderpriority", F.lit(1)).alias("series"), value.alias("value"), F.lit(None).cast("double").alias("revised"))
+    return tables.one_pass_issues(rows, [*tables.column_checks(["value", "revised"]), *tables.series_checks("series", "value", {"1": (5, 300), "2": (0, 200), "9": (0, 1)})])

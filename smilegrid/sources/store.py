@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.frames import first_rows
 from ..operators.tables import insert_ignore, upsert
@@ -149,3 +149,49 @@ def find_results(results: DataFrame, tags: list[str] | None = None, limit: int |
     rows = results if tags is None else results.where(F.arrays_overlap("tags", F.array(*[F.lit(x) for x in tags])))
     rows = rows.orderBy(F.desc("created_at"), "run_id")
     return rows if limit is None else rows.limit(limit)
+
+
+def write_checked(frame: DataFrame, path: str, checks: list[tuple[str, str, Column]], *, mode: str = "append") -> tuple[DataFrame, int]:
+    """Writes ``frame`` and gives the issues (check, severity, rows) that ``tables.one_pass_issues`` would, and its rows: counted while it is written, the source is read once."""
+    seen = Observation()
+    frame.observe(seen, F.count("*").alias("_rows"), *[c.alias(f"_{i}") for i, (_, _, c) in enumerate(checks)]).write.mode(mode).parquet(path)
+    counts = seen.get
+    broken = [(n, s, int(counts[f"_{i}"])) for i, (n, s, _) in enumerate(checks) if counts.get(f"_{i}")]
+    return frame.sparkSession.createDataFrame(broken, "check string, severity string, rows long"), int(counts["_rows"])
+
+
+def file_sizes(spark: SparkSession, path: str, partition: str) -> DataFrame:
+    """files and bytes of each value of a table's partition column, from the listing: no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    value = F.url_decode(F.regexp_extract("path", f"/{partition}=([^/]+)/", 1))
+    return files.groupBy(value.alias("value")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def vacuum(spark: SparkSession, path: str, partition: str, target_bytes: int = 128 << 20) -> int:
+    """Rewrites the partitions that have more files than their bytes need at ``target_bytes`` a file; how many they were.
+
+    Their rows are dealt by a hash into as many files as are needed and staged beside the table first; the staged copy is
+    removed only when they are in place. Nobody should write to those partitions meanwhile."""
+    sizes = file_sizes(spark, path, partition).withColumn("need", F.greatest(F.ceil(F.col("bytes") / target_bytes), F.lit(1)).cast("int")).where("files > need")
+    todo = sizes.agg(F.count("*").alias("n"), F.sum("need").alias("files")).first()
+    if not todo["n"]:
+        return 0
+    table = spark.read.parquet(path)
+    same = F.coalesce(table[partition].cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")) == sizes["value"]
+    rows = table.join(sizes.select("value", "need"), same).withColumn("_file", F.pmod(F.xxhash64(*table.columns), F.col("need")))
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    rows.repartition(int(min(todo["files"], 100_000)), partition, "_file").select(*table.columns).write.partitionBy(partition).parquet(staged)
+    spark.read.schema(table.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    remove(spark, staged)
+    return int(todo["n"])
+
+
+def clear_groups(spark: SparkSession, root: str, groups: dict[str, list[str]], names: list[str]) -> list[str]:
+    """Deletes the tables of some named groups under ``root``; the tables that were there. An unknown group is an error, and nothing is deleted then."""
+    unknown = sorted(set(names) - set(groups))
+    if unknown:
+        raise ValueError(f"unknown groups: {', '.join(unknown)}")
+    there = [t for t in dict.fromkeys(t for n in names for t in groups[n]) if exists(spark, f"{root}/{t}")]
+    for t in there:
+        remove(spark, f"{root}/{t}")
+    return there

@@ -59,12 +59,16 @@ def latest_by_key(events: DataFrame, key: str, ts: str, value: str, late: str |
     return rows.groupBy(key).applyInPandasWithState(step, schema, "at long, v double", "update", GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout)
 
 
-def recent_by_key(events: DataFrame, key: str, ts: str, value: str, most: int = 22) -> DataFrame:
+def recent_by_key(events: DataFrame, key: str, ts: str, value: str, most: int = 22, late: str | None = None, keep_ms: int = 86_400_000) -> DataFrame:
     """With each batch that brings a key rows: how many of its newest values are kept (at most ``most``), their mean, and the change from the
-    oldest of them to the newest. The state is that list, in order of event time, whatever the order of arrival; rows without time or value are left out."""
+    oldest of them to the newest. The state is that list, in order of event time, whatever the order of arrival; rows without time or value are left out.
+    With ``late`` given, a key is forgotten once the watermark is ``keep_ms`` past its newest value; without it every key is kept."""
     schema = f"{key} long, {ts} timestamp, n int, mean double, change double"
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(zip(*state.get)) if state.exists else []
         for pdf in batches:
             pdf = pdf.dropna(subset=[ts, value]).nlargest(most, [ts, value])
@@ -73,10 +77,13 @@ def recent_by_key(events: DataFrame, key: str, ts: str, value: str, most: int =
             return
         at, vs = (list(x) for x in zip(*kept))
         state.update((at, vs))
+        if late:
+            state.setTimeoutTimestamp(max(at[-1] // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], ts: [pd.Timestamp(at[-1], unit="us")], "n": [len(vs)], "mean": [sum(vs) / len(vs)], "change": [vs[-1] - vs[0]]})
 
     rows = events.select(F.col(key).cast("long").alias(key), F.col(ts).cast("timestamp").alias(ts), F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).applyInPandasWithState(step, schema, "at array<long>, v array<double>", "update", GroupStateTimeout.NoTimeout)
+    rows = rows.withWatermark(ts, late) if late else rows
+    return rows.groupBy(key).applyInPandasWithState(step, schema, "at array<long>, v array<double>", "update", GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout)
 
 
 def fresh(quotes: DataFrame, ts: str, now: object, seconds: int = 60) -> DataFrame:
