@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from ..functions.scalars import clip, ratio
+from ..functions.scalars import BUCKET_DELTA, clip, ratio
 
 DAY = 1 << 30
 
@@ -136,6 +136,13 @@ def slope(y: Column, x: Column, least: int, spec: WindowSpec | None = None) -> C
     return F.when((n.over(spec) if spec else n) >= least, fit.over(spec) if spec else fit)
 
 
+def delta_or_centre(frame: DataFrame, by: list[str], delta: str = "delta", bucket: str = "bucket") -> DataFrame:
+    """``frame`` with x for a slope: a slice's deltas where it has any (rows without one then have no x), else its buckets' centres."""
+    centre = F.create_map(*[F.lit(v) for kv in BUCKET_DELTA.items() for v in kv])
+    some = F.count(F.when(~F.isnan(delta), F.col(delta))).over(Window.partitionBy(*by)) > 0
+    return frame.withColumn("x", F.when(some, F.nanvl(delta, F.lit(None).cast("double"))).otherwise(F.try_element_at(centre, F.col(bucket))))
+
+
 def curvature(frame: DataFrame, y: str, x: str, by: list[str], least: int = 4) -> DataFrame:
     """Leading coefficient of a quadratic fit for each group, from power sums of centred x."""
     pairs = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull())

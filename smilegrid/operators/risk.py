@@ -373,3 +373,25 @@ def backtest(orders: DataFrame, quotes: DataFrame, *, cash: float, most_delta: f
     kinds = {c: orders.schema[c].dataType.simpleString() for c in ("run", "date", "key")}
     schema = f"run {kinds['run']}, date {kinds['date']}, seq long, kind string, key {kinds['key']}, net double, pnl double, fees double, slippage double, reason string, cash double, positions_value double, equity double, unrealized double, realized double, daily_pnl double, net_delta double, open_positions long"
     return in_order(rows, "run", ["date", "_kind", "key"], lambda r: Book(r, cash, most_delta, most_loss), schema)
+
+
+def priced_legs(legs: DataFrame, surface: DataFrame, quotes: DataFrame, *, day: str = "day", symbol: str = "symbol", ts: str = "ts", greeks: tuple[str, ...] = ("delta",)) -> DataFrame:
+    """``legs`` with price and source: the day's surface, else the day's last quote, else the price at entry; longs at the bid, shorts at the ask.
+
+    ``surface`` has one row a (day, symbol) with bid, ask and Greeks, which replace the legs' own where they are finite; ``quotes`` are rows in time,
+    of which the last bid and the last ask of the day (of one time the greatest) count, each by itself, if both are there. A surface row's missing side stays missing (it is the
+    surface's price); legs keep their own Greeks elsewhere.
+    """
+    keys = [day, symbol]
+    last = quotes.groupBy(*keys).agg(*[F.max_by(s, F.when(F.col(s).isNotNull(), F.struct(ts, s))).alias(f"_q{s}") for s in ("bid", "ask")])
+    last = last.where("_qbid IS NOT NULL AND _qask IS NOT NULL").withColumn("_quoted", F.lit(True))
+    seen = surface.select(*keys, *[F.col(c).alias(f"_s{c}") for c in ("bid", "ask", *greeks)], F.lit(True).alias("_seen"))
+    rows = legs.join(seen, keys, "left").join(last, keys, "left")
+    long = F.col("qty") > 0
+    side = lambda p: F.when(long, F.col(f"_{p}bid")).otherwise(F.col(f"_{p}ask"))
+    rows = rows.withColumns({
+        "price": F.when(F.col("_seen"), side("s")).when(F.col("_quoted"), side("q")).otherwise(F.col("entry_price")),
+        "source": F.when(F.col("_seen"), "surface").when(F.col("_quoted"), "market").otherwise("entry"),
+        **{g: F.when(F.col("_seen") & F.col(f"_s{g}").isNotNull() & ~F.isnan(f"_s{g}"), F.col(f"_s{g}")).otherwise(F.col(g)) for g in greeks},
+    })
+    return rows.drop("_seen", "_quoted", "_qbid", "_qask", "_sbid", "_sask", *[f"_s{g}" for g in greeks])

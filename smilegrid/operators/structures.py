@@ -103,3 +103,22 @@ def premium_and_loss(legs: DataFrame, by: list[str]) -> DataFrame:
     net, zero = F.col("net_premium"), F.lit(0.0)
     loss = F.when(net < 0, -net).when(F.col("_strikes") == 2, F.greatest(zero, F.col("_width") - net)).when(F.col("_strikes") == 1, F.abs("_long")).otherwise(F.greatest(zero, F.greatest("_puts", "_calls") - net))
     return rows.select(*by, "net_premium", (net < 0).alias("is_debit"), "contracts", loss.alias("max_loss"))
+
+
+def largest_loss(legs: DataFrame, by: list[str], structure: str = "structure") -> DataFrame:
+    """net_premium and max_loss of each group of legs by its structure's own rule, from one grouping.
+
+    calendar: a debit loses itself, a credit the price of one leg of the latest expiry (of several the first by strike); vertical: a debit loses
+    itself, a credit the distance of its two least strikes less the credit; condor and skew: the wider of the put and call widths, less a credit
+    or plus a debit. Other structures get NULL; a single strike has no width.
+    """
+    side = lambda r: F.when(F.count_if(F.col("right") == r) >= 2, F.max(F.when(F.col("right") == r, F.col("strike"))) - F.min(F.when(F.col("right") == r, F.col("strike")))).otherwise(0.0) * MULTIPLIER
+    rows = legs.groupBy(*by, structure).agg(
+        (-F.sum(F.col("qty") * F.col("price") * MULTIPLIER)).alias("net_premium"), side("P").alias("_puts"), side("C").alias("_calls"), F.array_sort(F.collect_list("strike")).alias("_strikes"),
+        F.abs(F.min(F.struct((-F.unix_date(F.col("expiry").cast("date"))).alias("e"), "strike", "price"))["price"] * MULTIPLIER).alias("_far"),
+    )
+    net = F.col("net_premium")
+    width = F.try_element_at("_strikes", F.lit(2)) - F.try_element_at("_strikes", F.lit(1))
+    loss = F.when(F.col(structure).isin("condor", "skew"), F.greatest("_puts", "_calls") - net)
+    loss = loss.when(F.col(structure).isin("calendar", "vertical") & (net < 0), -net).when(F.col(structure) == "calendar", F.col("_far")).when(F.col(structure) == "vertical", F.coalesce(width, F.lit(0.0)) * MULTIPLIER - net)
+    return rows.select(*by, structure, "net_premium", loss.alias("max_loss"))

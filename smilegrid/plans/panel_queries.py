@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import frames, linalg, linear, risk, samples, scan, tables
+from ..operators import frames, linalg, linear, risk, samples, scan, structures, tables
 from ..sources import manifest
 from .queries import _DAILY, NODE, c, daily, over, query, r6
 
@@ -219,3 +219,98 @@ def macro_checks(t):
     value = F.when(c("o_orderkey") % 10 == 0, None).when(c("o_orderkey") % 10 == 1, float("nan")).otherwise(c("o_totalprice") / 1000)
     rows = t("orders").select(F.left("o_orderpriority", F.lit(1)).alias("series"), value.alias("value"), F.lit(None).cast("double").alias("revised"))
     return tables.one_pass_issues(rows, [*tables.column_checks(["value", "revised"]), *tables.series_checks("series", "value", {"1": (5, 300), "2": (0, 200), "9": (0, 1)})])
+
+
+# largest loss by structure, prices in three tiers, skew on bucket centres
+
+_TRADES = """SELECT l_orderkey, ['calendar', 'vertical', 'condor', 'skew', 'other'][CAST(l_orderkey % 5 AS INT) + 1] AS structure, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * CAST(l_quantity AS INT) AS qty, l_extendedprice / 1000 AS price,
+CAST(l_partkey % 50 AS DOUBLE) AS strike, CASE WHEN l_suppkey % 2 = 0 THEN 'P' ELSE 'C' END AS "right", CAST(l_shipdate AS DATE) AS expiry FROM lineitem"""
+
+
+@query(f"""SELECT l_orderkey, structure, round(net, 4) AS net_premium, round(CASE WHEN structure IN ('condor', 'skew') THEN greatest(puts, calls) - net WHEN structure = 'other' THEN NULL WHEN net < 0 THEN -net WHEN structure = 'calendar' THEN far ELSE coalesce(strikes[2] - strikes[1], 0) * 100 - net END, 4) AS max_loss FROM (
+SELECT l_orderkey, structure, -sum(qty * price * 100) AS net, list(strike ORDER BY strike) AS strikes, abs(arg_min(price, (-date_diff('day', DATE '1970-01-01', expiry), strike, price)) * 100) AS far,
+CASE WHEN count(*) FILTER (WHERE "right" = 'P') >= 2 THEN (max(strike) FILTER (WHERE "right" = 'P') - min(strike) FILTER (WHERE "right" = 'P')) * 100 ELSE 0 END AS puts,
+CASE WHEN count(*) FILTER (WHERE "right" = 'C') >= 2 THEN (max(strike) FILTER (WHERE "right" = 'C') - min(strike) FILTER (WHERE "right" = 'C')) * 100 ELSE 0 END AS calls FROM ({_TRADES}) GROUP BY 1, 2)""")
+def loss_by_structure(t):
+    kinds = F.array(*[F.lit(k) for k in ("calendar", "vertical", "condor", "skew", "other")])
+    rows = t("lineitem").select("l_orderkey", F.element_at(kinds, (c("l_orderkey") % 5 + 1).cast("int")).alias("structure"), (F.when(c("l_linenumber") % 2 == 0, -1).otherwise(1) * c("l_quantity").cast("int")).alias("qty"), (c("l_extendedprice") / 1000).alias("price"), (c("l_partkey") % 50).cast("double").alias("strike"), F.when(c("l_suppkey") % 2 == 0, "P").otherwise("C").alias("right"), F.to_date("l_shipdate").alias("expiry"))
+    return structures.largest_loss(rows, ["l_orderkey"]).select("l_orderkey", "structure", F.round("net_premium", 4).alias("net_premium"), F.round("max_loss", 4).alias("max_loss"))
+
+
+_LEG = "SELECT l_orderkey, l_linenumber, l_partkey AS symbol, l_suppkey % 30 AS day, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS qty, l_extendedprice AS entry_price, l_discount AS delta FROM lineitem"
+_SURF = "SELECT p_partkey AS symbol, p_partkey % 30 AS day, p_retailprice * 0.99 AS bid, CASE WHEN p_size % 5 <> 0 THEN p_retailprice * 1.01 END AS ask, CASE WHEN p_size % 4 = 0 THEN CAST('NaN' AS DOUBLE) WHEN p_size % 4 = 1 THEN NULL ELSE p_size / 100.0 END AS delta FROM part"
+_TICK = "SELECT l_partkey AS symbol, (l_suppkey + 1) % 30 AS day, l_orderkey * 10 + l_linenumber AS ts, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS bid, CASE WHEN l_linenumber < 5 THEN l_quantity * 2 END AS ask FROM lineitem"
+
+
+@query(f"""WITH q AS (SELECT symbol, day, arg_max(bid, (ts, bid)) FILTER (WHERE bid IS NOT NULL) AS bid, arg_max(ask, (ts, ask)) FILTER (WHERE ask IS NOT NULL) AS ask FROM ({_TICK}) GROUP BY 1, 2 HAVING bid IS NOT NULL AND ask IS NOT NULL)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN s.symbol IS NOT NULL THEN CASE WHEN qty > 0 THEN s.bid ELSE s.ask END WHEN q.symbol IS NOT NULL THEN CASE WHEN qty > 0 THEN q.bid ELSE q.ask END ELSE entry_price END, 4) AS price,
+CASE WHEN s.symbol IS NOT NULL THEN 'surface' WHEN q.symbol IS NOT NULL THEN 'market' ELSE 'entry' END AS source, round(CASE WHEN s.delta IS NOT NULL AND NOT isnan(s.delta) THEN s.delta ELSE l.delta END, 6) AS delta
+FROM ({_LEG}) l LEFT JOIN ({_SURF}) s ON s.symbol = l.symbol AND s.day = l.day LEFT JOIN q ON q.symbol = l.symbol AND q.day = l.day""".replace("HAVING bid IS NOT NULL AND ask IS NOT NULL", "HAVING count(bid) > 0 AND count(ask) > 0"))
+def pricing_tiers(t):
+    legs_ = t("lineitem").select("l_orderkey", "l_linenumber", c("l_partkey").alias("symbol"), (c("l_suppkey") % 30).alias("day"), F.when(c("l_linenumber") % 2 == 0, -1).otherwise(1).alias("qty"), c("l_extendedprice").alias("entry_price"), c("l_discount").alias("delta"))
+    delta = F.when(c("p_size") % 4 == 0, float("nan")).when(c("p_size") % 4 != 1, c("p_size") / 100.0)
+    surface = t("part").select(c("p_partkey").alias("symbol"), (c("p_partkey") % 30).alias("day"), (c("p_retailprice") * 0.99).alias("bid"), F.when(c("p_size") % 5 != 0, c("p_retailprice") * 1.01).alias("ask"), delta.alias("delta"))
+    ticks = t("lineitem").select(c("l_partkey").alias("symbol"), ((c("l_suppkey") + 1) % 30).alias("day"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("ts"), F.when(c("l_linenumber") != 3, c("l_quantity")).alias("bid"), F.when(c("l_linenumber") < 5, c("l_quantity") * 2).alias("ask"))
+    return risk.priced_legs(legs_, surface, ticks).select("l_orderkey", "l_linenumber", F.round("price", 4).alias("price"), "source", F.round("delta", 6).alias("delta"))
+
+
+_CENTRES = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in S.BUCKET_DELTA.items()) + "}"
+_NAMES = list(S.BUCKET_DELTA)
+
+
+@query(f"""SELECT snap, tenor, round(CASE WHEN count(*) >= 3 THEN regr_slope(iv, x) END, 4) AS slope, round(CASE WHEN count(*) >= 3 THEN regr_intercept(iv, x) END, 4) AS level FROM (
+SELECT snap, tenor, iv, CASE WHEN count(delta) OVER (PARTITION BY snap, tenor) > 0 THEN delta ELSE {_CENTRES}[bucket] END AS x FROM (SELECT p_partkey % 20 AS snap, p_size % 6 AS tenor, {_NAMES}[CAST(p_partkey % 7 AS INT) + 1] AS bucket,
+CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice / 4000 END AS iv, CASE WHEN p_size % 6 < 3 AND p_partkey % 5 <> 0 THEN (p_partkey % 100) / 100.0 - 0.5 END AS delta FROM part)) WHERE iv IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2""")
+def skew_slope_buckets(t):
+    """The skew of a slice on its deltas, or on its buckets' centres where the slice has no delta at all."""
+    bucket = F.element_at(F.array(*[F.lit(x) for x in _NAMES]), (c("p_partkey") % 7 + 1).cast("int"))
+    rows = t("part").select((c("p_partkey") % 20).alias("snap"), (c("p_size") % 6).alias("tenor"), bucket.alias("bucket"), F.when(c("p_partkey") % 11 != 0, c("p_retailprice") / 4000).alias("iv"), F.when((c("p_size") % 6 < 3) & (c("p_partkey") % 5 != 0), (c("p_partkey") % 100) / 100.0 - 0.5).alias("delta"))
+    rows = frames.delta_or_centre(rows, ["snap", "tenor"]).where("iv IS NOT NULL AND x IS NOT NULL")
+    fit = rows.groupBy("snap", "tenor").agg(frames.slope(c("iv"), c("x"), 3).alias("slope"), F.when(F.count("*") >= 3, F.regr_intercept("iv", "x")).alias("level"))
+    return fit.select("snap", "tenor", F.round("slope", 4).alias("slope"), F.round("level", 4).alias("level"))
+
+
+# a backtest's report from a plain ledger: an order status is a run, its days are snapshots, its orders entries (odd keys) and exits (even keys)
+
+_PNL = "(o_totalprice - 150000) / 100"
+_SNAPS = f"SELECT *, 1e6 + sum(daily_pnl) OVER (PARTITION BY run ORDER BY date) AS equity FROM (SELECT o_orderstatus AS run, CAST(o_orderdate AS DATE) AS date, sum({_PNL}) AS daily_pnl, count(*) AS open_positions FROM orders GROUP BY 1, 2)"
+_DEALS = f"SELECT o_orderstatus AS run, o_orderkey % 2 = 0 AS out_, {_PNL} AS pnl, (o_orderkey % 7) * 0.65 AS fees, (o_orderkey % 3) * 0.5 AS slippage FROM orders"
+_REPORT = f"""WITH s AS ({_SNAPS}), d AS (SELECT *, (equity - top) / CASE WHEN top = 0 THEN 1e-10 ELSE top END * 100 AS dd FROM (SELECT *, max(equity) OVER (PARTITION BY run ORDER BY date) AS top FROM s)),
+v AS (SELECT run, quantile_cont(daily_pnl, 0.05) AS var_95 FROM s GROUP BY run), spells AS (SELECT run, max(n) AS longest FROM (SELECT run, island, count(*) FILTER (WHERE dd < 0) AS n FROM (SELECT *, sum(CASE WHEN dd < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY date) AS island FROM d) GROUP BY 1, 2) GROUP BY run),
+b AS (SELECT run, min(date) AS start_date, max(date) AS end_date, count(*) AS n_days, arg_max(equity, date) AS final, abs(min(dd)) AS max_drawdown_pct, coalesce(abs(avg(dd) FILTER (WHERE dd < 0)), 0) AS avg_drawdown_pct, max(open_positions) AS max_concurrent_positions, avg(open_positions) AS avg_concurrent_positions,
+  avg(daily_pnl) AS avg_daily_pnl, coalesce(stddev_samp(daily_pnl), 0) AS daily_pnl_std, stddev_samp(daily_pnl) FILTER (WHERE daily_pnl < 0) AS down, max(daily_pnl) AS max_daily_gain, min(daily_pnl) AS max_daily_loss, any_value(var_95) AS var_95, avg(daily_pnl) FILTER (WHERE daily_pnl <= var_95) AS cvar_95 FROM d JOIN v USING (run) GROUP BY run),
+t AS (SELECT run, count(*) FILTER (WHERE out_) AS total_trades, count(*) FILTER (WHERE out_ AND pnl > 0) AS winning_trades, count(*) FILTER (WHERE out_ AND pnl < 0) AS losing_trades, coalesce(avg(pnl) FILTER (WHERE out_ AND pnl > 0), 0) AS avg_win, coalesce(abs(avg(pnl) FILTER (WHERE out_ AND pnl < 0)), 0) AS avg_loss,
+  coalesce(sum(pnl) FILTER (WHERE out_ AND pnl > 0), 0) AS gain, coalesce(abs(sum(pnl) FILTER (WHERE out_ AND pnl < 0)), 0) AS lost, avg(pnl) FILTER (WHERE out_) AS avg_trade_pnl, max(pnl) FILTER (WHERE out_) AS max_win, min(pnl) FILTER (WHERE out_) AS max_loss, sum(fees) AS total_fees, sum(slippage) AS total_slippage FROM ({_DEALS}) GROUP BY run),
+r AS (SELECT *, (final / 1e6 - 1) * 100 AS total_return_pct FROM b JOIN t USING (run) JOIN spells USING (run)), a AS (SELECT *, CASE WHEN n_days * 12 >= 252 THEN (pow(final / 1e6, 252.0 / n_days) - 1) * 100 ELSE total_return_pct END AS annualized_return_pct, total_fees + total_slippage AS cost FROM r),
+m AS (SELECT *, CASE WHEN daily_pnl_std > 0 THEN avg_daily_pnl / daily_pnl_std ELSE 0 END * sqrt(252) AS sharpe_ratio, CASE WHEN down > 0 THEN avg_daily_pnl / down ELSE 0 END * sqrt(252) AS sortino_ratio, CASE WHEN max_drawdown_pct > 0 THEN annualized_return_pct / max_drawdown_pct ELSE 0 END AS calmar_ratio, longest AS max_drawdown_duration_days,
+  CASE WHEN total_trades > 0 THEN winning_trades / total_trades * 100 ELSE 0 END AS win_rate, CASE WHEN total_trades = 0 THEN 0 WHEN lost > 0 THEN gain / lost ELSE 'inf'::DOUBLE END AS profit_factor, CASE WHEN total_trades > 0 THEN n_days / total_trades ELSE 0 END AS avg_holding_period_days, CASE WHEN final - 1e6 + cost <> 0 THEN cost / abs(final - 1e6 + cost) * 100 ELSE 0 END AS total_commission_pct FROM a)"""
+
+
+def plain_ledger(t):
+    pnl = (c("o_totalprice") - 150000) / 100
+    orders = t("orders").withColumnRenamed("o_orderstatus", "run").withColumn("date", F.to_date("o_orderdate"))
+    days = orders.groupBy("run", "date").agg(F.sum(pnl).alias("daily_pnl"), F.count("*").alias("open_positions"))
+    days = scan.prefix_scan(days, ["run"], ["date"], F.date_trunc("year", "date"), {"_sum": ("sum", c("daily_pnl"))})
+    days = days.select("run", "date", F.lit("SNAPSHOT").alias("kind"), "daily_pnl", "open_positions", (c("_sum") + 1e6).alias("equity"))
+    out = c("o_orderkey") % 2 == 0
+    deals = orders.select("run", "date", F.when(out, "EXIT").otherwise("ENTRY").alias("kind"), F.when(out, pnl).alias("pnl"), ((c("o_orderkey") % 7) * 0.65).alias("fees"), ((c("o_orderkey") % 3) * 0.5).alias("slippage"))
+    return days.unionByName(deals, allowMissingColumns=True)
+
+
+_ROUNDED = ", ".join(f"round({k}, 5) AS {k}" for k in risk.METRICS)
+
+
+@query(f"{_REPORT} SELECT run, start_date, end_date, {_ROUNDED} FROM m")
+def ledger_report(t):
+    """The thirty metrics of each run of a plain ledger."""
+    rows = risk.trade_metrics(plain_ledger(t), 1e6)
+    return rows.select("run", "start_date", "end_date", *[F.round(k, 5).alias(k) for k in risk.METRICS])
+
+
+_TWELVE = ("total_return_pct", "sharpe_ratio", "sortino_ratio", "max_drawdown_pct", "total_trades", "win_rate", "profit_factor", "avg_trade_pnl", "total_fees")
+
+
+@query(f"{_REPORT} SELECT run AS run_id, start_date, end_date, {', '.join(f'round({k}, 5) AS {k}' for k in _TWELVE)} FROM m")
+def ledger_comparison(t):
+    rows = risk.compare_runs(risk.trade_metrics(plain_ledger(t), 1e6))
+    return rows.select("run_id", "start_date", "end_date", *[F.round(k, 5).alias(k) for k in _TWELVE])
