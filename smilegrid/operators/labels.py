@@ -167,3 +167,11 @@ def unfolded(values: Column, length: int, stride: int) -> Column:
     """Overlapping windows of a list: ``length`` long, ``stride`` apart; a list that is too short has none."""
     n = F.floor((F.size(values) - length) / stride).cast("int")
     return F.when(F.size(values) >= length, F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(values, i * stride + 1, length))).otherwise(F.array().cast("array<array<double>>"))
+
+
+def split_order(split_rows: DataFrame, ts: str, names: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """One row for each split and the next: the end of the one, the start of the other, and whether they are in order (a missing split is)."""
+    ends = split_rows.where("target").groupBy().agg(*[f(F.when(F.col("split") == n, F.col(ts))).alias(f"_{k}_{n}") for n in names for k, f in (("min", F.min), ("max", F.max))])
+    pairs = [F.struct(F.lit(a).alias("earlier"), F.lit(b).alias("later"), F.col(f"_max_{a}").alias("ends"), F.col(f"_min_{b}").alias("starts")) for a, b in zip(names, names[1:])]
+    rows = ends.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+    return rows.withColumn("in_order", F.coalesce(F.col("ends") < F.col("starts"), F.lit(True)))

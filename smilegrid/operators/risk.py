@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import MULTIPLIER, clip, ratio
+from .scan import prefix_scan
 
 SPOT_SHOCKS = (-0.2, -0.1, -0.05, 0.05, 0.1, 0.2)
 VOL_SHOCKS = (-10.0, -5.0, 5.0, 10.0, 20.0)
@@ -395,3 +396,19 @@ def priced_legs(legs: DataFrame, surface: DataFrame, quotes: DataFrame, *, day:
         **{g: F.when(F.col("_seen") & F.col(f"_s{g}").isNotNull() & ~F.isnan(f"_s{g}"), F.col(f"_s{g}")).otherwise(F.col(g)) for g in greeks},
     })
     return rows.drop("_seen", "_quoted", "_qbid", "_qask", "_sbid", "_sask", *[f"_s{g}" for g in greeks])
+
+
+def position_states(positions: DataFrame, exits: DataFrame, today: Column, *, position: str = "position", expiry: str = "expiry") -> DataFrame:
+    """``positions`` with state: CLOSED once an exit was filled, CLOSING while one is submitted, EXPIRED after the last expiry, else OPEN.
+
+    ``exits`` are orders (position, filled); a closed position doesn't expire, one that is closing does."""
+    orders = exits.groupBy(position).agg(F.bool_or(F.coalesce("filled", F.lit(False))).alias("_filled"))
+    rows = positions.join(orders, position, "left")
+    state = F.when(F.col("_filled"), "CLOSED").when(F.col(expiry) < today, "EXPIRED").when(F.col("_filled").isNotNull(), "CLOSING").otherwise("OPEN")
+    return rows.withColumn("state", state).drop("_filled")
+
+
+def cumulative_pnl(closed: DataFrame, by: list[str], day: str, pnl: str, cell: Column) -> DataFrame:
+    """P&L and trades of each group and day, and the sum so far."""
+    days = closed.groupBy(*by, day).agg(F.sum(pnl).alias("pnl"), F.count("*").alias("trades"))
+    return prefix_scan(days, by, [day], cell, {"cumulative": ("sum", F.col("pnl"))})

@@ -154,3 +154,17 @@ def one_pass_issues(frame: DataFrame, checks: list[tuple[str, str, Column]]) ->
     counts = frame.agg(*[c.alias(f"_{i}") for i, (_, _, c) in enumerate(checks)])
     parts = F.array(*[F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"), F.col(f"_{i}").cast("long").alias("rows")) for i, (n, s, _) in enumerate(checks)])
     return counts.select(F.explode(parts).alias("x")).select("x.*").where("rows > 0")
+
+
+def first_known(frame: DataFrame, key: list[str], order: list, ts: str) -> DataFrame:
+    """Rows with a time, the first of each key."""
+    return first_rows(frame.where(F.col(ts).isNotNull()), key, order)
+
+
+def null_samples(frame: DataFrame, columns: list[str], key: str, most: int = 5) -> DataFrame:
+    """column_name, nulls and the least ``most`` keys of the rows where a column has no value; columns without such rows are left out."""
+    empty = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))).alias("column_name")
+    rows = frame.select(F.col(key).alias("_key"), empty)
+    first = first_rows(rows, ["column_name"], ["_key"], most)  # kept in each task before they are shuffled
+    named = first.groupBy("column_name").agg(F.array_sort(F.collect_list("_key")).alias("samples"))
+    return rows.groupBy("column_name").agg(F.count("*").alias("nulls")).join(named, "column_name")

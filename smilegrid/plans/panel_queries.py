@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import frames, linalg, linear, risk, samples, scan, structures, tables
+from ..operators import asof, frames, labels, linalg, linear, risk, samples, scan, structures, tables
 from ..sources import manifest
-from .queries import _DAILY, NODE, c, daily, over, query, r6
+from .queries import _DAILY, NODE, c, daily, kind, over, query, r6
 
 _ALL = "(PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
 
@@ -314,3 +314,46 @@ _TWELVE = ("total_return_pct", "sharpe_ratio", "sortino_ratio", "max_drawdown_pc
 def ledger_comparison(t):
     rows = risk.compare_runs(risk.trade_metrics(plain_ledger(t), 1e6))
     return rows.select("run_id", "start_date", "end_date", *[F.round(k, 5).alias(k) for k in _TWELVE])
+
+
+# row rules, reports, states
+
+@query("SELECT l_suppkey, l_partkey, CASE WHEN l_linenumber <> 2 THEN l_shipdate END AS ts, l_orderkey FROM lineitem WHERE l_linenumber <> 2 QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) = 1")
+def first_known_rows(t):
+    rows = t("lineitem").withColumn("ts", F.when(c("l_linenumber") != 2, c("l_shipdate")))
+    return tables.first_known(rows, ["l_suppkey", "l_partkey"], ["ts", "l_orderkey", "l_linenumber"], "ts").select("l_suppkey", "l_partkey", "ts", "l_orderkey")
+
+
+@query("SELECT column_name, count(*) AS nulls, array_to_string(list(event_id ORDER BY event_id)[1:5], ',') AS samples FROM (SELECT event_id, 'price' AS column_name FROM events WHERE event_type <> 'purchase' UNION ALL SELECT event_id, 'low' FROM events WHERE value < 1) GROUP BY 1")
+def null_sample_rows(t):
+    rows = t("events").select("event_id", F.when(c("event_type") == "purchase", c("value")).alias("price"), F.when(c("value") >= 1, c("value")).alias("low"), "user_id")
+    return tables.null_samples(rows, ["price", "low", "user_id"], "event_id").select("column_name", "nulls", F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"))
+
+
+@query("""WITH s AS (SELECT ts, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'train' WHEN ts < TIMESTAMP '2024-01-15' THEN 'val' WHEN ts < TIMESTAMP '2024-01-20' THEN 'test' END AS split FROM events WHERE ts >= TIMESTAMP '2024-01-03'), e AS (SELECT split, min(ts) AS a, max(ts) AS b FROM s GROUP BY 1)
+SELECT x.split AS earlier, y.split AS later, x.b AS ends, y.a AS starts, x.b < y.a AS in_order FROM e x JOIN e y ON (x.split, y.split) IN (('train', 'val'), ('val', 'test'))""")
+def split_order(t):
+    cuts = [F.lit(x).cast("timestamp_ntz") for x in ("2024-01-03", "2024-01-10", "2024-01-15", "2024-01-20")]
+    return labels.split_order(labels.splits(t("events"), "ts", *cuts), "ts")
+
+
+@query("SELECT bool_and(CAST(v AS DATE) < CAST(c AS DATE)) AS safe, count(v) AS matched FROM (SELECT a.ts AS c, (SELECT max(b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'view' AND b.ts <= a.ts) AS v FROM events a WHERE a.event_type = 'click')")
+def leakage_verdict(t):
+    """One verdict for all matched views: each made before its click's day."""
+    rows = asof.asof_join(kind(t, "click").select("event_id", "user_id", "ts"), kind(t, "view").select("user_id", "ts", "value"), by=("user_id",))
+    return rows.agg(F.bool_and(F.to_date("r_ts") < F.to_date("ts")).alias("safe"), F.count("r_ts").alias("matched"))
+
+
+@query("SELECT structure, day, round(pnl, 2) AS pnl, trades, round(sum(pnl) OVER (PARTITION BY structure ORDER BY day), 2) AS cumulative FROM (SELECT o_orderpriority AS structure, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice - 150000) AS pnl, count(*) AS trades FROM orders GROUP BY 1, 2)")
+def pnl_cumulative(t):
+    rows = t("orders").select(c("o_orderpriority").alias("structure"), F.to_date("o_orderdate").alias("day"), (c("o_totalprice") - 150000).alias("pnl"))
+    out = risk.cumulative_pnl(rows, ["structure"], "day", "pnl", F.date_trunc("year", "day"))
+    return out.select("structure", "day", F.round("pnl", 2).alias("pnl"), "trades", F.round("cumulative", 2).alias("cumulative"))
+
+
+@query("""SELECT p.position, CASE WHEN filled THEN 'CLOSED' WHEN expiry < DATE '1996-01-01' THEN 'EXPIRED' WHEN filled IS NOT NULL THEN 'CLOSING' ELSE 'OPEN' END AS state FROM (SELECT l_orderkey AS position, CAST(max(l_shipdate) AS DATE) AS expiry FROM lineitem GROUP BY 1) p
+LEFT JOIN (SELECT l_orderkey AS position, bool_or(l_linenumber = 5) AS filled FROM lineitem WHERE l_linenumber >= 4 GROUP BY 1) x USING (position)""")
+def position_states(t):
+    rows = t("lineitem").groupBy(c("l_orderkey").alias("position")).agg(F.to_date(F.max("l_shipdate")).alias("expiry"))
+    exits = t("lineitem").where("l_linenumber >= 4").select(c("l_orderkey").alias("position"), (c("l_linenumber") == 5).alias("filled"))
+    return risk.position_states(rows, exits, F.lit("1996-01-01").cast("date")).select("position", "state")

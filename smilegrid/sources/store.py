@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
@@ -105,8 +106,18 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def write_csv(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(frame: DataFrame, path: str, *, append: bool = False) -> None:
+    """CSV files with a header each, which ``read_csv`` takes as one table. Appended rows must have the columns that are there, in any order."""
+    if append and exists(frame.sparkSession, path):
+        have = frame.sparkSession.read.option("header", True).csv(path).columns
+        if sorted(have) != sorted(frame.columns):
+            raise ValueError(f"{path} has the columns {', '.join(have)}")
+        frame = frame.select(*[F.col(f"`{c}`") for c in have])
+    frame.write.mode("append" if append else "overwrite").option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
 
 
 def write_json(frame: DataFrame, path: str) -> None:
@@ -195,3 +206,32 @@ def clear_groups(spark: SparkSession, root: str, groups: dict[str, list[str]], n
     for t in there:
         remove(spark, f"{root}/{t}")
     return there
+
+
+_RUN = "run_id string, created_at timestamp, tags array<string>, tables array<string>, info string"
+
+
+def save_result(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame], *, created_at: object, tags: list[str] | None = None, info: dict | None = None) -> None:
+    """Writes a run's tables and then its row of the index; a run of that name is replaced. A run without an index row was not finished."""
+    for name, frame in tables.items():
+        frame.write.mode("overwrite").parquet(f"{root}/runs/{run_id}/{name}")
+    spark.createDataFrame([(run_id, created_at, tags or [], sorted(tables), json.dumps(info or {}, sort_keys=True))], _RUN).write.mode("append").json(f"{root}/index")
+
+
+def results(spark: SparkSession, root: str) -> DataFrame:
+    """The index: the latest row of each run."""
+    return first_rows(spark.read.schema(_RUN).json(f"{root}/index"), ["run_id"], [F.desc("created_at"), "info"])
+
+
+def load_result(spark: SparkSession, root: str, run_id: str) -> dict[str, DataFrame]:
+    """A run's tables."""
+    found = results(spark, root).where(F.col("run_id") == run_id).first()
+    if found is None:
+        raise ValueError(f"no run {run_id}")
+    return {t: spark.read.parquet(f"{root}/runs/{run_id}/{t}") for t in found["tables"]}
+
+
+def latest_result(spark: SparkSession, root: str, tags: list[str] | None = None) -> str | None:
+    """The newest run (with any of the tags)."""
+    found = find_results(results(spark, root), tags, 1).first()
+    return found and found["run_id"]

@@ -133,3 +133,25 @@ def test_recent_by_key_forgets(spark, tmp_path):
 
     assert feed([0, 1], 1) == 1
     assert feed([30], 2) == 1  # key 1 is gone
+
+
+def test_csv_appends_under_one_header(spark, tmp_path):
+    path = str(tmp_path / "c")
+    store.write_csv(spark.createDataFrame([(1, "a,b")], "id int, v string"), path, append=True)
+    store.write_csv(spark.createDataFrame([("c", 2)], "v string, id int"), path, append=True)
+    assert sorted(map(tuple, store.read_csv(spark, path, "id int, v string").collect())) == [(1, "a,b"), (2, "c")]
+    with pytest.raises(ValueError, match="has the columns"):
+        store.write_csv(spark.createDataFrame([(1,)], "id int"), path, append=True)
+
+
+def test_results_are_saved_and_loaded(spark, tmp_path):
+    root, at = str(tmp_path / "r"), dt.datetime(2024, 1, 1)
+    one, two = (spark.createDataFrame([(i,)], "x int") for i in (1, 2))
+    store.save_result(spark, root, "a", {"metrics": one, "trades": two}, created_at=at, tags=["M1"], info={"k": 1})
+    store.save_result(spark, root, "b", {"metrics": two}, created_at=at + dt.timedelta(days=1), tags=["M2"])
+    assert store.latest_result(spark, root) == "b" and store.latest_result(spark, root, ["M1"]) == "a" and store.latest_result(spark, root, ["none"]) is None
+    assert {k: v.first().x for k, v in store.load_result(spark, root, "a").items()} == {"metrics": 1, "trades": 2}
+    store.save_result(spark, root, "a", {"metrics": two}, created_at=at + dt.timedelta(days=2))
+    assert store.latest_result(spark, root) == "a" and {k: v.first().x for k, v in store.load_result(spark, root, "a").items()} == {"metrics": 2}
+    with pytest.raises(ValueError, match="no run"):
+        store.load_result(spark, root, "zzz")
