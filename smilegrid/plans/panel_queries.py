@@ -258,16 +258,16 @@ _CENTRES = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in S.BUCKET_DELTA.items())
 _NAMES = list(S.BUCKET_DELTA)
 
 
-@query(f"""SELECT snap, tenor, round(CASE WHEN count(*) >= 3 THEN regr_slope(iv, x) END, 4) AS slope, round(CASE WHEN count(*) >= 3 THEN regr_intercept(iv, x) END, 4) AS level FROM (
+@query(f"""SELECT snap, tenor, round(CASE WHEN count(*) >= 3 THEN regr_slope(iv, x) END, 6) AS slope, round(CASE WHEN count(*) >= 3 THEN regr_intercept(iv, x) END, 6) AS level FROM (
 SELECT snap, tenor, iv, CASE WHEN count(delta) OVER (PARTITION BY snap, tenor) > 0 THEN delta ELSE {_CENTRES}[bucket] END AS x FROM (SELECT p_partkey % 20 AS snap, p_size % 6 AS tenor, {_NAMES}[CAST(p_partkey % 7 AS INT) + 1] AS bucket,
-CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice / 4000 END AS iv, CASE WHEN p_size % 6 < 3 AND p_partkey % 5 <> 0 THEN (p_partkey % 100) / 100.0 - 0.5 END AS delta FROM part)) WHERE iv IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2""")
+CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice / 3987 END AS iv, CASE WHEN p_size % 6 < 3 AND p_partkey % 5 <> 0 THEN (p_partkey % 100) / 100.0 - 0.5 END AS delta FROM part)) WHERE iv IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2""")
 def skew_slope_buckets(t):
     """The skew of a slice on its deltas, or on its buckets' centres where the slice has no delta at all."""
     bucket = F.element_at(F.array(*[F.lit(x) for x in _NAMES]), (c("p_partkey") % 7 + 1).cast("int"))
-    rows = t("part").select((c("p_partkey") % 20).alias("snap"), (c("p_size") % 6).alias("tenor"), bucket.alias("bucket"), F.when(c("p_partkey") % 11 != 0, c("p_retailprice") / 4000).alias("iv"), F.when((c("p_size") % 6 < 3) & (c("p_partkey") % 5 != 0), (c("p_partkey") % 100) / 100.0 - 0.5).alias("delta"))
+    rows = t("part").select((c("p_partkey") % 20).alias("snap"), (c("p_size") % 6).alias("tenor"), bucket.alias("bucket"), F.when(c("p_partkey") % 11 != 0, c("p_retailprice") / 3987).alias("iv"), F.when((c("p_size") % 6 < 3) & (c("p_partkey") % 5 != 0), (c("p_partkey") % 100) / 100.0 - 0.5).alias("delta"))
     rows = frames.delta_or_centre(rows, ["snap", "tenor"]).where("iv IS NOT NULL AND x IS NOT NULL")
     fit = rows.groupBy("snap", "tenor").agg(frames.slope(c("iv"), c("x"), 3).alias("slope"), F.when(F.count("*") >= 3, F.regr_intercept("iv", "x")).alias("level"))
-    return fit.select("snap", "tenor", F.round("slope", 4).alias("slope"), F.round("level", 4).alias("level"))
+    return fit.select("snap", "tenor", F.round("slope", 6).alias("slope"), F.round("level", 6).alias("level"))
 
 
 # a backtest's report from a plain ledger: an order status is a run, its days are snapshots, its orders entries (odd keys) and exits (even keys)
