@@ -123,21 +123,27 @@ def solve_iv(price: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, r:
     return np.where(np.isfinite(v) & (v > 0) & (v < 10), v, np.nan)
 
 
+def _calls(right: pd.Series, s: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Which options are calls; one of unknown right is a call where the spot is above the strike."""
+    return np.where(right.isna(), s > k, right == "C")
+
+
 def _implied_vol(price: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, right: pd.Series) -> pd.Series:
     with np.errstate(all="ignore"):
-        x = solve_iv(*(c.to_numpy(dtype=float, na_value=np.nan) for c in (price, s, k, t, r)), (right == "C").to_numpy())
+        p, s, k, t, r = (c.to_numpy(dtype=float, na_value=np.nan) for c in (price, s, k, t, r))
+        x = solve_iv(p, s, k, t, r, _calls(right, s, k))
     return pd.Series(x).astype("Float64").mask(np.isnan(x))
 
 
 def implied_vol(*columns: Column | str) -> Column:
-    """Price, spot, strike, years, rate and right to the volatility; NULL where there is none."""
+    """Price, spot, strike, years, rate and right (NULL: inferred) to the volatility; NULL where there is none."""
     return F.pandas_udf(_implied_vol, "double", 200)(*columns)
 
 
 def _solved(price: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, right: pd.Series) -> pd.DataFrame:
     with np.errstate(all="ignore"):
         p, s, k, t, r = (c.to_numpy(dtype=float, na_value=np.nan) for c in (price, s, k, t, r))
-        call = (right == "C").to_numpy()
+        call = _calls(right, s, k)
         v, t = solve_iv(p, s, k, t, r, call), np.maximum(t, 1e-10)
         root = v * np.sqrt(t)
         d1 = (np.log(s / k) + (r + v * v / 2) * t) / root
@@ -152,3 +158,12 @@ def solved(*columns: Column | str) -> Column:
     """struct(iv, delta, gamma, vega, theta) in one Arrow pass. Marked non-deterministic, so that Spark runs
     the solver once a row and no filter on its result is copied below it."""
     return F.pandas_udf(_solved, "iv double, delta double, gamma double, vega double, theta double", 200).asNondeterministic()(*columns)
+
+
+def _solved_sides(bid: pd.Series, ask: pd.Series, mid: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, right: pd.Series) -> pd.DataFrame:
+    return pd.concat([_solved(mid, s, k, t, r, right), _implied_vol(bid, s, k, t, r, right).rename("iv_bid"), _implied_vol(ask, s, k, t, r, right).rename("iv_ask")], axis=1)
+
+
+def solved_sides(*columns: Column | str) -> Column:
+    """Bid, ask, mid, spot, strike, years, rate and right to struct(iv, Greeks at the mid, iv_bid, iv_ask), in one Arrow pass."""
+    return F.pandas_udf(_solved_sides, "iv double, delta double, gamma double, vega double, theta double, iv_bid double, iv_ask double", 200).asNondeterministic()(*columns)

@@ -22,17 +22,18 @@ def hedged_labels(panel: DataFrame, bars: DataFrame, horizons: tuple[int, ...],
     place = F.row_number().over(Window.partitionBy("day").orderBy(ts))
     spots = bars.withColumn("day", F.to_date(ts)).join(days, "day").withColumn("place", place).withColumn("places", F.count("*").over(Window.partitionBy("day")))
     spots = spots.select(F.col(ts), "day_no", "place", "places", F.col(price).alias("spot"))
-    rows = panel.join(spots.select(ts, "day_no", "place", "spot"), ts, "left")
-    last = rows.where(F.col(mid).isNotNull() & F.col("day_no").isNotNull()).groupBy(*node, "day_no").agg(F.max_by(mid, ts).alias("end_mid"))
-    sizes = spots.groupBy("day_no").agg(F.max("place").alias("end_places"))
-    for h in horizons:
-        later = F.col("day_no") + h
-        rows = rows.withColumn("_to", later)
-        rows = rows.join(sizes.withColumnRenamed("day_no", "_to"), "_to", "left").withColumn("_place", F.least("place", "end_places"))
-        rows = rows.join(spots.select(F.col("day_no").alias("_to"), F.col("place").alias("_place"), F.col("spot").alias("end_spot")), ["_to", "_place"], "left")
-        rows = rows.join(last.withColumnRenamed("day_no", "_to"), [*node, "_to"], "left")
-        rows = rows.withColumn(f"y_{h}", F.col("end_mid") - F.col(mid) - F.col(delta) * (F.col("end_spot") - F.col("spot"))).drop("_to", "_place", "end_places", "end_spot", "end_mid")
-    return rows
+    steps = F.explode(F.array(*[F.lit(h) for h in horizons])).alias("_h")
+    each = lambda v, name: [F.max(F.when(F.col("_h") == h, F.col(v))).alias(f"{name}_{h}") for h in horizons]
+    # bars and nodes' days are few beside panel rows: their ends are found for all horizons first, and each panel row is joined to them once
+    sizes = spots.groupBy(F.col("day_no").alias("_to")).agg(F.max("place").alias("_size"))
+    ends = spots.select("day_no", "place", steps).withColumn("_to", F.col("day_no") + F.col("_h")).join(sizes, "_to").withColumn("_place", F.least("place", "_size"))
+    ends = ends.join(spots.select(F.col("day_no").alias("_to"), F.col("place").alias("_place"), F.col("spot").alias("_spot")), ["_to", "_place"]).groupBy("day_no", "place").agg(*each("_spot", "_end_spot"))
+    rows = panel.join(spots.join(ends, ["day_no", "place"], "left").drop("places"), ts, "left")
+    last = rows.where(F.col(mid).isNotNull() & F.col("day_no").isNotNull()).groupBy(*node, "day_no").agg(F.max_by(mid, ts).alias("_mid"))
+    last = last.select(*node, "day_no", "_mid", steps).withColumn("day_no", F.col("day_no") - F.col("_h")).groupBy(*node, "day_no").agg(*each("_mid", "_end_mid"))
+    rows = rows.join(last, [*node, "day_no"], "left")
+    out = {f"y_{h}": F.col(f"_end_mid_{h}") - F.col(mid) - F.col(delta) * (F.col(f"_end_spot_{h}") - F.col("spot")) for h in horizons}
+    return rows.withColumns(out).drop(*[f"_end_{k}_{h}" for k in ("mid", "spot") for h in horizons])
 
 
 def exact_percentiles(frame: DataFrame, column: str, shares: tuple[float, ...], few: int = 10_000) -> list[float | None]:

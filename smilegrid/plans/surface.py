@@ -18,8 +18,8 @@ def build_surface(quotes: DataFrame, bars: DataFrame, rates: DataFrame, *, bound
     c = F.col
     rows = rows.withColumns({"spot": c("spot_close"), "rf_rate": F.coalesce("rate_value", F.lit(scalars.DEFAULT_RATE)), "tte_years": scalars.years_to_expiry(c("exp_date"), c("ts")), "mid": scalars.mid(c("bid"), c("ask"))})
     terms = ("spot", "strike", "tte_years", "rf_rate", "right")
-    rows = rows.withColumns({"_x": pricing.solved("mid", *terms)} | {f"iv_{n}": pricing.implied_vol(n, *terms) for n in ("bid", "ask")})
-    rows = rows.withColumns({"iv_mid": c("_x.iv")} | {g: c(f"_x.{g}") for g in ("delta", "gamma", "vega", "theta")}).drop("_x")
+    rows = rows.withColumn("_x", pricing.solved_sides("bid", "ask", "mid", *terms))
+    rows = rows.withColumns({"iv_mid": c("_x.iv")} | {g: c(f"_x.{g}") for g in ("iv_bid", "iv_ask", "delta", "gamma", "vega", "theta")}).drop("_x")
     rows = rows.withColumns({"tenor_days": scalars.nearest_bin(F.date_diff("exp_date", F.to_date("ts")), tenors), "delta_bucket": scalars.delta_bucket(c("delta"), bounds), "flags": scalars.quality_flags(c("bid"), c("ask"), c("volume"), c("open_interest"))})
     return representatives(rows.drop("spot_ts", "spot_close", "rate_ts", "rate_value"), bounds)
 

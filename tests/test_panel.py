@@ -122,3 +122,19 @@ def test_release_modes(spark):
     assert [str(r.ts) for r in tables.aligned(rows, "conservative").collect()] == ["2024-01-07 00:00:00"] * 2
     with pytest.raises(ValueError, match="unknown mode"):
         tables.aligned(rows, "lenient")
+
+
+def test_options_of_unknown_right(spark):
+    from smilegrid.functions import pricing
+
+    rows = [(s, k, 0.5, 0.03, right, vol) for s, k in ((100.0, 90.0), (100.0, 120.0), (100.0, 100.0)) for right in ("C", "P") for vol in (0.15, 0.6)]
+    frame = spark.createDataFrame(rows, "s double, k double, t double, r double, right string, v double")
+    known = F.when(F.col("s") > F.col("k"), "C").otherwise("P")
+    frame = frame.where(F.col("right") == known).withColumn("mid", pricing.bs_price(*[F.col(c) for c in ("s", "k", "t", "r", "v", "right")]))
+    terms = ("s", "k", "t", "r")
+    none = F.lit(None).cast("string")
+    out = frame.select(pricing.implied_vol("mid", *terms, "right").alias("a"), pricing.implied_vol("mid", *terms, none).alias("b"), pricing.solved("mid", *terms, "right").alias("x"), pricing.solved_sides((F.col("mid") * 0.98).alias("bid"), F.col("mid") * 1.02, "mid", *terms, none).alias("y"),
+                       pricing.implied_vol(F.col("mid") * 0.98, *terms, "right").alias("bid"), pricing.implied_vol(F.col("mid") * 1.02, *terms, "right").alias("ask")).collect()
+    assert out and all(r.a == r.b for r in out)
+    for r in out:
+        assert [r.x[c] for c in ("iv", "delta", "gamma", "vega", "theta")] == [r.y[c] for c in ("iv", "delta", "gamma", "vega", "theta")] and (r.y.iv_bid, r.y.iv_ask) == (r.bid, r.ask)
