@@ -97,7 +97,12 @@ def by_days(frame: DataFrame, ts: str, by: list[str], order: list[str]) -> DataF
     steps = steps_per_day(frame, ts, by).withColumnsRenamed({k: f"_{k}" for k in by})
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
     rows = frame.join(steps, same).drop(*[f"_{k}" for k in by])
-    return rows.withColumn("_at", F.floor(F.row_number().over(node(by, order)).cast("decimal(20,0)") * DAY / F.col("steps").cast("decimal(20,0)")).cast("long"))
+    return rows.withColumn("_at", place_in_days(F.row_number().over(node(by, order))))
+
+
+def place_in_days(place: Column) -> Column:
+    """A row's place in its node, in days of steps rows, times DAY."""
+    return F.floor(place.cast("decimal(20,0)") * DAY / F.col("steps").cast("decimal(20,0)")).cast("long")
 
 
 def prior_days(by: list[str], n: int) -> WindowSpec:

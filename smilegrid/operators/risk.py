@@ -90,12 +90,6 @@ def kill_reason(daily_pnl: Column, stress_loss: Column, acceptable: Column, spre
     return F.when(daily_pnl < -most_loss, "DAILY_LOSS").when(stress_loss > acceptable, "STRESS_BREACH").when(spread > most_spread, "LIQUIDITY_COLLAPSE")
 
 
-def latched(frame: DataFrame, reason: Column, by: list[str], order: list[str]) -> DataFrame:
-    """kill_reason: the first reason that was given, from its row on."""
-    spec = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return frame.withColumn("_reason", reason).withColumn("kill_reason", F.first("_reason", ignorenulls=True).over(spec)).drop("_reason")
-
-
 def rebalance(positions: DataFrame, by: list[str], bands: dict[str, tuple[float, float]], *, most: int = 3, least_gain: float = 0.1) -> DataFrame:
     """Positions to close: for each Greek outside its band (target, drift allowed), worst first, those that push it further, the
     greatest first, if closing saves a tenth of the drift; a position once, ``most`` in all."""
@@ -133,12 +127,6 @@ def cost_estimate(legs: DataFrame, by: list[str], *, slippage_bps: float = 5.0,
     return rows.withColumn("total", F.col("slippage") + F.col("fees"))
 
 
-def latch(frame: DataFrame, condition: Column, by: list[str], order: list[str]) -> DataFrame:
-    """killed: the condition has held on this row or any before."""
-    spec = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return frame.withColumn("killed", F.max(F.coalesce(condition, F.lit(False))).over(spec))
-
-
 def exit_signal(pnl: Column, premium: Column, edge: Column, entry_edge: Column, dte: Column, held: Column) -> Column:
     """The first that holds: stop, reversal, decay, take profit, time."""
     return (

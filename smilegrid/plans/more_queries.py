@@ -277,8 +277,9 @@ def patch_unfold(t):
 
 @query(f"SELECT event_id, round(CASE WHEN count(r) OVER {over_days(5)} >= 2 THEN sqrt(var_samp(r) OVER {over_days(5)} * 252) END, 4) AS realized_vol FROM (SELECT *, (value + 100) / lag(value + 100, CAST(steps AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM ({_STEPS}))")
 def realized_vol(t):
-    rows = stepped(t).withColumn("r", S.ratio(c("p"), frames.days_ago(c("p"), NODE[0], 1)) - 1)
-    return rows.select("event_id", F.round(F.sqrt(frames.at_least(c("r"), F.var_samp("r"), frames.prior_days(NODE[0], 5), 2) * 252), 4).alias("realized_vol"))
+    returns = lambda by: {"r": S.ratio(c("p"), frames.days_ago(c("p"), by, 1)) - 1}
+    rows = stepped(t, 6, returns, lambda by: {"v": frames.at_least(c("r"), F.var_samp("r"), frames.prior_days(by, 5), 2)})
+    return rows.select("event_id", F.round(F.sqrt(c("v") * 252), 4).alias("realized_vol"))
 
 
 @query(f"SELECT event_id, round(vol, 6) AS vol, round(CASE WHEN n < 2 THEN NULL WHEN vol > 1e-10 THEN (value - m) / vol ELSE 0 END, 5) AS z FROM (SELECT *, CASE WHEN n >= 2 THEN s END AS vol FROM (SELECT event_id, value, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, count(value) OVER {over(10)} AS n, avg(value) OVER {over(10)} AS m, stddev_samp(value) OVER {over(10)} AS s FROM events) WHERE place > 5)")
@@ -385,8 +386,7 @@ def interval_join(t):
 @query(f"SELECT event_id, drawdown FROM (SELECT event_id, ts, round((value + 100) / max(value + 100) OVER {last_rows(21)} - 1, 6) AS drawdown FROM ({_STEPS})) WHERE ts >= TIMESTAMP '2024-01-02'")
 def trimmed_panel(t):
     """A panel cut at its start date after its features are built, so that frames reach back into the rows before it."""
-    rows = frames.by_days(t("events").withColumn("p", c("value") + 100), "ts", *NODE)
-    rows = rows.withColumn("drawdown", S.ratio(c("p"), F.max("p").over(frames.last_days(NODE[0], 21))) - 1)
+    rows = stepped(t, 21, lambda by: {"drawdown": S.ratio(c("p"), F.max("p").over(frames.last_days(by, 21))) - 1})
     return rows.where(c("ts") >= F.lit("2024-01-02").cast("timestamp_ntz")).select("event_id", *r6(drawdown=c("drawdown")))
 
 

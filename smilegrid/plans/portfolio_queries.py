@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scalars as S
-from ..operators import asof, frames, labels, linalg, risk
+from ..operators import asof, frames, labels, linalg, risk, scan
 from ..streaming import live
-from .queries import _DAILY, c, daily, kind, query, r6
+from .queries import _DAILY, NODE, c, daily, kind, query, r6
 
 # panel
 
@@ -226,7 +226,7 @@ def stress_grid(t):
 
 @query("SELECT event_id, max(value > 99) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS killed FROM events")
 def kill_latch(t):
-    return risk.latch(t("events"), c("value") > 99, ["user_id"], ["ts", "event_id"]).select("event_id", "killed")
+    return scan.latch(t("events"), c("value") > 99, *NODE, cell=F.date_trunc("hour", "ts")).select("event_id", "killed")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, round(p, 6) AS fill_price, fees, round(qty * p * 100 + fees, 4) AS net FROM (SELECT *, coalesce(CASE WHEN qty > 0 THEN CASE WHEN l_linenumber <> 3 THEN price * 1.01 * 1.0005 END ELSE price * 0.99 * 0.9995 END, price) AS p, CAST(greatest(abs(qty) * 0.65, 1.0) AS DOUBLE) AS fees FROM ({_LEGS}))")

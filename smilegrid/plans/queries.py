@@ -380,63 +380,76 @@ def last_rows(n: int) -> str:
     return over(f"({n} * steps - 1)", "CURRENT ROW")  # type: ignore[arg-type]
 
 
-def stepped(t: Callable) -> DataFrame:
-    return frames.by_days(t("events").withColumn("p", c("value") + 100), "ts", *NODE)
+def stepped(t: Callable, days: int, *columns: Callable[[list[str]], dict]) -> DataFrame:
+    """The events, p = value + 100, and columns over frames of days, each built from those before, in blocks with a halo of so many days."""
+
+    def build(rows: DataFrame, by: list[str]) -> DataFrame:
+        for of in columns:
+            rows = rows.withColumns(of(by))
+        return rows
+
+    return scan.day_windowed(t("events").withColumn("p", c("value") + 100), "ts", *NODE, days=days, build=build)
 
 
 @query(f"SELECT event_id, round(value - {ago('value', 1)}, 6) AS iv_change_1, round(value - {ago('value', 5)}, 6) AS iv_change_5 FROM ({_STEPS})")
 def iv_change_days(t):
-    return stepped(t).select("event_id", *r6(iv_change_1=c("value") - frames.days_ago(c("value"), NODE[0], 1), iv_change_5=c("value") - frames.days_ago(c("value"), NODE[0], 5)))
+    rows = stepped(t, 5, lambda by: {f"iv_change_{n}": c("value") - frames.days_ago(c("value"), by, n) for n in (1, 5)})
+    return rows.select("event_id", *r6(iv_change_1=c("iv_change_1"), iv_change_5=c("iv_change_5")))
 
 
 @query(f"SELECT event_id, round(CASE WHEN count(value) OVER {over_days(5)} >= 5 * steps THEN stddev_samp(value) OVER {over_days(5)} END, 6) AS vol_5, round(CASE WHEN count(value) OVER {over_days(10)} >= 10 * steps THEN stddev_samp(value) OVER {over_days(10)} END, 6) AS vol_10 FROM ({_STEPS})")
 def rolling_std_prior_days(t):
-    vol = {f"vol_{n}": frames.full(c("value"), F.stddev_samp("value"), frames.prior_days(NODE[0], n), n) for n in (5, 10)}
-    return stepped(t).select("event_id", *r6(**vol))
+    rows = stepped(t, 10, lambda by: {f"vol_{n}": frames.full(c("value"), F.stddev_samp("value"), frames.prior_days(by, n), n) for n in (5, 10)})
+    return rows.select("event_id", *r6(vol_5=c("vol_5"), vol_10=c("vol_10")))
 
 
 @query(f"SELECT event_id, round(CASE WHEN n >= 5 * steps AND s >= 1e-12 THEN (value - m) / s END, 5) AS z FROM (SELECT event_id, value, steps, count(value) OVER {over_days(5)} AS n, avg(value) OVER {over_days(5)} AS m, stddev_samp(value) OVER {over_days(5)} AS s FROM ({_STEPS}))")
 def zscore_prior5_days(t):
-    w = frames.prior_days(NODE[0], 5)
-    std = frames.full(c("value"), F.stddev_samp("value"), w, 5)
-    return stepped(t).select("event_id", F.round(S.ratio(c("value") - F.avg("value").over(w), F.when(std >= 1e-12, std)), 5).alias("z"))
+    def z(by: list[str]) -> dict:
+        w = frames.prior_days(by, 5)
+        std = frames.full(c("value"), F.stddev_samp("value"), w, 5)
+        return {"z": S.ratio(c("value") - F.avg("value").over(w), F.when(std >= 1e-12, std))}
+
+    return stepped(t, 5, z).select("event_id", F.round("z", 5).alias("z"))
 
 
 @query(f"SELECT event_id, round(CASE WHEN count(value) OVER {over_days(5)} >= 5 * steps THEN value / nullif(avg(value) OVER {over_days(5)}, 0) END, 6) AS volume_ratio FROM ({_STEPS})")
 def volume_ratio_days(t):
-    return stepped(t).select("event_id", *r6(volume_ratio=S.ratio(c("value"), frames.full(c("value"), F.avg("value"), frames.prior_days(NODE[0], 5), 5))))
+    rows = stepped(t, 5, lambda by: {"volume_ratio": S.ratio(c("value"), frames.full(c("value"), F.avg("value"), frames.prior_days(by, 5), 5))})
+    return rows.select("event_id", *r6(volume_ratio=c("volume_ratio")))
 
 
 @query(f"SELECT event_id, round(CASE WHEN g < -1 THEN -1 WHEN g > 10 THEN 10 ELSE g END, 6) AS oi_change FROM (SELECT event_id, (value - {ago('value', 5)}) / nullif({ago('value', 5)}, 0) AS g FROM ({_STEPS}))")
 def oi_change_clip_days(t):
-    before = frames.days_ago(c("value"), NODE[0], 5)
-    return stepped(t).select("event_id", *r6(oi_change=S.clip(S.ratio(c("value") - before, before), -1.0, 10.0)))
+    rows = stepped(t, 5, lambda by: {"before": frames.days_ago(c("value"), by, 5)})
+    return rows.select("event_id", *r6(oi_change=S.clip(S.ratio(c("value") - c("before"), c("before")), -1.0, 10.0)))
 
 
 @query(f"SELECT event_id, round(value / nullif({ago('value', 1)}, 0) - 1, 6) AS ret_1, round(CASE WHEN value / nullif({ago('value', 1)}, 0) > 0 THEN ln(value / {ago('value', 1)}) END, 6) AS log_ret FROM ({_STEPS})")
 def returns_log_days(t):
-    r = S.ratio(c("value"), frames.days_ago(c("value"), NODE[0], 1))
-    return stepped(t).select("event_id", *r6(ret_1=r - 1, log_ret=F.when(r > 0, F.ln(r))))
+    rows = stepped(t, 1, lambda by: {"r": S.ratio(c("value"), frames.days_ago(c("value"), by, 1))})
+    return rows.select("event_id", *r6(ret_1=c("r") - 1, log_ret=F.when(c("r") > 0, F.ln(c("r")))))
 
 
 @query(f"SELECT event_id, round(CASE WHEN count(r) OVER {over_days(5)} >= 2 THEN var_samp(r) OVER {over_days(5)} * 252 END, 4) AS rv_5, round(CASE WHEN count(r) OVER {over_days(10)} >= 2 THEN var_samp(r) OVER {over_days(10)} * 252 END, 4) AS rv_10 FROM (SELECT *, (value + 100) / {ago('value + 100', 1)} - 1 AS r FROM ({_STEPS}))")
 def realized_var_days(t):
-    rows = stepped(t).withColumn("r", S.ratio(c("p"), frames.days_ago(c("p"), NODE[0], 1)) - 1)
-    rv = {n: frames.at_least(c("r"), F.var_samp("r"), frames.prior_days(NODE[0], n), 2) * 252 for n in (5, 10)}
-    return rows.select("event_id", *[F.round(v, 4).alias(f"rv_{n}") for n, v in rv.items()])
+    returns = lambda by: {"r": S.ratio(c("p"), frames.days_ago(c("p"), by, 1)) - 1}
+    rows = stepped(t, 11, returns, lambda by: {f"rv_{n}": frames.at_least(c("r"), F.var_samp("r"), frames.prior_days(by, n), 2) * 252 for n in (5, 10)})
+    return rows.select("event_id", *[F.round(f"rv_{n}", 4).alias(f"rv_{n}") for n in (5, 10)])
 
 
 @query(f"SELECT event_id, round(CASE WHEN count(s) OVER {last_rows(5)} >= 5 * steps THEN stddev_samp(s) OVER {last_rows(5)} END, 5) AS vol_of_vol FROM (SELECT *, CASE WHEN count(value) OVER {over_days(5)} >= 5 * steps THEN stddev_samp(value) OVER {over_days(5)} END AS s FROM ({_STEPS}))")
 def vol_of_vol_days(t):
-    rows = stepped(t).withColumn("s", frames.full(c("value"), F.stddev_samp("value"), frames.prior_days(NODE[0], 5), 5))
-    return rows.select("event_id", F.round(frames.full(c("s"), F.stddev_samp("s"), frames.last_days(NODE[0], 5), 5), 5).alias("vol_of_vol"))
+    vol = lambda by: {"s": frames.full(c("value"), F.stddev_samp("value"), frames.prior_days(by, 5), 5)}
+    rows = stepped(t, 10, vol, lambda by: {"vol_of_vol": frames.full(c("s"), F.stddev_samp("s"), frames.last_days(by, 5), 5)})
+    return rows.select("event_id", F.round("vol_of_vol", 5).alias("vol_of_vol"))
 
 
 @query(f"SELECT event_id, round(d, 6) AS drawdown, round(min(d) OVER {last_rows(252)}, 6) AS max_drawdown FROM (SELECT *, (value + 100) / max(value + 100) OVER {last_rows(252)} - 1 AS d FROM ({_STEPS}))")
 def drawdown_days(t):
-    w = frames.last_days(NODE[0], 252)
-    rows = stepped(t).withColumn("d", S.ratio(c("p"), F.max("p").over(w)) - 1)
-    return rows.select("event_id", *r6(drawdown=c("d"), max_drawdown=F.min("d").over(w)))
+    loss = lambda by: {"d": S.ratio(c("p"), F.max("p").over(frames.last_days(by, 252))) - 1}
+    rows = stepped(t, 504, loss, lambda by: {"worst": F.min("d").over(frames.last_days(by, 252))})
+    return rows.select("event_id", *r6(drawdown=c("d"), max_drawdown=c("worst")))
 
 
 @query(f"SELECT series, CAST(ts AS DATE) AS day, round(CASE WHEN n >= 25 AND s >= 1e-12 THEN (value - m) / s END, 5) AS z FROM (SELECT *, count(value) OVER w AS n, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM ({_DAILY}) WINDOW w AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING))")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from smilegrid.operators import linear, scan, tables
+from smilegrid.operators import frames, linear, scan, tables
 
 ORDER = ["ts", "id"]
 
@@ -51,6 +51,30 @@ def test_spells_and_latch(uneven):
     same(scan.latched(uneven, reason, ["k"], ORDER, F.date_trunc("hour", "ts")), uneven.withColumn("kill_reason", F.first(reason, True).over(w)))
 
 
+def test_latch(uneven):
+    w = Window.partitionBy("k").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    plain = uneven.withColumn("killed", F.max(F.coalesce(F.col("v") > 45, F.lit(False))).over(w))
+    same(scan.latch(uneven, F.col("v") > 45, ["k"], ORDER, F.date_trunc("hour", "ts")), plain)
+
+
+@pytest.mark.parametrize("size", [1, 50, 10_000])
+def test_day_blocks_equal_plain_day_frames(uneven, size):
+    """Nodes of very different numbers of rows a day, of one row, without a key or without times; a column of theirs is named steps."""
+    days = uneven.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(0), F.minute("ts") * 7)).withColumn("steps", F.lit(-1))
+
+    def build(rows, by):
+        rows = rows.withColumns({"ago": frames.days_ago(F.col("v"), by, 2), "std": frames.full(F.col("v"), F.stddev_samp("v"), frames.prior_days(by, 1), 1)})
+        return rows.withColumns({"top": F.max("ago").over(frames.last_days(by, 2)), "steps_": F.col("steps")}).drop("steps")
+
+    plain = build(frames.by_days(days.drop("steps"), "ts", ["k"], ORDER), ["k"]).drop("_at")
+    same(scan.day_windowed(days, "ts", ["k"], ORDER, 4, build, size), plain)
+    blocks = scan.day_blocks(days, "ts", ["k"], ORDER, 4, size)
+    long = blocks.groupBy("k", "_block").agg(F.count("*").alias("n"), F.max("steps").alias("s")).where(F.col("n") > F.greatest(F.lit(size), F.col("s") * 4) + F.col("s") * 4)
+    assert long.count() == 0 and blocks.where("NOT _halo").count() == 600
+    assert size > 1 or blocks.where("k = 'hot'").select("_block").distinct().count() > 1
+    assert scan.day_blocks(days.limit(0), "ts", ["k"], ORDER, 4).count() == 0
+
+
 @pytest.mark.parametrize("size", [1, 7, 64, 10_000])
 def test_blocks_with_halo(uneven, size):
     def build(rows, by):
