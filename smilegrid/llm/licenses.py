@@ -92,18 +92,32 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common(masks: list[int], size: int) -> int:
+    """Length of the longest common subsequence of a template of ``size`` words and a text, bit by bit; a mask tells a text word's places in the template.
+
+    No alignment matches more words, so it tells cheaply where none can match enough."""
+    whole = (1 << size) - 1
+    free = whole
+    for mask in masks:
+        new = free & mask
+        free = (free + new | free - new) & whole
+    return size - free.bit_count()
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float, spread: float = SPREAD) -> None:
         self.spread = spread
         self.templates = [(k, words_of(v)) for k, v in templates.items()]
         self.templates = [(k, w, frozenset(w), max(1, int(np.ceil(coverage * len(w) - 1e-9)))) for k, w in self.templates if w]
         self.vocabulary = frozenset(x for _, w, _, _ in self.templates for x in w)
+        self.bits = {k: {x: sum(1 << i for i, y in enumerate(w) if y == x) for x in own} for k, w, own, _ in self.templates}
 
     def find(self, words: list[bytes]) -> list[tuple[str, int, int, int]]:
         """(licence, first word, end word, matched words) of all regions that match well enough.
 
         A region's window is ``spread`` templates long; a window that holds fewer template words than the
-        least coverage needs can't reach it, so that test loses nothing within windows of that length."""
+        least coverage needs can't reach it, nor can one whose longest common subsequence with the template is shorter,
+        so these tests lose nothing within windows of that length."""
         places = [i for i, w in enumerate(words) if w in self.vocabulary]
         out = []
         for name, template, own, need in self.templates:
@@ -112,23 +126,40 @@ class Scanner:
                 continue
             wide = int(len(template) * self.spread) + 2
             good = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < wide)
+            if not len(good):
+                continue
+            bits = self.bits[name]
+            masks = [bits[words[i]] for i in at.tolist()]
+            # starts of dense windows, in groups of at most one window's length; a group that can't match enough is left as a whole, others are halved
+            todo = np.split(good, np.flatnonzero(np.diff(at[good] // wide)) + 1)[::-1]
             taken = -1
-            for g in good:
-                if at[g] < taken:
+            while todo:
+                group = todo.pop()
+                group = group[np.searchsorted(at[group], taken) :]
+                if not len(group) or common(masks[group[0] : np.searchsorted(at, at[group[-1]] + wide)], len(template)) < need:
+                    continue
+                if len(group) > 1:
+                    todo += [group[len(group) // 2 :], group[: len(group) // 2]]
                     continue
-                # the region: as far as dense windows overlap
-                low, high = int(at[g]), int(at[g]) + wide
-                matched = align(words[low:high], template)
+                low = int(at[group[0]])
+                matched = align(words[low : low + wide], template)
                 if len(matched) >= need:
-                    first, end = low + matched[0][0], low + matched[-1][0] + 1
-                    out.append((name, first, end, len(matched)))
-                    taken = end
+                    taken = low + matched[-1][0] + 1
+                    out.append((name, low + matched[0][0], taken, len(matched)))
+        regions = {k: sorted(x for x in out if x[0] == k) for k in {x[0] for x in out}}  # those of one licence don't overlap
         size = {k: len(w) for k, w, _, _ in self.templates}
 
         def beaten(x: tuple[str, int, int, int]) -> bool:
             """Whether another licence matches most of the same words better."""
             name, start, end, matched = x
-            return any(n != name and min(e, end) - max(s, start) >= COVERAGE * (end - start) and m * size[name] > matched * size[n] for n, s, e, m in out)
+            for other, mine in regions.items():
+                k = bisect.bisect_right(mine, start, key=lambda r: r[2]) if other != name else len(mine)
+                while k < len(mine) and mine[k][1] < end:
+                    _, s, e, m = mine[k]
+                    if min(e, end) - max(s, start) >= COVERAGE * (end - start) and m * size[name] > matched * size[other]:
+                        return True
+                    k += 1
+            return False
 
         return sorted((x for x in out if not beaten(x)), key=lambda x: (x[1], x[0]))
 

@@ -374,6 +374,69 @@ def test_op7_odd_and_full_texts(spark, odd):
     assert [x[0] for x in found.find(licenses.words_of(licenses.TEMPLATES["LGPL-2.1-or-later"]))] == ["LGPL-2.1-or-later"]
 
 
+def plain_licenses(text, templates, coverage=0.8, spread=1.5):
+    """By definition: every start at a template's word, in order, aligned naively; then all pairs of regions."""
+    body, out, size = licenses.words_of(text), [], {}
+    for name, template in templates.items():
+        template = licenses.words_of(template)
+        size[name], wide, taken = len(template), int(len(template) * spread) + 2, 0
+        need = -(-len(template) * round(coverage * 100) // 100)
+        for i, w in enumerate(body):
+            window = list(enumerate(body[i : i + wide], i))
+            if i < taken or w not in template or sum(x in template for _, x in window) < need:
+                continue
+            got = sorted(naive_align(window, list(enumerate(template))))
+            if len(got) >= need:
+                taken = got[-1][0] + 1
+                out.append((name, got[0][0], taken, len(got)))
+    beaten = [any(n != k and min(e, y) - max(s, x) >= coverage * (y - x) and m * size[k] > j * size[n] for n, s, e, m in out) for k, x, y, j in out]
+    return sorted((x for x, b in zip(out, beaten, strict=True) if not b), key=lambda x: (x[1], x[0]))
+
+
+def test_op7_query_equals_brute_force(spark, docs, tmp_path):
+    """The registered query on the table and on planted licences: damaged, spread, cut, nested, twice, in other orders, beside one another."""
+    rng = np.random.default_rng(77)
+    names, planted = list(licenses.TEMPLATES), []
+    for k in range(40):
+        parts = []
+        for name in rng.choice(names, rng.integers(1, 4)):
+            body = licenses.TEMPLATES[name].split()
+            kind = rng.integers(0, 6)
+            if kind == 0:
+                body = [w if rng.random() > 0.15 else "gap" for w in body]
+            elif kind == 1:
+                body = [x for w in body for x in ([w, "filler"] if rng.random() < 0.4 else [w])]
+            elif kind == 2:
+                body = body[: max(1, int(len(body) * rng.uniform(0.6, 1)))]
+            elif kind == 3:
+                body = body + body
+            elif kind == 4:
+                body = list(rng.permutation(body))
+            parts += ["some", "text", *body]
+        planted.append(" ".join(parts))
+    base = docs.select("doc_id", "text").limit(60).collect()
+    rows = [(r.doc_id, r.text) for r in base] + [(10**6 + i, t) for i, t in enumerate(planted)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in entry.queries()["op7_license_patience"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        want = plain_licenses(t, licenses.TEMPLATES)
+        assert got[i].n_notices == len(want)
+        assert got[i].notices == ",".join(f"{k}:{s}:{e}" for k, s, e, _ in want)
+    assert sum(got[10**6 + i].n_notices > 0 for i in range(40)) > 30
+
+
+def test_op7_long_texts_take_time_in_proportion():
+    """A template's words in other orders, and very many notices: both were aligned or compared over and over."""
+    rng, found = np.random.default_rng(3), licenses.Scanner(licenses.TEMPLATES, 0.8)
+    words = licenses.words_of(licenses.TEMPLATES["MIT"])
+    mixed = [w for _ in range(100_000 // len(words)) for w in rng.permutation(words).tolist()]
+    start = time.time()
+    assert found.find(mixed) == []
+    assert len(found.find(licenses.words_of("All rights reserved. " * 30_000))) == 30_000
+    assert time.time() - start < 20
+
+
 def test_op7_finds_every_notice(spark, texts):
     got = {r.doc_id: r.notices for r in entry.queries()["op7_license_patience"](spark, SF).collect()}
     for name in list(licenses.TEMPLATES)[:5]:
