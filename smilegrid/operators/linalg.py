@@ -63,6 +63,32 @@ def gramian_pairs(panel: DataFrame, ts: str, node: str, value: str) -> DataFrame
     return sums.select(back("i").alias("a"), back("j").alias("b"), cov.alias("cov"), corr.alias("corr"), "n")
 
 
+def shrunk_pairs(panel: DataFrame, ts: str, node: str, value: str, last: int | None = None) -> DataFrame:
+    """Ledoit-Wolf shrinkage to a scaled identity (2004): cov of every pair of nodes (a <= b) and the shrinkage, without a matrix on the driver.
+
+    Of the times at which every node has a value (the ``last`` ones, where given) the products come from one Gramian of the centred values, their spread from
+    another of their squares; the rest are sums over pairs. Missing values and repeats are treated as in ``gramian_pairs``; without complete times there are no rows.
+    """
+    x = F.col(value).cast("double")
+    cells = panel.where(x.isNotNull() & ~F.isnan(x)).dropna(subset=[ts, node]).groupBy(F.col(ts).alias("_ts"), F.col(node).alias("_node")).agg(F.max(x).alias("_x"))
+    width = cells.agg(F.count_distinct("_node").alias("_p"))  # one row
+    times = cells.groupBy("_ts").agg(F.count("*").alias("_k")).join(F.broadcast(width), F.col("_k") == F.col("_p")).select("_ts")
+    times = times.orderBy(F.desc("_ts")).limit(last) if last else times
+    rows = cells.join(times, "_ts")
+    rows = rows.join(rows.groupBy("_node").agg(F.avg("_x").alias("_mean")), "_node").select("_ts", "_node", (F.col("_x") - F.col("_mean")).alias("_x"))
+    population = F.col("cov") * (F.col("n") - 1) / F.col("n")
+    products = gramian_pairs(rows, "_ts", "_node", "_x").select("a", "b", F.coalesce(population, F.lit(0.0)).alias("s"), "n")
+    spread = gramian_pairs(rows.withColumn("_x", F.col("_x") * F.col("_x")), "_ts", "_node", "_x").select("a", "b", F.coalesce(population, F.lit(0.0)).alias("q"))
+    pairs = products.join(spread, ["a", "b"])
+    own, twice = F.col("a") == F.col("b"), F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0)
+    sums = pairs.agg(F.max("n").alias("_n"), F.count_if(own).alias("_p"), F.avg(F.when(own, F.col("s"))).alias("_mu"), F.sum(twice * F.col("s") * F.col("s")).alias("_ss"), F.sum(twice * F.col("q")).alias("_q"))
+    square = F.col("_p") * F.col("_mu") * F.col("_mu")
+    far, noise = F.col("_ss") - square, (F.col("_q") + F.col("_p") * square - F.col("_ss")) / F.col("_n")
+    sums = sums.select("_mu", F.when(far > 0, F.least(noise, far) / far).otherwise(0.0).alias("shrinkage"))  # one row
+    towards = F.when(own, F.col("shrinkage") * F.col("_mu")).otherwise(0.0)
+    return pairs.crossJoin(F.broadcast(sums)).select("a", "b", ((1 - F.col("shrinkage")) * F.col("s") + towards).alias("cov"), "shrinkage")
+
+
 def uncorrelated_signals(signals: DataFrame, pairs: DataFrame, *, node: str, score: str, id_: str, limit: float = 0.85) -> DataFrame:
     """Signals that stay: greedily by score (then the least id), one stays unless its node's correlation with the node of one that stayed reaches ``limit``.
 

@@ -161,6 +161,17 @@ def cov_gramian(t):
     return rows.select("a", "b", F.round(c("cov") / 1e6, 4).alias("cov"), F.round("corr", 6).alias("corr"), "n")
 
 
+@query(f"""WITH w AS (SELECT ts, series, value, count(*) OVER (PARTITION BY ts) AS k FROM ({_DAILY})), t AS (SELECT DISTINCT ts FROM w WHERE k = (SELECT count(DISTINCT series) FROM w) ORDER BY ts DESC LIMIT 252),
+x AS (SELECT ts, series, value / 1000 - avg(value / 1000) OVER (PARTITION BY series) AS v FROM w JOIN t USING (ts)),
+p AS (SELECT a.series AS a, b.series AS b, avg(a.v * b.v) AS s, avg(a.v * a.v * b.v * b.v) AS q, count(*) AS n FROM x a JOIN x b USING (ts) GROUP BY 1, 2),
+m AS (SELECT avg(s) FILTER (WHERE a = b) AS mu FROM p), d AS (SELECT sum((s - CASE WHEN a = b THEN mu ELSE 0 END) ** 2) AS d2, sum(q - s * s) / max(n) AS b2 FROM p, m), r AS (SELECT CASE WHEN d2 > 0 THEN least(b2, d2) / d2 ELSE 0 END AS h FROM d)
+SELECT a, b, round((1 - h) * s + CASE WHEN a = b THEN h * mu ELSE 0 END, 4) AS cov, round(h, 6) AS shrinkage FROM p, m, r WHERE a <= b""")
+def shrunk_gramian(t):
+    """Ledoit-Wolf over the last 252 days on which every series has a value, from two Gramians."""
+    rows = linalg.shrunk_pairs(daily(t).withColumn("value", c("value") / 1000), "ts", "series", "value", last=252)
+    return rows.select("a", "b", F.round("cov", 4).alias("cov"), F.round("shrinkage", 6).alias("shrinkage"))
+
+
 _NODES = "SELECT CAST(ts AS DATE) AS d, user_id % 12 AS node, avg(value + CASE WHEN user_id % 12 >= 6 THEN 400 * (hash_ % 7) / 7 ELSE 0 END) AS value FROM (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS hash_ FROM events) WHERE user_id % 12 < 10 GROUP BY 1, 2"
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from smilegrid.operators import frames, linear, scan, tables
+from smilegrid.operators import frames, linalg, linear, scan, tables
 
 ORDER = ["ts", "id"]
 
@@ -162,3 +162,19 @@ def test_options_of_unknown_right(spark):
     assert out and all(r.a == r.b for r in out)
     for r in out:
         assert [r.x[c] for c in ("iv", "delta", "gamma", "vega", "theta")] == [r.y[c] for c in ("iv", "delta", "gamma", "vega", "theta")] and (r.y.iv_bid, r.y.iv_ask) == (r.bid, r.ask)
+
+
+def test_shrunk_pairs_equal_the_matrix_form(spark):
+    """Times without a node, NULL and NaN values and a repeat beside 40 complete times; one node; no rows."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 4)) @ rng.normal(size=(4, 4)) + 1000
+    rows = [(t, n, float(x[t, n])) for t in range(40) for n in range(4)]
+    rows += [(40, 0, 5.0), (41, 0, 1.0), (41, 1, None), (41, 2, 3.0), (41, 3, 4.0), (42, 0, 1.0), (42, 1, float("nan")), (42, 2, 1.0), (42, 3, 2.0), (3, 1, float(x[3, 1]) - 7), (None, 1, 2.0)]
+    panel = spark.createDataFrame(rows, "t long, n long, v double")
+    for last, want in ((None, x), (25, x[-25:])):
+        cov, a = linalg.shrunk_covariance(want)
+        got = {(r.a, r.b): r for r in linalg.shrunk_pairs(panel, "t", "n", "v", last).collect()}
+        assert len(got) == 10 and all(abs(r.cov - cov[i, j]) < 1e-8 and abs(r.shrinkage - a) < 1e-8 for (i, j), r in got.items())
+    one = linalg.shrunk_pairs(panel.where("n = 2"), "t", "n", "v").collect()
+    assert len(one) == 1 and one[0].shrinkage == 0
+    assert linalg.shrunk_pairs(panel.limit(0), "t", "n", "v").count() == 0
