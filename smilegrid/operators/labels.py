@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import ratio
-from .frames import average_rank
+from .frames import average_rank, first_rows
 
 
 def trading_days(bars: DataFrame, ts: str) -> DataFrame:
@@ -13,22 +13,25 @@ def trading_days(bars: DataFrame, ts: str) -> DataFrame:
     return bars.select(F.to_date(ts).alias("day")).distinct().withColumn("day_no", F.row_number().over(Window.orderBy("day")))
 
 
-def hedged_labels(panel: DataFrame, bars: DataFrame, horizons: tuple[int, ...], *, node: list[str], ts: str = "ts", price: str = "close", mid: str = "mid", delta: str = "delta") -> DataFrame:
+def hedged_labels(panel: DataFrame, bars: DataFrame, horizons: tuple[int, ...], *, node: list[str], ts: str = "ts", price: str = "close", mid: str = "mid", delta: str = "delta", key: list[str] | None = None) -> DataFrame:
     """y_H = change of the node's mid minus delta times change of the spot, over H trading days.
 
+    ``key``: columns of both sides that tell the bars of one time apart and order them; without it a panel row takes the last of its time's.
     The spot at the end is the bar at the same place within its day, or that day's last; the mid at the end is the
     node's last of that day. NULL where any of them is missing."""
     days = trading_days(bars, ts)
-    place = F.row_number().over(Window.partitionBy("day").orderBy(ts))
+    at = [ts, *(key or [])]
+    place = F.row_number().over(Window.partitionBy("day").orderBy(*at))
     spots = bars.withColumn("day", F.to_date(ts)).join(days, "day").withColumn("place", place).withColumn("places", F.count("*").over(Window.partitionBy("day")))
-    spots = spots.select(F.col(ts), "day_no", "place", "places", F.col(price).alias("spot"))
+    spots = spots.select(*at, "day_no", "place", "places", F.col(price).alias("spot"))
     steps = F.explode(F.array(*[F.lit(h) for h in horizons])).alias("_h")
     each = lambda v, name: [F.max(F.when(F.col("_h") == h, F.col(v))).alias(f"{name}_{h}") for h in horizons]
     # bars and nodes' days are few beside panel rows: their ends are found for all horizons first, and each panel row is joined to them once
     sizes = spots.groupBy(F.col("day_no").alias("_to")).agg(F.max("place").alias("_size"))
     ends = spots.select("day_no", "place", steps).withColumn("_to", F.col("day_no") + F.col("_h")).join(sizes, "_to").withColumn("_place", F.least("place", "_size"))
     ends = ends.join(spots.select(F.col("day_no").alias("_to"), F.col("place").alias("_place"), F.col("spot").alias("_spot")), ["_to", "_place"]).groupBy("day_no", "place").agg(*each("_spot", "_end_spot"))
-    rows = panel.join(spots.join(ends, ["day_no", "place"], "left").drop("places"), ts, "left")
+    own = spots if key else first_rows(spots, [ts], [F.desc("place")])
+    rows = panel.join(own.join(ends, ["day_no", "place"], "left").drop("places"), at, "left")
     last = rows.where(F.col(mid).isNotNull() & F.col("day_no").isNotNull()).groupBy(*node, "day_no").agg(F.max_by(mid, ts).alias("_mid"))
     last = last.select(*node, "day_no", "_mid", steps).withColumn("day_no", F.col("day_no") - F.col("_h")).groupBy(*node, "day_no").agg(*each("_mid", "_end_mid"))
     rows = rows.join(last, [*node, "day_no"], "left")

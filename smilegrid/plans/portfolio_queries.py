@@ -50,9 +50,9 @@ lab AS (SELECT p.event_id, p.node, p.ts, p.mid, p.d, e.end_mid - p.mid - p.delta
 
 
 def labelled(t) -> DataFrame:
-    bars = t("events").select("ts", (c("value") + 100).alias("close"))
+    bars = t("events").select("event_id", "ts", (c("value") + 100).alias("close"))
     panel = kind(t, "click").select("event_id", c("user_id").alias("node"), "ts", c("value").alias("mid"), ((c("event_id") % 100) / 100.0).alias("delta"))
-    return labels.hedged_labels(panel, bars, (2,), node=["node"])
+    return labels.hedged_labels(panel, bars, (2,), node=["node"], key=["event_id"])
 
 
 @query(_LAB + "SELECT event_id, round(y_2, 6) AS y_2 FROM lab")

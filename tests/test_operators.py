@@ -340,3 +340,13 @@ def test_streams_agree_with_batches(spark, tmp_path, form):
     else:
         want = source.groupBy("user_id").agg(F.max_by("value", "ts").alias("v"))
         assert rows(got.groupBy("user_id").agg(F.max_by("value", "ts"))) == rows(want)
+
+
+def test_labels_on_repeated_times(spark):
+    """Bars of one time don't multiply panel rows; a key tells them apart, else the last of them counts."""
+    day = lambda d: f"2024-01-0{d} 10:00:00"
+    bars = spark.createDataFrame([(10 * d + i, day(d), 100.0 * d + i) for d in (1, 2) for i in range(3)], "id long, ts string, close double").withColumn("ts", F.col("ts").cast("timestamp"))
+    panel = spark.createDataFrame([(10 * d + i, f"n{i}", day(d), 5.0 * d, 0.5) for d in (1, 2) for i in range(2)], "id long, node string, ts string, mid double, delta double").withColumn("ts", F.col("ts").cast("timestamp"))
+    keyed = labels.hedged_labels(panel, bars, (1,), node=["node"], key=["id"])
+    assert sorted((r.id, r.spot, r.y_1) for r in keyed.collect()) == [(10, 100.0, -45.0), (11, 101.0, -45.0), (20, 200.0, None), (21, 201.0, None)]
+    assert sorted((r.id, r.spot) for r in labels.hedged_labels(panel, bars.drop("id"), (1,), node=["node"]).collect()) == [(10, 102.0), (11, 102.0), (20, 202.0), (21, 202.0)]
