@@ -130,6 +130,12 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
 
 
+def sums_in_order(frame: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``frame`` with running sums of each group, added in ``order``: of doubles every run then gives the same."""
+    spec = node(by, order).rowsBetween(Window.unboundedPreceding, 0)
+    return frame.withColumns({k: F.sum(v).over(spec) for k, v in sums.items()})
+
+
 def first_rows(frame: DataFrame, by: list[str], order: list, n: int = 1) -> DataFrame:
     return frame.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 

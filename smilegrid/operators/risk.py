@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import MULTIPLIER, clip, ratio
+from .frames import sums_in_order
 from .scan import prefix_scan
 
 SPOT_SHOCKS = (-0.2, -0.1, -0.05, 0.05, 0.1, 0.2)
@@ -21,7 +22,11 @@ def confidence(edge: Column) -> Column:
     return F.least(F.lit(1.0), F.abs(edge) / 0.1)
 
 
-def position_greeks(legs: DataFrame, by: list[str], greeks: tuple[str, ...]) -> DataFrame:
+def position_greeks(legs: DataFrame, by: list[str], greeks: tuple[str, ...], order: list[str] | None = None) -> DataFrame:
+    """The Greeks of each group of legs, added in ``order`` if there is one."""
+    if order:
+        rows = sums_in_order(legs, by, order, {f"_{g}": F.col(g) * F.col("qty") * MULTIPLIER for g in greeks})
+        return rows.groupBy(*by).agg(*[F.max_by(f"_{g}", F.struct(*order)).alias(g) for g in greeks])
     return legs.groupBy(*by).agg(*[F.sum(F.col(g) * F.col("qty") * MULTIPLIER).alias(g) for g in greeks])
 
 
@@ -90,10 +95,13 @@ def kill_reason(daily_pnl: Column, stress_loss: Column, acceptable: Column, spre
     return F.when(daily_pnl < -most_loss, "DAILY_LOSS").when(stress_loss > acceptable, "STRESS_BREACH").when(spread > most_spread, "LIQUIDITY_COLLAPSE")
 
 
-def rebalance(positions: DataFrame, by: list[str], bands: dict[str, tuple[float, float]], *, most: int = 3, least_gain: float = 0.1) -> DataFrame:
+def rebalance(positions: DataFrame, by: list[str], bands: dict[str, tuple[float, float]], *, most: int = 3, least_gain: float = 0.1, order: list[str] | None = None) -> DataFrame:
     """Positions to close: for each Greek outside its band (target, drift allowed), worst first, those that push it further, the
-    greatest first, if closing saves a tenth of the drift; a position once, ``most`` in all."""
+    greatest first, if closing saves a tenth of the drift; a position once, ``most`` in all. With ``order`` the Greeks are added in
+    it, so that a sum near a limit doesn't depend on how the rows arrive."""
     sums = Window.partitionBy(*by)
+    if order:
+        sums = sums.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = positions.withColumns({f"_sum_{g}": F.sum(g).over(sums) for g in bands})
     parts = []
     for i, (g, (target, allowed)) in enumerate(bands.items()):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import MULTIPLIER
+from .frames import sums_in_order
 
 #: Least gap between tenors of a calendar, its strike tolerance, and widths of the wings, as shares of the spot.
 TENOR_GAP, TOLERANCE = 30, 0.01
@@ -89,16 +90,22 @@ def skew_legs(signals: DataFrame, surface: DataFrame, width: float = WIDTH["skew
     return _legs(signals, _winged(surface, width), ["snap", "tenor"], [("put", -up), ("put_wing", up), ("call", up), ("call_wing", -up)])
 
 
-def premium_and_loss(legs: DataFrame, by: list[str]) -> DataFrame:
+def premium_and_loss(legs: DataFrame, by: list[str], order: list[str] | None = None) -> DataFrame:
     """net_premium (negative: a debit), is_debit, contracts and max_loss of each group of legs.
 
     A debit can lose itself. A credit can lose the distance of its strikes less the credit where there are two, the price of its
-    long legs where there is one, else the wider of the put and call widths less the credit; never under 0."""
+    long legs where there is one, else the wider of the put and call widths less the credit; never under 0. With ``order`` money is
+    added in it."""
     money = F.col("qty") * F.col("price") * MULTIPLIER
+    paid = F.when(F.col("qty") > 0, money)
+    net_sum, paid_sum = F.sum(money), F.sum(paid)
+    if order:
+        legs = sums_in_order(legs, by, order, {"_net": money, "_paid": paid})
+        net_sum, paid_sum = (F.max_by(x, F.struct(*order)) for x in ("_net", "_paid"))
     side = lambda r: F.when(F.count_if(F.col("right") == r) >= 2, (F.max(F.when(F.col("right") == r, F.col("strike"))) - F.min(F.when(F.col("right") == r, F.col("strike")))) * MULTIPLIER).otherwise(0.0)
     rows = legs.groupBy(*by).agg(
-        (-F.sum(money)).alias("net_premium"), F.sum(F.abs("qty")).alias("contracts"), F.count_distinct("strike").alias("_strikes"), ((F.max("strike") - F.min("strike")) * MULTIPLIER).alias("_width"),
-        F.coalesce(F.sum(F.when(F.col("qty") > 0, money)), F.lit(0.0)).alias("_long"), side("P").alias("_puts"), side("C").alias("_calls"),
+        (-net_sum).alias("net_premium"), F.sum(F.abs("qty")).alias("contracts"), F.count_distinct("strike").alias("_strikes"), ((F.max("strike") - F.min("strike")) * MULTIPLIER).alias("_width"),
+        F.coalesce(paid_sum, F.lit(0.0)).alias("_long"), side("P").alias("_puts"), side("C").alias("_calls"),
     )
     net, zero = F.col("net_premium"), F.lit(0.0)
     loss = F.when(net < 0, -net).when(F.col("_strikes") == 2, F.greatest(zero, F.col("_width") - net)).when(F.col("_strikes") == 1, F.abs("_long")).otherwise(F.greatest(zero, F.greatest("_puts", "_calls") - net))

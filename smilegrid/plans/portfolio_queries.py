@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 from ..operators import asof, frames, labels, linalg, risk, scan
@@ -195,8 +195,8 @@ def rule_signals(t):
 _LEGS = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * CAST(l_quantity AS INT) AS qty, l_extendedprice / 1000 AS price, l_discount AS delta, l_tax / 10 AS gamma, l_quantity / 100 AS vega FROM lineitem"
 
 
-def legs(t) -> DataFrame:
-    return t("lineitem").select("l_orderkey", "l_linenumber", (F.when(c("l_linenumber") % 2 == 0, -1).otherwise(1) * c("l_quantity").cast("int")).alias("qty"), (c("l_extendedprice") / 1000).alias("price"), c("l_discount").alias("delta"), (c("l_tax") / 10).alias("gamma"), (c("l_quantity") / 100).alias("vega"))
+def legs(t, *more: Column) -> DataFrame:
+    return t("lineitem").select(*more, "l_orderkey", "l_linenumber", (F.when(c("l_linenumber") % 2 == 0, -1).otherwise(1) * c("l_quantity").cast("int")).alias("qty"), (c("l_extendedprice") / 1000).alias("price"), c("l_discount").alias("delta"), (c("l_tax") / 10).alias("gamma"), (c("l_quantity") / 100).alias("vega"))
 
 
 @query(f"SELECT l_orderkey, round(-sum(qty * price * 100), 4) AS net_premium FROM ({_LEGS}) GROUP BY 1")

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from smilegrid.functions import pricing, scalars
-from smilegrid.operators import asof, frames, labels, linalg, risk, tables
-from smilegrid.plans import surface
+from smilegrid.operators import asof, frames, labels, linalg, risk, structures, tables
+from smilegrid.plans import queries, surface
 from smilegrid.sources import store
 from smilegrid.streaming import live
 
@@ -350,3 +350,25 @@ def test_labels_on_repeated_times(spark):
     keyed = labels.hedged_labels(panel, bars, (1,), node=["node"], key=["id"])
     assert sorted((r.id, r.spot, r.y_1) for r in keyed.collect()) == [(10, 100.0, -45.0), (11, 101.0, -45.0), (20, 200.0, None), (21, 201.0, None)]
     assert sorted((r.id, r.spot) for r in labels.hedged_labels(panel, bars.drop("id"), (1,), node=["node"]).collect()) == [(10, 102.0), (11, 102.0), (20, 202.0), (21, 202.0)]
+
+
+def test_sums_in_order(spark):
+    """Of doubles the order decides the sum: 1e17 - 1e17 + 1 is 1, 1 + 1e17 - 1e17 is 0."""
+    legs = spark.createDataFrame([(1, 3, 1, 0.01), (1, 1, 1, 1e15), (1, 2, -1, 1e15), (2, 1, 1, 0.5)], "id long, at int, qty int, delta double").withColumns({"price": F.col("delta"), "strike": F.lit(1.0), "right": F.lit("C")})
+    assert rows(risk.position_greeks(legs, ["id"], ("delta",), ["at"])) == [(1, 1.0), (2, 50.0)]
+    assert [r.net_premium for r in structures.premium_and_loss(legs, ["id"], ["at"]).orderBy("id").collect()] == [-1.0, -50.0]
+    held = spark.createDataFrame([(1, 0, 3, 1.0), (1, 1, 1, 1e17), (1, 2, 2, -1e17)], "id long, position long, at int, delta double")
+    assert [(r.position, r.greek) for r in risk.rebalance(held, ["id"], {"delta": (0.0, 0.5)}, order=["at"]).collect()] == [(1, "delta"), (0, "delta")]
+    assert risk.rebalance(held.withColumn("at", -F.col("at")), ["id"], {"delta": (0.0, 0.5)}, order=["at"]).count() == 0
+
+
+def test_first_line_of_an_order_is_by_place(spark, tmp_path):
+    """Of lines with one number the first in the files counts, though Spark reads the larger file first."""
+    line = "l_orderkey long, l_linenumber int, l_quantity double, l_note string"
+    for name, data in (("a", [(1, 2, 5.0, "")]), ("b", [(1, 2, 7.0 + i, "x" * 999) for i in range(50)])):
+        spark.createDataFrame(data, line).coalesce(1).toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name in "ab":
+        (tmp_path / f"{name}.parquet").rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    spark.createDataFrame([(9, "F")], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    assert rows(queries.QUERIES["anti_insert_ignore"](spark, str(tmp_path))) == [(1, 5.0)]
