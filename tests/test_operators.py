@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from smilegrid.functions import pricing, scalars
 from smilegrid.operators import asof, frames, labels, linalg, risk, structures, tables
-from smilegrid.plans import queries, surface
+from smilegrid.plans import more_queries, queries, surface  # noqa: F401
 from smilegrid.sources import store
 from smilegrid.streaming import live
 
@@ -372,3 +372,10 @@ def test_first_line_of_an_order_is_by_place(spark, tmp_path):
         (tmp_path / f"{name}.parquet").rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
     spark.createDataFrame([(9, "F")], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
     assert rows(queries.QUERIES["anti_insert_ignore"](spark, str(tmp_path))) == [(1, 5.0)]
+
+
+def test_strict_release_leaves_out_only_orders_without_a_release(spark):
+    sf = "/root/testdata/sf0.001"
+    orders, lines = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("orders", "lineitem"))
+    want = {r[0] for r in orders.select("o_orderkey").collect()} & {r[0] for r in lines.select("l_orderkey").collect()}
+    assert {r.o_orderkey for r in queries.QUERIES["strict_release"](spark, sf).collect()} == want
