@@ -6,20 +6,22 @@ import bisect
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .words import slices, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: About how many distinct texts the trees are fitted on, and about how many candidates of theirs (both are chosen by hashes, so
-#: that every run takes the same); precision that a kind's cut must reach on held-out candidates.
-SAMPLE_DOCS, SAMPLE_CANDIDATES, PRECISION = 4_000, 80_000, 0.995
+#: Precision that a kind's cut must reach on held-out candidates.
+PRECISION = 0.995
 TREES, DEPTH, RATE = 40, 3, 0.3
+#: Sums over examples are whole multiples of 1 / UNIT, so that they are the same in every order.
+UNIT = 1 << 24
 
 _EMAIL_AT = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: Runs of digits are tried from their first digit only and never given back, so that long runs take linear time.
@@ -176,6 +178,16 @@ def examples(text: str) -> list[tuple[bool, list[float], int]]:
     return out
 
 
+def _leaves(tree: list[tuple], x: np.ndarray) -> np.ndarray:
+    """The node of a tree that each row ends in."""
+    node = np.zeros(len(x), int)
+    column, split, left, right = (np.array(c) for c in list(zip(*tree, strict=True))[:4])
+    for _ in range(DEPTH):
+        goes = x[np.arange(len(x)), column[node]] <= split[node]
+        node = np.where(left[node] > 0, np.where(goes, left[node], right[node]), node)
+    return node
+
+
 @dataclass
 class Boosted:
     """Gradient-boosted regression trees for the logistic loss, as arrays; kind-wise cuts."""
@@ -184,99 +196,122 @@ class Boosted:
     bias: float
     cuts: tuple[float, ...]
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.bias)
+    def chance(self, x: np.ndarray) -> np.ndarray:
+        margin = np.full(len(x), self.bias)
         for tree in self.trees:
-            node = np.zeros(len(x), int)
-            column, split, left, right, value = (np.array(c) for c in zip(*tree, strict=True))
-            for _ in range(DEPTH):
-                inner = left[node] > 0
-                goes = x[np.arange(len(x)), column[node]] <= split[node]
-                node = np.where(inner, np.where(goes, left[node], right[node]), node)
-            out += RATE * value[node]
-        return 1 / (1 + np.exp(-out))
-
-
-def _tree(x: np.ndarray, gradient: np.ndarray, weight: np.ndarray) -> list[tuple]:
-    nodes: list[list] = []
-
-    def grow(rows: np.ndarray, depth: int) -> int:
-        me = len(nodes)
-        g, h = gradient[rows].sum(), weight[rows].sum()
-        nodes.append([0, 0.0, 0, 0, g / (h + 1.0)])
-        best = (1e-3, 0, 0.0)
-        if depth < DEPTH and len(rows) >= 10:
-            for c in range(x.shape[1]):
-                order = rows[np.argsort(x[rows, c], kind="stable")]
-                v, gl, hl = x[order, c], np.cumsum(gradient[order])[:-1], np.cumsum(weight[order])[:-1]
-                gain = np.where(v[1:] > v[:-1], gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1), 0)
+            margin += RATE * np.array([n[4] for n in tree])[_leaves(tree, x)]
+        return 1 / (1 + np.exp(-margin))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """The chance in four decimals, so that few scores are distinct however many candidates are scored."""
+        return np.round(self.chance(x), 4)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """x, y, k and w of a batch of examples."""
+    return (batch.column("x").flatten().to_numpy().reshape(batch.num_rows, FEATURES), *[batch.column(c).to_numpy() for c in ("y", "k", "w")])
+
+
+def _sums(found: DataFrame, model: Boosted, tree: list[tuple]) -> dict[int, dict[int, list[tuple]]]:
+    """For each leaf of the growing tree and each feature its values, with gradient, weight and examples at each.
+
+    Every example is read; the driver gets one row for each distinct value of a feature (counts within a candidate)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, _, w = _columns(batch)
+            p, node = model.chance(x), _leaves(tree, x)
+            parts = (np.rint(w * (y - p) * UNIT), np.rint(w * p * (1 - p) * UNIT), w)
+            for c in range(FEATURES):
+                values, at = np.unique(x[:, c], return_inverse=True)
+                cell = node * len(values) + at
+                g, h, n = (np.bincount(cell, part) for part in parts)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(some // len(values)), pa.array(np.full(len(some), c)), pa.array(values[some % len(values)]), *[pa.array(part[some].astype(np.int64)) for part in (g, h, n)]], ["node", "c", "v", "g", "h", "n"])
+
+    sums = found.mapInArrow(run, "node long, c long, v double, g long, h long, n long").groupBy("node", "c", "v").agg(*[F.sum(s).alias(s) for s in "ghn"])
+    out: dict[int, dict[int, list[tuple]]] = {}
+    for r in sums.collect():
+        out.setdefault(r.node, {}).setdefault(r.c, []).append((r.v, r.g / UNIT, r.h / UNIT, r.n))
+    return out
+
+
+def _tree(found: DataFrame, model: Boosted) -> list[tuple]:
+    """One tree, grown a level a pass over all examples."""
+    nodes: list[list] = [[0, 0.0, 0, 0, 0.0]]
+    level = [0]
+    for _ in range(DEPTH):
+        sums, level = _sums(found, model, [tuple(n) for n in nodes]) if level else {}, []
+        for me, features_ in sorted(sums.items()):
+            best = (1e-3, 0, 0.0, (), ())
+            for c, cells in sorted(features_.items()):
+                v, g, h, n = (np.array(x) for x in zip(*sorted(cells), strict=True))
+                if nodes[me][2] or n.sum() < 10:
+                    break
+                nodes[0][4] = nodes[0][4] if me else g.sum() / (h.sum() + 1.0)
+                gl, hl = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
+                gain = gl**2 / (hl + 1) + (g.sum() - gl) ** 2 / (h.sum() - hl + 1) - g.sum() ** 2 / (h.sum() + 1)
                 if len(gain) and gain.max() > best[0]:
                     i = int(gain.argmax())
-                    best = (float(gain[i]), c, float((v[i] + v[i + 1]) / 2))
-        if best[0] > 1e-3:
-            low = x[rows, best[1]] <= best[2]
-            nodes[me][:2] = best[1:]
-            nodes[me][2] = grow(rows[low], depth + 1)
-            nodes[me][3] = grow(rows[~low], depth + 1)
-        return me
-
-    grow(np.arange(len(x)), 0)
+                    best = (float(gain[i]), c, float((v[i] + v[i + 1]) / 2), (gl[i], g.sum() - gl[i]), (hl[i], h.sum() - hl[i]))
+            if best[0] > 1e-3 and not nodes[me][2]:
+                nodes[me][:4] = [best[1], best[2], len(nodes), len(nodes) + 1]
+                level += [len(nodes), len(nodes) + 1]
+                nodes += [[0, 0.0, 0, 0, float(g / (h + 1.0))] for g, h in zip(*best[3:], strict=True)]
     return [tuple(n) for n in nodes]
 
 
-def boost(x: np.ndarray, y: np.ndarray, kind: np.ndarray, held: np.ndarray) -> Boosted:
-    """Fit on every candidate that is not held out; those set each kind's cut: the least score above
+def boost(found: DataFrame) -> Boosted:
+    """Fit on every example that is not held out; those that are set each kind's cut: the least score above
     which at least PRECISION of them are true (a kind for which there is none adds no spans)."""
-    fit = ~held
-    if not len(x) or y[fit].min(initial=1) == y[fit].max(initial=0):
+    known = found.where("not h")
+    true, n = known.agg(F.sum(F.col("w") * F.col("y")), F.sum("w")).first()
+    if not n or true in (0, n):
         return Boosted([], -9.0, (2.0,) * len(KINDS))
-    rate = np.clip(y[fit].mean(), 1e-3, 1 - 1e-3)
+    rate = min(max(true / n, 1e-3), 1 - 1e-3)
     model = Boosted([], float(np.log(rate / (1 - rate))), ())
-    margin = np.full(fit.sum(), model.bias)
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-margin))
-        model.trees.append(_tree(x[fit], y[fit] - p, p * (1 - p)))
-        margin = np.log(np.clip(s := model.score(x[fit]), 1e-12, 1 - 1e-12)) - np.log1p(-np.clip(s, 1e-12, 1 - 1e-12))
-    scores, cuts = model.score(x[held]), []
+        model.trees.append(_tree(known, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, k, w = _columns(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(model.score(x)), pa.array(w * y), pa.array(w)], ["k", "s", "t", "n"])
+
+    scored = found.where("h").mapInArrow(run, "k int, s double, t long, n long").groupBy("k", "s").agg(F.sum("t"), F.sum("n")).collect()  # 10,001 scores a kind at most
+    cuts = []
     for k in range(len(KINDS)):
-        s, t = scores[kind[held] == k], y[held][kind[held] == k]
-        order = np.argsort(-s, kind="stable")
-        true = np.cumsum(t[order]) / np.arange(1, len(s) + 1)
-        good = np.flatnonzero((true >= PRECISION) & (np.append(s[order][1:], -1) < s[order])) if len(s) >= 20 else []
-        cuts.append(max(0.5, float(s[order][good[-1]])) if len(good) else 2.0)
+        own = np.array(sorted((tuple(r)[1:] for r in scored if r.k == k), reverse=True)).reshape(-1, 3)
+        good = np.flatnonzero(np.cumsum(own[:, 1]) / np.cumsum(own[:, 2]) >= PRECISION) if own[:, 2].sum() >= 20 else []
+        cuts.append(max(0.5, float(own[good[-1], 0])) if len(good) else 2.0)
     model.cuts = tuple(cuts)
     return model
 
 
-def _share(h: Column, share: float) -> Column:
-    return F.pmod(h, F.lit(1_000_000)) < round(1_000_000 * min(1.0, share))
+def all_examples(docs: DataFrame) -> DataFrame:
+    """The examples of all distinct texts: x, y, k, h (held out: a text's are fitted or held out together) and how often they occur."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, text in zip(batch.column("t").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if found := Counter((tuple(map(float, x)), int(y), k) for y, x, k in examples(text)):
+                    held = zlib.crc32(text.encode("utf-8", "replace")) % 5 == 4
+                    x, y, k = zip(*found, strict=True)
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array([t] * n, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int64()), pa.array(k, pa.int32()), pa.array([held] * n, pa.bool_()), pa.array(list(found.values()), pa.int64())], ["t", "x", "y", "k", "h", "w"])
+
+    rows = docs.where("text is not null").select(F.xxhash64("text", F.lit(5)).alias("t"), "text").mapInArrow(run, "t long, x array<double>, y long, k int, h boolean, w long")
+    once = rows.groupBy("t", "x", "y", "k", "h").agg(F.max("w").alias("w"))  # equal texts count once
+    return once.groupBy("x", "y", "k", "h").agg(F.sum("w").alias("w"))
 
-def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> Boosted:
-    """Fitted on candidates outside base spans, as only those are scored: false as they stand in the text, true
+
+def fit(docs: DataFrame) -> Boosted:
+    """Fitted on the candidates of all texts outside base spans, as only those are scored: false as they stand in the text, true
     where a base span is rewritten to a form that the base detectors miss, in its own context."""
-    texts = docs.where("text is not null").withColumn("h", F.xxhash64("text", F.lit(5)))
-    n = texts.agg(F.approx_count_distinct("h")).first()[0]
-    chosen = texts.where(_share(F.col("h"), sample_docs / max(1, n))).groupBy("h").agg(F.min("text").alias("text")).select("text")  # equal texts count once
+    return boost(written(all_examples(docs), "pii-examples"))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = examples(text)
-                held = zlib.crc32(text.encode("utf-8", "replace")) % 5 == 4  # a text's candidates are fitted or held out together
-                yield pa.RecordBatch.from_arrays([pa.array([r for _, r, _ in found], pa.list_(pa.float64())), pa.array([float(t) for t, _, _ in found], pa.float64()), pa.array([k for _, _, k in found], pa.int32()), pa.array([held] * len(found), pa.bool_())], ["x", "y", "k", "h"])
-
-    found = written(chosen.mapInArrow(rows, "x array<double>, y double, k int, h boolean"), "pii-examples")
-    n = found.count()
-    if n > sample_candidates:  # a few texts hold most candidates: a share of distinct ones, and equal ones count once
-        found = found.where(_share(F.xxhash64("x", "y", "k", "h"), sample_candidates / n)).distinct()
-    rows_ = sorted((tuple(r.x), r.y, r.k, r.h) for r in found.collect())  # about sample_candidates at most
-    rows_ = [rows_[i] for i in np.random.default_rng(3).permutation(len(rows_))]
-    x = np.array([r[0] for r in rows_], float).reshape(len(rows_), FEATURES)
-    return boost(x, np.array([r[1] for r in rows_], float), np.array([r[2] for r in rows_], int), np.array([r[3] for r in rows_], bool))
-
-
-def find_personal_data(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+
+def find_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with pii: spans (kind, start, end, base), in code points, by start, then kind.
 
     Base spans always stay. A candidate that touches no base span joins them if its calibrated score
@@ -284,7 +319,7 @@ def find_personal_data(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Da
     equal spans; an empty table, or one without candidates of both labels, adds nothing to the base. Texts of any
     length are scanned whole, in linear time. A column named pii is replaced.
     """
-    model = fit(docs.select("text"), sample_docs=sample_docs)
+    model = fit(docs.select("text"))
     adds = min(model.cuts) <= 1
     out = docs.drop("pii")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", pii array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -330,10 +365,10 @@ def redacted(text: str, spans: list[dict]) -> str:
     return "".join([*out, text[done:]])
 
 
-def redact_personal_data(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def redact_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``find_personal_data`` replaced in their text; NULL texts stay NULL, repeated rows
     repeat, overlapping spans make one mark, a table without rows gives none; a column named pii goes."""
-    found = find_personal_data(docs, sample_docs=sample_docs)
+    found = find_personal_data(docs)
     schema = docs.drop("pii").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

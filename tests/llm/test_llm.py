@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+import zlib
 from collections import Counter
 
 import duckdb
@@ -494,6 +495,23 @@ def test_op8_finds_and_redacts_forms_that_the_base_detectors_miss(spark):
     assert all(out[i] == t for i, t in enumerate(docs) if "meet at" in t)
 
 
+def test_op8_is_fitted_on_every_text(spark):
+    """Each text's examples are there with their number, equal texts once; trees are grown on all of them as on their repeats."""
+    texts = [f"mail u{i}@host{i % 7}.com or 10,{i % 250},3,{i % 9}" for i in range(6_000)]
+    rows = pii.all_examples(spark.createDataFrame([(t,) for t in [*texts, *texts[:50], None]], "text string")).collect()
+    want = {}
+    for t in texts:
+        for y, x, k in pii.examples(t):
+            key = (tuple(map(float, x)), int(y), k, zlib.crc32(t.encode()) % 5 == 4)
+            want[key] = want.get(key, 0) + 1
+    assert {(tuple(r.x), r.y, r.k, r.h): r.w for r in rows} == want and sum(want.values()) > 24_000
+    x = [[float(i % 5), float(i % 3), *[0.0] * 18] for i in range(60)]
+    many = spark.createDataFrame([(v, int(v[0] > 2), 0, False, 1) for v in x], "x array<double>, y long, k int, h boolean, w long")
+    tree = pii._tree(many, pii.Boosted([], 0.0, ()))
+    assert tree[0][:2] == (0, 2.5) and tree == pii._tree(many.groupBy("x", "y", "k", "h").agg(F.sum("w").alias("w")), pii.Boosted([], 0.0, ()))
+    assert tree[tree[0][2]][4] < 0 < tree[tree[0][3]][4]
+
+
 def test_op9_cuts_meet_their_chance_over_all_looks():
     for similarity in (0.7, 0.8, 0.9):
         cuts, rng = minhash.least_matches(similarity), np.random.default_rng(1)
