@@ -136,6 +136,16 @@ def sums_in_order(frame: DataFrame, by: list[str], order: list[str], sums: dict[
     return frame.withColumns({k: F.sum(v).over(spec) for k, v in sums.items()})
 
 
+#: Rows that a task sorts at most, if its keys allow.
+TASK_ROWS = 500_000
+
+
+def dealt(frame: DataFrame, by: list[str]) -> DataFrame:
+    """``frame`` dealt by its keys to as many tasks as its rows ask for, so that a task's windows sort no more as the input grows."""
+    least = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(max(least, -(-frame.count() // TASK_ROWS)), *by)
+
+
 def first_rows(frame: DataFrame, by: list[str], order: list, n: int = 1) -> DataFrame:
     return frame.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 

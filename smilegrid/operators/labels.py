@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import ratio
-from .frames import average_rank, first_rows
+from .frames import average_rank, dealt, first_rows
 
 
 def trading_days(bars: DataFrame, ts: str) -> DataFrame:
@@ -109,14 +109,15 @@ def pearson(frame: DataFrame, x: str, y: str, by: list[str], least: int = 2) ->
 
 
 def spearman(frame: DataFrame, x: str, y: str, by: list[str], least: int) -> DataFrame:
-    pairs = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
+    pairs = dealt(frame.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y), by).withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
     return pearson(pairs, "_x", "_y", by, least)
 
 
 def demeaned_spearman(frame: DataFrame, x: str, y: str, node: str, ts: str) -> DataFrame:
     """Rank correlation across nodes at each time (three at least), after each node's mean is taken off (two rows at least)."""
     own = Window.partitionBy(node)
-    pairs = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_n": F.count("*").over(own), "_dx": F.round(F.col(x) - F.avg(x).over(own), 9), "_dy": F.round(F.col(y) - F.avg(y).over(own), 9)})
+    known = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(node, ts, x, y)
+    pairs = dealt(known, [node]).withColumns({"_n": F.count("*").over(own), "_dx": F.round(F.col(x) - F.avg(x).over(own), 9), "_dy": F.round(F.col(y) - F.avg(y).over(own), 9)})
     return spearman(pairs.where("_n >= 2"), "_dx", "_dy", [ts], 3)
 
 

@@ -379,3 +379,15 @@ def test_strict_release_leaves_out_only_orders_without_a_release(spark):
     orders, lines = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("orders", "lineitem"))
     want = {r[0] for r in orders.select("o_orderkey").collect()} & {r[0] for r in lines.select("l_orderkey").collect()}
     assert {r.o_orderkey for r in queries.QUERIES["strict_release"](spark, sf).collect()} == want
+
+
+def test_ranks_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    """A task sorts so many rows at most, and ranks stay whole within a key."""
+    monkeypatch.setattr(frames, "TASK_ROWS", 100)
+    pairs = spark.range(2_000).selectExpr("id % 50 AS k", "id % 7 AS t", "double(id * 37 % 101) AS x", "double(id * 53 % 97) AS y")
+    assert frames.dealt(pairs, ["k"]).rdd.getNumPartitions() == 20
+    plan = labels.demeaned_spearman(pairs, "x", "y", "k", "t")._jdf.queryExecution().toString()
+    assert plan.count("hashpartitioning(k") and "20), REPARTITION_BY_NUM" in plan
+    got = {r.k: r.ic for r in labels.spearman(pairs, "x", "y", ["k"], 3).collect()}
+    want = pairs.toPandas().groupby("k").apply(lambda g: g.x.rank().corr(g.y.rank()))
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(got) == 50
