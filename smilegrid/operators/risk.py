@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -165,29 +166,29 @@ def run_metrics(history: DataFrame, run: str, order: str, equity: str, days: int
 
 def trade_metrics(ledger: DataFrame, capital: float, days: int = 252) -> DataFrame:
     """The 30 metrics of each run of a backtest's ledger; without trades or losses a ratio is 0 (profit factor: infinity)."""
-    spec = Window.partitionBy("run").orderBy("date")
-    upto = spec.rowsBetween(Window.unboundedPreceding, 0)
-    x, top = F.col("daily_pnl"), F.max("equity").over(upto)
-    snaps = ledger.where("kind = 'SNAPSHOT'")
-    var = snaps.groupBy("run").agg(F.percentile("daily_pnl", F.lit(0.05)).alias("var_95"))  # one value a day of a run
-    snaps = snaps.join(var, "run").withColumn("_dd", (F.col("equity") - top) / F.when(top == 0, 1e-10).otherwise(top) * 100)
-    snaps = snaps.withColumn("_spell", F.sum(F.when(F.col("_dd") < 0, 0).otherwise(1)).over(upto))
-    snaps = snaps.withColumn("_length", F.count_if(F.col("_dd") < 0).over(Window.partitionBy("run", "_spell")))
-    base = snaps.groupBy("run").agg(
-        F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("_days"), F.max_by("equity", "date").alias("_final"),
-        F.abs(F.min("_dd")).alias("max_drawdown_pct"), F.max("_length").alias("max_drawdown_duration_days"), F.coalesce(F.abs(F.avg(F.when(F.col("_dd") < 0, F.col("_dd")))), F.lit(0.0)).alias("avg_drawdown_pct"),
-        F.max("open_positions").alias("max_concurrent_positions"), F.avg("open_positions").alias("avg_concurrent_positions"),
-        F.avg(x).alias("avg_daily_pnl"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("daily_pnl_std"), F.stddev_samp(F.when(x < 0, x)).alias("_down"), F.max(x).alias("max_daily_gain"), F.min(x).alias("max_daily_loss"),
-        F.first("var_95").alias("var_95"), F.avg(F.when(x <= F.col("var_95"), x)).alias("cvar_95"),
-    )
+    rows = ledger.where("kind IN ('SNAPSHOT', 'ENTRY', 'EXIT')").withColumn("_snap", F.col("kind") == "SNAPSHOT")  # read once: a ledger is a whole backtest
+    own = ["run", "_snap"]
+    upto = Window.partitionBy(*own).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    snap = lambda v: F.when(F.col("_snap"), v)
+    top, dd = F.max("equity").over(upto), F.col("_dd")
+    rows = rows.withColumn("var_95", F.percentile("daily_pnl", F.lit(0.05)).over(Window.partitionBy(*own)))  # one value a day of a run
+    rows = rows.withColumn("_dd", snap((F.col("equity") - top) / F.when(top == 0, 1e-10).otherwise(top) * 100))
+    rows = rows.withColumn("_spell", F.sum(F.when(dd < 0, 0).otherwise(1)).over(upto))
+    rows = rows.withColumn("_length", F.count_if(dd < 0).over(Window.partitionBy(*own, "_spell")))
+    x, var = snap(F.col("daily_pnl")), F.col("var_95")
     pnl, out = F.col("pnl"), F.col("kind") == "EXIT"
     win, loss = out & (pnl > 0), out & (pnl < 0)
-    trades = ledger.where("kind IN ('ENTRY', 'EXIT')").groupBy("run").agg(
+    rows = rows.groupBy("run").agg(
+        F.min(snap(F.col("date"))).alias("start_date"), F.max(snap(F.col("date"))).alias("end_date"), F.count_if("_snap").alias("_days"), F.max_by("equity", snap(F.col("date"))).alias("_final"),
+        F.abs(F.min("_dd")).alias("max_drawdown_pct"), F.max(snap(F.col("_length"))).alias("max_drawdown_duration_days"), F.coalesce(F.abs(F.avg(F.when(dd < 0, dd))), F.lit(0.0)).alias("avg_drawdown_pct"),
+        F.max(snap(F.col("open_positions"))).alias("max_concurrent_positions"), F.avg(snap(F.col("open_positions"))).alias("avg_concurrent_positions"),
+        F.avg(x).alias("avg_daily_pnl"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("daily_pnl_std"), F.stddev_samp(F.when(x < 0, x)).alias("_down"), F.max(x).alias("max_daily_gain"), F.min(x).alias("max_daily_loss"),
+        F.max(snap(var)).alias("var_95"), F.avg(F.when(x <= var, x)).alias("cvar_95"),
         F.count_if(out).alias("total_trades"), F.count_if(win).alias("winning_trades"), F.count_if(loss).alias("losing_trades"),
         F.avg(F.when(win, pnl)).alias("avg_win"), F.abs(F.avg(F.when(loss, pnl))).alias("avg_loss"), F.sum(F.when(win, pnl)).alias("_gain"), F.abs(F.sum(F.when(loss, pnl))).alias("_lost"),
-        F.avg(F.when(out, pnl)).alias("avg_trade_pnl"), F.max(F.when(out, pnl)).alias("max_win"), F.min(F.when(out, pnl)).alias("max_loss"), F.sum("fees").alias("total_fees"), F.sum("slippage").alias("total_slippage"),
-    )
-    rows = base.join(trades, "run", "left").fillna(0, [c for c in trades.columns if c != "run"])
+        F.avg(F.when(out, pnl)).alias("avg_trade_pnl"), F.max(F.when(out, pnl)).alias("max_win"), F.min(F.when(out, pnl)).alias("max_loss"), F.sum(F.when(~F.col("_snap"), F.col("fees"))).alias("total_fees"), F.sum(F.when(~F.col("_snap"), F.col("slippage"))).alias("total_slippage"),
+    ).where("_days > 0")
+    rows = rows.fillna(0, ["avg_win", "avg_loss", "_gain", "_lost", "avg_trade_pnl", "max_win", "max_loss", "total_fees", "total_slippage"])
     n, final, zero = F.col("total_trades"), F.col("_final"), F.lit(0.0)
     part = lambda a, b: F.coalesce(F.when(b > 0, a / b), zero)
     rows = rows.withColumn("total_return_pct", (final / capital - 1) * 100)
@@ -263,8 +264,33 @@ def replay(orders: DataFrame, run: str, order: list[str], *, cash: float, most_d
     return in_order(orders.select(*names, "cost", "delta"), run, order, lambda r: Acceptance(r, names, cash, most_delta), f"{kinds}, accepted boolean, cash double, net_delta double")
 
 
+class Rows:
+    """Rows and whole batches in order, given out as batches."""
+
+    def __init__(self, kinds: pa.Schema):
+        self.kinds, self.batches, self.rows = kinds, [], []
+
+    def add(self, rows: list[tuple]) -> None:
+        self.rows += rows
+
+    def whole(self, batch: pa.RecordBatch) -> None:
+        self.batches += [*self.taken(), batch]
+
+    def taken(self) -> list[pa.RecordBatch]:
+        rows, self.rows = self.rows, []
+        return [pa.RecordBatch.from_pylist([dict(zip(self.kinds.names, r, strict=True)) for r in rows], self.kinds)] if rows else []
+
+    def all(self) -> list[pa.RecordBatch]:
+        batches, self.batches = [*self.batches, *self.taken()], []
+        return [pa.Table.from_batches(batches, self.kinds).combine_chunks().to_batches()[0]] if batches else []
+
+
+#: Orders that a run looks at together.
+AT_ONCE = 4_096
+
+
 class Book:
-    """One run's cash and open positions; of a position: net entry price, fees, slippage, delta, entry edge, expiry, and today's price and edge."""
+    """One run's cash and open positions; of a position: net entry price, fees, slippage, delta, entry edge, expiry, quotes, and today's price and edge."""
 
     def __init__(self, run: object, cash: float, most_delta: float, most_loss: float):
         self.run, self.cash, self.most_delta, self.most_loss = run, cash, most_delta, most_loss
@@ -281,23 +307,34 @@ class Book:
     def delta(self) -> float:
         return math.fsum(p["delta"] for p in self.open.values())
 
-    def feed(self, r: dict) -> list[tuple]:
-        out = []
-        if r["date"] != self.date:
-            out += self.end()
-            if not self.killed:
-                out += self.begin(r["date"])
+    def orders(self, batch: pa.RecordBatch, out: Rows) -> None:
+        """Some of the day's orders. All up to the first that can be made are rejected at once, as nothing changes before it."""
         if self.killed:
-            return out
-        if r["_kind"] == 1 and r["key"] in self.open:
-            p = self.open[r["key"]]
-            p["price"], p["edge"] = (p["entry"] if r["price"] is None else r["price"]), r["edge"]
-        elif r["_kind"] == 2:
-            out += self.exits() + self.enter(r)
-        return out
+            return
+        out.add(self.exits())
+        net = sum(batch.column(c).to_numpy() for c in ("price", "fees", "slippage"))
+        delta, at = batch.column("delta").to_numpy(), 0
+        while at < len(net):
+            upto = at + AT_ONCE
+            far, dear = np.abs(self.delta() + delta[at:upto]) > self.most_delta, (net[at:upto] > 0) & (net[at:upto] > self.cash)
+            good = np.flatnonzero(~(far | dear))
+            n = int(good[0]) if len(good) else len(far)
+            if n:
+                self.reject(batch.column("key").slice(at, n), net[at : at + n], far[:n], out)
+            at += n
+            if len(good):
+                out.add(self.enter(batch.slice(at, 1).to_pylist()[0]))
+                at += 1
+
+    def reject(self, keys: pa.Array, net: np.ndarray, far: np.ndarray, out: Rows) -> None:
+        one = dict(zip(out.kinds.names, self.row("REJECT"), strict=True))
+        columns = {c: pa.nulls(len(net), out.kinds.field(c).type) if v is None else pa.repeat(pa.scalar(v, out.kinds.field(c).type), len(net)) for c, v in one.items()}
+        columns |= {"seq": pa.array(np.arange(self.seq, self.seq + len(net))), "key": keys, "net": pa.array(net), "reason": pa.array(np.where(far, "DELTA", "CASH"), pa.string())}
+        self.seq += len(net) - 1
+        out.whole(pa.RecordBatch.from_arrays([columns[c] for c in out.kinds.names], schema=out.kinds))
 
     def begin(self, date: object) -> list[tuple]:
-        """The counters start anew, positions expire on the day after their expiry, the others lose yesterday's price."""
+        """The counters start anew, positions expire on the day after their expiry, the others take today's quote, or without one the entry price."""
         self.date, self.daily, self.exited, out = date, 0.0, False, []
         for key, p in list(self.open.items()):
             if p["expiry"] < date:
@@ -305,7 +342,8 @@ class Book:
                 self.realized -= p["entry"]
                 out.append(self.row("EXPIRE", key, pnl=-p["entry"]))
             else:
-                p["price"], p["edge"] = p["entry"], None
+                price, p["edge"] = p["marks"].get(date, (None, None))
+                p["price"] = p["entry"] if price is None else price
         return out
 
     def exits(self) -> list[tuple]:
@@ -323,12 +361,8 @@ class Book:
 
     def enter(self, r: dict) -> list[tuple]:
         net = r["price"] + r["fees"] + r["slippage"]
-        if abs(self.delta() + r["delta"]) > self.most_delta:
-            return [self.row("REJECT", r["key"], net, reason="DELTA")]
-        if net > 0 and net > self.cash:
-            return [self.row("REJECT", r["key"], net, reason="CASH")]
         self.cash -= net
-        self.open[r["key"]] = {"entry": net, "price": r["price"], "fees": r["fees"], "slippage": r["slippage"], "delta": r["delta"], "edge": r["edge"], "entry_edge": r["edge"], "expiry": r["expiry"]}
+        self.open[r["key"]] = {"entry": net, "price": r["price"], "fees": r["fees"], "slippage": r["slippage"], "delta": r["delta"], "edge": r["edge"], "entry_edge": r["edge"], "expiry": r["expiry"], "marks": {m["date"]: (m["price"], m["edge"]) for m in r["marks"] or []}}
         return [self.row("ENTRY", r["key"], net, 0.0, r["fees"], r["slippage"])]
 
     def end(self) -> list[tuple]:
@@ -361,15 +395,40 @@ def backtest(orders: DataFrame, quotes: DataFrame, *, cash: float, most_delta: f
 
     ``orders``: run, date, key, price, fees, slippage, delta, edge, expiry. ``quotes``: date, key, price, edge; without one a
     position counts at its entry price. Every run has every day of both sides. A run is one task, as each
-    decision depends on all before, but the task holds only a batch and the run's open positions."""
+    decision depends on all before, but it gets only its days and orders, each with the quotes from the next day to its expiry, and holds
+    a batch and the run's open positions."""
     days = orders.select("date").unionByName(quotes.select("date")).distinct()
-    runs = orders.select("run").distinct()
-    calendar = runs.crossJoin(days).withColumn("_kind", F.lit(0))
-    marks = quotes.join(orders.select("key", "run"), "key").withColumn("_kind", F.lit(1))
-    rows = calendar.unionByName(marks, allowMissingColumns=True).unionByName(orders.withColumn("_kind", F.lit(2)), allowMissingColumns=True)
+    calendar = orders.select("run").distinct().crossJoin(days).withColumn("_kind", F.lit(0))
+    own = ["key", "_from", "_until"]
+    lives = orders.select("key", F.col("date").alias("_from"), F.col("expiry").alias("_until"))
+    marks = quotes.join(lives, "key").where((F.col("date") > F.col("_from")) & (F.col("date") <= F.col("_until")))
+    marks = marks.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("date", "price", "edge"))).alias("marks"))
+    held = orders.withColumns({"_from": F.col("date"), "_until": F.col("expiry"), "_kind": F.lit(1)}).join(marks, own, "left").drop("_from", "_until")
+    rows = calendar.unionByName(held, allowMissingColumns=True)
     kinds = {c: orders.schema[c].dataType.simpleString() for c in ("run", "date", "key")}
     schema = f"run {kinds['run']}, date {kinds['date']}, seq long, kind string, key {kinds['key']}, net double, pnl double, fees double, slippage double, reason string, cash double, positions_value double, equity double, unrealized double, realized double, daily_pnl double, net_delta double, open_positions long"
-    return in_order(rows, "run", ["date", "_kind", "key"], lambda r: Book(r, cash, most_delta, most_loss), schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, out = None, Rows(arrow)
+        for batch in batches:
+            at = 0
+            for day in [*np.flatnonzero(batch.column("_kind").to_numpy() == 0).tolist(), batch.num_rows]:
+                if day > at:
+                    book.orders(batch.slice(at, day - at), out)
+                if day < batch.num_rows:
+                    run = batch.column("run")[day].as_py()
+                    out.add(book.end() if book else [])
+                    if book is None or book.run != run:
+                        book = Book(run, cash, most_delta, most_loss)
+                    if not book.killed:
+                        out.add(book.begin(batch.column("date")[day].as_py()))
+                at = day + 1
+            yield from out.all()
+        out.add(book.end() if book else [])
+        yield from out.all()
+
+    return rows.repartition("run").sortWithinPartitions("run", "date", "_kind", "key").mapInArrow(scan, schema)
 
 
 def priced_legs(legs: DataFrame, surface: DataFrame, quotes: DataFrame, *, day: str = "day", symbol: str = "symbol", ts: str = "ts", greeks: tuple[str, ...] = ("delta",)) -> DataFrame:

@@ -391,3 +391,17 @@ def test_ranks_are_dealt_by_the_number_of_rows(spark, monkeypatch):
     got = {r.k: r.ic for r in labels.spearman(pairs, "x", "y", ["k"], 3).collect()}
     want = pairs.toPandas().groupby("k").apply(lambda g: g.x.rank().corr(g.y.rank()))
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(got) == 50
+
+
+def test_metrics_run_a_backtest_once_and_quotes_travel_with_their_order(spark, monkeypatch):
+    day = lambda n: dt.date(2024, 1, n)
+    orders = spark.createDataFrame([("a", day(1), k, 60.0 if k % 50 else 10.0, 0.0, 0.0, 0.5, 0.1, day(30)) for k in range(1, 200)], "run string, date date, key long, price double, fees double, slippage double, delta double, edge double, expiry date")
+    quotes = spark.createDataFrame([(day(d), 1, 60.0 + d, 0.1) for d in (2, 5)], "date date, key long, price double, edge double")
+    monkeypatch.setattr(risk, "AT_ONCE", 7)
+    ledger = risk.backtest(orders, quotes, cash=100.0, most_delta=2.0, most_loss=50.0)
+    got = ledger.orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(1, len(got) + 1)) and [r.key for r in got if r.kind == "ENTRY"] == [1, 50, 100, 150]
+    assert {(r.reason, r.key > 150) for r in got if r.kind == "REJECT"} == {("CASH", False), ("DELTA", True)} and sum(r.kind == "REJECT" for r in got) == 195
+    assert [r.positions_value for r in got if r.kind == "SNAPSHOT"] == [90.0, 92.0, 95.0]
+    text = lambda f: f._jdf.queryExecution().executedPlan().toString()
+    assert text(risk.trade_metrics(ledger, 100.0)).count("MapInArrow") == 1
