@@ -405,3 +405,14 @@ def test_metrics_run_a_backtest_once_and_quotes_travel_with_their_order(spark, m
     assert [r.positions_value for r in got if r.kind == "SNAPSHOT"] == [90.0, 92.0, 95.0]
     text = lambda f: f._jdf.queryExecution().executedPlan().toString()
     assert text(risk.trade_metrics(ledger, 100.0)).count("MapInArrow") == 1
+
+
+def test_first_line_and_new_orders_with_missing_keys(spark, tmp_path):
+    """A line without a number comes after its order's others; without its key it isn't known to be new, and nothing is if an old order has no key."""
+    line = "l_orderkey long, l_linenumber int, l_quantity double"
+    spark.createDataFrame([(1, None, 5.0), (1, 2, 7.0), (None, 1, 3.0), (2, None, 4.0), (3, 1, 6.0)], line).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = []
+    for old in ([(3, "F")], [(3, "O")], [(3, "F"), (None, "F")], [(3, "F"), (None, "O")]):
+        spark.createDataFrame(old, "o_orderkey long, o_orderstatus string").write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
+        got.append({r.l_orderkey: r.l_quantity for r in queries.QUERIES["anti_insert_ignore"](spark, str(tmp_path)).collect()})
+    assert got == [{1: 7.0, 2: 4.0}, {1: 7.0, 2: 4.0, 3: 6.0, None: 3.0}, {}, {1: 7.0, 2: 4.0}]
