@@ -110,7 +110,7 @@ def rebalance(positions: DataFrame, by: list[str], bands: dict[str, tuple[float,
         push = F.col(g) * F.when(off > 0, 1).otherwise(-1)
         parts.append(F.struct(F.when((F.abs(off) > allowed) & (push > 0) & (push >= least_gain * F.abs(off)), F.lit(True)).alias("on"), (F.abs(off) / allowed).alias("severity"), F.lit(i).alias("i"), F.lit(g).alias("greek"), push.alias("push")))
     rows = rows.select(*by, "position", F.explode(F.array(*parts)).alias("x")).where("x.on").select(*by, "position", "x.*")
-    order = [F.desc("severity"), "i", F.desc("push"), "position"]
+    order = [F.desc("severity"), "i", F.desc("push"), F.asc_nulls_last("position")]
     own = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "position").orderBy(*order))).where("_n = 1")
     return own.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most).select(*by, "position", "greek", "place")
 

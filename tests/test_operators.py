@@ -416,3 +416,9 @@ def test_first_line_and_new_orders_with_missing_keys(spark, tmp_path):
         spark.createDataFrame(old, "o_orderkey long, o_orderstatus string").write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
         got.append({r.l_orderkey: r.l_quantity for r in queries.QUERIES["anti_insert_ignore"](spark, str(tmp_path)).collect()})
     assert got == [{1: 7.0, 2: 4.0}, {1: 7.0, 2: 4.0, 3: 6.0, None: 3.0}, {}, {1: 7.0, 2: 4.0}]
+
+
+def test_rebalance_takes_positions_without_a_number_last(spark):
+    held = spark.createDataFrame([(1, None, 1.0), (1, 7, 1.0), (1, 8, 1.0)], "id long, position long, delta double")
+    assert [r.position for r in risk.rebalance(held, ["id"], {"delta": (0.0, 0.5)}, most=2).orderBy("place").collect()] == [7, 8]
+    assert [r.position for r in risk.rebalance(held, ["id"], {"delta": (0.0, 0.5)}).orderBy("place").collect()] == [7, 8, None]
