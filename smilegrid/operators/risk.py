@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -73,11 +75,12 @@ def stress(portfolio: DataFrame, key: str) -> DataFrame:
 
 def trade_issues(rows: DataFrame, *, most_loss: float, most_contracts: int, caps: dict[str, float], most_stress: float) -> DataFrame:
     """Adds issues and approved: what a trade breaks. A row holds max_loss and contracts of the trade, the Greeks of the
-    portfolio with it (``with_delta`` and so on), and its worst_loss under stress."""
+    portfolio with it (``with_delta`` and so on), and its worst_loss under stress. Unknown figures break nothing; a trade that
+    breaks nothing known but has an unknown one is neither approved nor rejected (null)."""
     tests = {"max_loss": F.col("max_loss") > most_loss, "contracts": F.col("contracts") > most_contracts}
     tests |= {g: F.abs(f"with_{g}") > cap for g, cap in caps.items()} | {"stress": F.col("worst_loss") > most_stress}
     issues = F.filter(F.array(*[F.when(test, name) for name, test in tests.items()]), lambda x: x.isNotNull())
-    return rows.withColumn("issues", issues).withColumn("approved", F.size("issues") == 0)
+    return rows.withColumns({"issues": issues, "approved": ~reduce(or_, tests.values())})
 
 
 def exit_issues(closing: DataFrame, positions: DataFrame) -> DataFrame:

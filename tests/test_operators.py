@@ -422,3 +422,9 @@ def test_rebalance_takes_positions_without_a_number_last(spark):
     held = spark.createDataFrame([(1, None, 1.0), (1, 7, 1.0), (1, 8, 1.0)], "id long, position long, delta double")
     assert [r.position for r in risk.rebalance(held, ["id"], {"delta": (0.0, 0.5)}, most=2).orderBy("place").collect()] == [7, 8]
     assert [r.position for r in risk.rebalance(held, ["id"], {"delta": (0.0, 0.5)}).orderBy("place").collect()] == [7, 8, None]
+
+
+def test_a_trade_with_unknown_figures_is_not_approved(spark):
+    trades = spark.createDataFrame([(1, 1.0, 1.0), (2, None, 1.0), (3, None, 9.0), (4, 9.0, 1.0)], "id int, max_loss double, with_delta double").withColumns({"contracts": F.lit(1), "worst_loss": F.lit(0.0)})
+    got = risk.trade_issues(trades, most_loss=5, most_contracts=5, caps={"delta": 5}, most_stress=5)
+    assert sorted((r.id, r.issues, r.approved) for r in got.collect()) == [(1, [], True), (2, [], None), (3, ["delta"], False), (4, ["max_loss"], False)]
